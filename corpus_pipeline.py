@@ -1,9 +1,80 @@
-"""The corpus pipeline: five stages from raw documents to a token store."""
+"""The corpus pipeline: quality, near duplicates, benchmark passages, mixing, token store.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next one's ``docs``. All but the last return the
+columns of documents. No SQL expresses a learned classifier, so the whole is
+tested against brute force instead.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioflow.llm import line_crf
+from folioflow.llm.common import scratch, staged
+from folioflow.llm.decontaminate import decontaminate
+from folioflow.llm.mixing import in_mixed_order, mix
+from folioflow.llm.parity_join import near_duplicates
+from folioflow.llm.token_store import read_store, write_store
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line CRF rejects go."""
+    model = line_crf.fit(docs, _table(spark, sf_dir, "labels"))
+    return line_crf.score(docs, model, only_kept=True).select("_row.*")
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: that with the smallest id. Rows without an id belong to no group that could name them and stay."""
+    found = near_duplicates(docs.select("doc_id", "text"))
+    gone = staged(found.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # Rows that repeat an id are copies of what stays, or else texts that only share its id.
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with any window of a benchmark item go."""
+    return decontaminate(docs, _table(spark, sf_dir, "benchmark")).where("NOT contaminated").select("_row.*")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, put in the order of the schedule: files and rows in them follow its slots."""
+    return in_mixed_order(mix(docs))
+
+
+def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' ids, stored in the order in which they lie in the files, which is the mixed one."""
+    folder = scratch(spark, "store")
+    write_store(docs, folder, order=[F.col("_metadata.file_name"), F.col("_metadata.row_index")])
+    return read_store(spark, folder)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicate),
+    ("benchmark decontamination", benchmark),
+    ("mixing sources to target weights", mixing),
+    ("token-ID / binary output", token_store),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the whole table documents."""
+    docs = _table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = scratch(spark, f"stage{i}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

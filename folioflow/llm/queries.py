@@ -12,6 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.common import scratch
+    from folioflow.llm.token_store import read_store, write_store
+
+    folder = scratch(spark, "store")
+    write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    return read_store(spark, folder)
+
+
+def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.warc_zip import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.decontaminate import decontaminate
 
@@ -20,6 +35,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("_row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.tag_paths import extract
+
+    found = extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return found.select("_row.page_id", "_row.url", "text", "n_chars")
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.licenses import scan_licenses
 
@@ -33,6 +55,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("_row.doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.parity_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm import line_crf
 
@@ -42,6 +70,13 @@ def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("_row.doc_id", line_crf.held_out(F.col("_row.doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents"), carry=["doc_id", "source"])
+    return mixed.select("_row.doc_id", "_row.source", "block", "slot", "release", "deadline", "place")
+
+
 def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm import decision_list
 
@@ -51,7 +86,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_decontaminate, op5_licenses, op6_token_counts, op8_line_crf, op10_decision_list)
+    f.__name__: f for f in (op1_token_store, op2_warc_zip, op3_decontaminate, op4_tag_paths, op5_licenses, op6_token_counts, op7_parity_join, op8_line_crf, op9_mixing, op10_decision_list)
 }
 
 SQL: dict[str, str] = {}
