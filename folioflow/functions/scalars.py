@@ -62,7 +62,7 @@ def label_union(labels: ColumnOrName) -> Column:
 def order_statistic(x: ColumnOrName, p: float) -> Column:
     """SRT07: the value at place floor(n p) (from 0, at most n - 1) of the sorted group. Neither an interpolated nor a discrete percentile."""
     ordered = F.array_sort(F.collect_list(_c(x)))
-    return F.try_element_at(ordered, F.least(F.floor(F.size(ordered) * F.lit(p)).cast("int"), F.size(ordered) - 1) + 1)
+    return F.get(ordered, F.least(F.floor(F.size(ordered) * F.lit(p)).cast("int"), F.size(ordered) - 1))
 
 
 def split_evidence(text: ColumnOrName) -> Column:

@@ -58,10 +58,8 @@ def run_log(spark: SparkSession, path: str, tolerant: bool = True) -> DataFrame:
     """SRC05: a log that is one JSON array. Missing gives no rows; corrupt gives none either if tolerant, else it raises."""
     if not _exists(spark, path):
         return spark.createDataFrame([], RUN_LOG)
-    schema = T.StructType([*RUN_LOG.fields, T.StructField("_corrupt_record", T.StringType())])
-    reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE" if tolerant else "FAILFAST")
-    rows = reader.schema(schema if tolerant else RUN_LOG).json(path)
-    return rows.where("_corrupt_record IS NULL").drop("_corrupt_record") if tolerant else rows
+    parsed = F.from_json("value", f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in RUN_LOG.split(', '))}>>", {"mode": "PERMISSIVE" if tolerant else "FAILFAST"})
+    return spark.read.text(path, wholetext=True).select(F.inline(parsed))
 
 
 def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
