@@ -65,7 +65,7 @@ def central_directory(f, size: int) -> dict[str, tuple[int, int, int, int]]:
     f.seek(size - tail)
     data = f.read(tail)
     at = data.rfind(END)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", data, at + 20)[0] != len(data):  # the signature may stand in the comment
+    while at >= 0 and (at + 22 > len(data) or at + 22 + struct.unpack_from("<H", data, at + 20)[0] != len(data)):  # the signature may stand in the comment
         at = data.rfind(END, 0, at)
     if at < 0:
         raise ValueError("no end of central directory")
