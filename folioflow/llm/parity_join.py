@@ -12,17 +12,18 @@ A block is kept as the XOR of the codes of its flipped bits, 64 bits wide.
    copies, however large, goes on as one set.
 2. Counting: blocks meet in buckets of their value. A class for which fewer of
    its N non-empty blocks than N - D occur in any other class has no link and is
-   done. This rids the join of passages, lines and phrases that many documents
-   share. Only packed arrays are shuffled, 8 bytes a block.
-3. Candidates: the others join on the D + 1 blocks that come first in the order
-   of values, which is enough by the prefix rule. In a bucket a value that few
-   classes share gives all their pairs; one that many share (a large group of
-   near copies) gives pairs with a few pivots, and stays open.
+   done. The others keep the D + 1 blocks that occur least often, which is enough
+   by the prefix rule; this keeps the passages, lines and phrases that many
+   documents share out of the join. Only packed arrays are shuffled.
+3. Candidates: classes join on the blocks kept. A value that few classes share
+   gives all their pairs. One that many share (a large group of near copies) gives
+   pairs with its most central classes, and all are put under the first of those,
+   their hub.
 4. Candidates are verified on whole sets. Links contract into components
    (hash-to-min with pointer jumping).
-5. Open values whose classes are still in several components give the pairs of
-   classes outside the largest with all the others, round by round, until none
-   is left. Nothing is capped: a pair goes unverified only if it is in one
+5. Under each hub, the classes that are not in the hub's component are held
+   against all classes under it, block of sets against block of sets; only links
+   come out. Nothing is capped: a pair goes unverified only if it is in one
    component already, or if sizes or blocks rule it out.
 
 In bands of fewer than ``SMALL`` shingles each shingle is a block of its own. In
@@ -46,9 +47,11 @@ WORDS = 5
 SMALL = 128
 #: Blocks for each shingle of a band's upper size.
 BLOCKS = 0.42
-#: In a bucket, a value of at most so many classes gives all its pairs at once; a larger one goes by pivots and rounds.
-ALL_PAIRS = 8
-#: Survivors up to this number (24 bytes each) are broadcast to pick their texts; more are joined by shuffle.
+#: A value of at most so many classes gives all its pairs; a larger one goes by central classes and a hub.
+ALL_PAIRS, CENTRAL = 8, 3
+#: Shingles of a block of sets in step 5, about.
+BLOCK = 24_000
+#: Classes in candidate pairs up to this number (24 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 _U = np.uint64
@@ -68,7 +71,7 @@ _PLACES = _mix(np.arange(1, WORDS + 1, dtype=np.uint64), 7) | _U(1)
 
 @lru_cache(maxsize=1)
 def _word_hashes() -> TwoGenerations:
-    return TwoGenerations(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 400_000)
+    return TwoGenerations(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 250_000)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -165,18 +168,15 @@ def _unpack(blobs: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]
     return values, heads
 
 
-def _entries(keys: list[np.ndarray], heads: list[np.ndarray], n_buckets: int):
-    """Packed rows of a batch: for each bucket the entries of all its sets (at most 65,536), and the heads of those that have any."""
-    for part in range(0, len(keys), 1 << 16):
-        some, own = keys[part : part + (1 << 16)], [h[part : part + (1 << 16)] for h in heads]
-        if not some:
-            continue
-        flat = np.concatenate(some)
-        owner = np.repeat(np.arange(len(some)), [len(k) for k in some])
+def _entries(flat: np.ndarray, owner: np.ndarray, heads: list[np.ndarray], n_buckets: int):
+    """Packed rows: for each bucket the entries of up to 65,536 owners (ascending), and the heads of those that have any there."""
+    for low in range(0, len(heads[0]), 1 << 16):
+        a, b = np.searchsorted(owner, [low, low + (1 << 16)])
+        part, own = flat[a:b], owner[a:b]
         rows = []
-        for b, at in _by_bucket((flat >> _U(48)).astype(np.int64) % n_buckets, n_buckets):
-            present, place = np.unique(owner[at], return_inverse=True)
-            rows.append((b, [(flat[at] << _U(16)) | place.astype(np.uint64), *[h[present] for h in own]]))
+        for bucket, at in _by_bucket((part >> _U(48)).astype(np.int64) % n_buckets, n_buckets):
+            present, place = np.unique(own[at], return_inverse=True)
+            rows.append((bucket, [(part[at] << _U(16)) | place.astype(np.uint64), *[h[present] for h in heads]]))
         yield rows
 
 
@@ -185,12 +185,17 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
 
 
-def _survivors(docs: DataFrame, text: str, n_buckets: int) -> DataFrame:
-    """f1 of the classes for which enough blocks occur in other classes too (step 2), with ``weak`` ones marked."""
+def _meta(n: int, live: int, g: int) -> int:
+    return (n << 36) | (live << 8) | g
+
+
+def _candidates(docs: DataFrame, text: str, n_buckets: int) -> DataFrame:
+    """Steps 2 and 3: rows (a, b, kind) of f1: candidate pairs (PAIR), classes b under a hub a (HUB), and classes a that could escape (WEAK)."""
+    dtypes = [np.uint64, np.uint64, np.uint64]
 
     def spread(batches):
         for batch in batches:
-            seen, keys, f1, need, weak = set(), [], [], [], []
+            seen, keys, f1, meta, weak = set(), [], [], [], []
             for t in batch.column(0).to_pylist():
                 s = shingle_set(t)
                 if not len(s) or (p := fingerprint(s)) in seen:
@@ -198,54 +203,111 @@ def _survivors(docs: DataFrame, text: str, n_buckets: int) -> DataFrame:
                 seen.add(p)
                 for g in bands(len(s)):
                     k = block_keys(s, g)
-                    required = len(k) - difference_bound(len(s), (2 << g) - 1)
-                    if required < 1:
+                    if len(k) <= difference_bound(len(s), (2 << g) - 1):
                         weak.append(p[0])
                     keys.append(k)
                     f1.append(p[0])
-                    need.append((g << 32) | max(1, required))
-            for rows in _entries(keys, [np.array(f1, np.uint64), np.array(need, np.uint64)], n_buckets):
-                yield _packed(rows, ["entries", "f1", "need"])
+                    meta.append(_meta(len(s), len(k), g))
+            if keys:
+                owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                for rows in _entries(np.concatenate(keys), owner, [np.array(f1, np.uint64), np.array(meta, np.uint64)], n_buckets):
+                    yield _packed(rows, ["entries", "f1", "meta"])
             if weak:
-                yield _packed([(-1, [np.empty(0, np.uint64), np.array(sorted(set(weak)), np.uint64), np.empty(0, np.uint64)])], ["entries", "f1", "need"])
+                yield _packed([(-1, [np.array(weak, np.uint64)] * 3)], ["entries", "f1", "meta"])
 
     def count(batches):
-        for bucket, blobs in _gather(batches, [np.uint64] * 3).items():
+        for bucket, blobs in _gather(batches, dtypes).items():
             if bucket < 0:
-                f1 = np.unique(np.concatenate([b[1] for b in blobs]))
-                yield _packed([(int(b), [f1[at], np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)]) for b, at in _by_bucket((f1 % _U(n_buckets)).astype(np.int64), n_buckets)], ["f1", "need", "found"])
+                weak = np.unique(np.concatenate([b[0] for b in blobs]))
+                yield _packed([(-1, [weak, weak, weak, weak])], ["heads", "sizes", "keys", "often"])
                 continue
-            values, (f1, need) = _unpack(blobs)
+            values, (f1, meta) = _unpack(blobs)
             order = np.lexsort((f1, values))
-            values, f1, need = values[order], f1[order], need[order]
+            values, f1, meta = values[order], f1[order], meta[order]
             fresh = np.concatenate([[True], (values[1:] != values[:-1]) | (f1[1:] != f1[:-1])])  # copies in other batches count once
-            values, f1, need = values[fresh], f1[fresh], need[fresh]
+            values, f1, meta = values[fresh], f1[fresh], meta[fresh]
             edges = _runs(values)
-            shared = np.repeat(np.diff(edges) > 1, np.diff(edges))
-            f1, need = f1[shared], need[shared]
-            if not len(f1):
+            often = np.repeat(np.diff(edges), np.diff(edges))
+            shared = often > 1
+            f1, meta, often = f1[shared], meta[shared], often[shared]
+            keys = _mix(values[shared] | _U((bucket & 0xFFFF) << 48), bucket >> 16)
+            order = np.lexsort((meta, f1))
+            f1, meta, often, keys = f1[order], meta[order], often[order], keys[order]
+            edges = np.flatnonzero(np.concatenate([[True], (f1[1:] != f1[:-1]) | (meta[1:] != meta[:-1]), [True]])) if len(f1) else np.zeros(1, np.int64)
+            heads = np.stack([f1[edges[:-1]], meta[edges[:-1]]], 1)
+            sizes = np.diff(edges)
+            rows = []
+            for b, at in _by_bucket((heads[:, 0] % _U(n_buckets)).astype(np.int64), n_buckets):
+                inside = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in at])
+                rows.append((b, [heads[at], sizes[at].astype(np.uint64), keys[inside], np.minimum(often[inside], 0xFFFFFFFF).astype(np.uint32)]))
+            if rows:
+                yield _packed(rows, ["heads", "sizes", "keys", "often"])
+
+    def choose(batches):
+        for bucket, blobs in _gather(batches, [np.uint64, np.uint64, np.uint64, np.uint32]).items():
+            if bucket < 0:
+                yield _packed([(-1, [np.unique(np.concatenate([b[0] for b in blobs]))] * 4)], ["entries", "f1", "n", "central"])
                 continue
-            order = np.lexsort((need, f1))
-            f1, need = f1[order], need[order]
-            first = np.flatnonzero(np.concatenate([[True], (f1[1:] != f1[:-1]) | (need[1:] != need[:-1])]))
-            found = np.diff(np.append(first, len(f1))).astype(np.uint64)
-            f1, need = f1[first], need[first]
-            rows = [(int(b), [f1[at], need[at], found[at]]) for b, at in _by_bucket((f1 % _U(n_buckets)).astype(np.int64), n_buckets)]
-            yield _packed(rows, ["f1", "need", "found"])
-
-    def decide(batches):
-        for blobs in _gather(batches, [np.uint64] * 3).values():
-            f1, need, found = (np.concatenate([b[i] for b in blobs]) for i in range(3))
-            order = np.lexsort((need, f1))
-            f1, need, found = f1[order], need[order], found[order]
-            first = np.flatnonzero(np.concatenate([[True], (f1[1:] != f1[:-1]) | (need[1:] != need[:-1])]))
-            total = np.add.reduceat(found, first)
-            enough = total >= (need[first] & _U(0xFFFFFFFF))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(f1[first][enough])), pa.array(need[first][enough] == 0)], names=["f1", "weak"])
-
-    packed = docs.select(F.col(quoted(text)).alias("text")).mapInArrow(spread, "bucket long, entries binary, f1 binary, need binary")
-    counted = packed.repartition(n_buckets, "bucket").mapInArrow(count, "bucket long, f1 binary, need binary, found binary")
-    return counted.repartition(n_buckets, "bucket").mapInArrow(decide, "f1 long, weak boolean").groupBy("f1").agg(F.max("weak").alias("weak"))
+            heads, sizes, keys = (np.concatenate([b[i] for b in blobs]) for i in range(3))
+            often = np.concatenate([b[3] for b in blobs]).astype(np.int64)
+            heads = np.repeat(heads.reshape(-1, 2), sizes.astype(np.int64), axis=0)
+            order = np.lexsort((keys, often, heads[:, 1], heads[:, 0]))
+            heads, keys, often = heads[order], keys[order], often[order]
+            edges = np.flatnonzero(np.concatenate([[True], (heads[1:] != heads[:-1]).any(1), [True]]))
+            first, found = edges[:-1], np.diff(edges)
+            f1, meta = heads[first, 0], heads[first, 1]
+            n, live = (meta >> _U(36)).astype(np.int64), ((meta >> _U(8)) & _U(0xFFFFFFF)).astype(np.int64)
+            top = (np.int64(2) << (meta & _U(0xFF)).astype(np.int64)) - 1
+            bound = (n + np.minimum(4 * n // 3, top)) // 7
+            # Of the D + 1 rarest blocks, those that occur nowhere else come first and meet nothing.
+            take = bound + 1 - (live - found)
+            central = np.add.reduceat(often, first) // found
+            owner = np.repeat(np.arange(len(first)), found)
+            kept = np.arange(len(keys)) - np.repeat(first, found) < np.repeat(take, found)
+            for rows in _entries(keys[kept], owner[kept], [f1, n.astype(np.uint64), central.astype(np.uint64)], n_buckets):
+                yield _packed(rows, ["entries", "f1", "n", "central"])
+
+    def meet(batches):
+        for bucket, blobs in _gather(batches, [np.uint64] * 4).items():
+            if bucket < 0:
+                weak = np.unique(np.concatenate([b[0] for b in blobs]))
+                yield _rows(weak, weak, WEAK)
+                continue
+            values, (f1, n, central) = _unpack(blobs)
+            order = np.lexsort((f1, _U(0xFFFFFFFFFFFFFFFF) - central, values))
+            values, f1, n = values[order], f1[order], n[order].astype(np.int64)
+            edges = _runs(values)
+            size = np.diff(edges)
+            left, right, under = [], [], []
+            for k in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]).tolist():
+                start = edges[:-1][size == k]
+                i, j = np.triu_indices(k, 1)
+                left.append((start[:, None] + i).ravel())
+                right.append((start[:, None] + j).ravel())
+            for lo, hi in zip(edges[:-1][size > ALL_PAIRS].tolist(), edges[1:][size > ALL_PAIRS].tolist()):
+                left.append(np.repeat(np.arange(lo, lo + CENTRAL), hi - lo))
+                right.append(np.tile(np.arange(lo, hi), CENTRAL))
+                under.append(np.stack([np.repeat(f1[lo], hi - lo), f1[lo:hi]], 1))
+            if left:
+                i, j = np.concatenate(left), np.concatenate(right)
+                fit = (f1[i] != f1[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
+                pairs = np.unique(np.sort(np.stack([f1[i[fit]], f1[j[fit]]], 1), 1), axis=0)
+                yield _rows(pairs[:, 0], pairs[:, 1], PAIR)
+            if under:
+                hubs = np.unique(np.concatenate(under), axis=0)
+                yield _rows(hubs[:, 0], hubs[:, 1], HUB)
+
+    packed = docs.select(F.col(quoted(text)).alias("text")).mapInArrow(spread, "bucket long, entries binary, f1 binary, meta binary")
+    counted = packed.repartition(n_buckets, "bucket").mapInArrow(count, "bucket long, heads binary, sizes binary, keys binary, often binary")
+    chosen = counted.repartition(n_buckets, "bucket").mapInArrow(choose, "bucket long, entries binary, f1 binary, n binary, central binary")
+    return chosen.repartition(n_buckets, "bucket").mapInArrow(meet, "a long, b long, kind int").distinct()
+
+
+PAIR, HUB, WEAK = 0, 1, 2
+
+
+def _rows(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(_signed(np.ascontiguousarray(a))), pa.array(_signed(np.ascontiguousarray(b))), pa.array(np.full(len(a), kind, np.int32))], names=["a", "b", "kind"])
 
 
 def _values(docs: DataFrame, classes: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -267,51 +329,6 @@ def _values(docs: DataFrame, classes: DataFrame, wanted: DataFrame, text: str) -
     return out.groupBy("node").agg(F.first("f1").alias("f1"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 
-def _candidates(values: DataFrame, n_buckets: int) -> DataFrame:
-    """Pairs (a, b) of f1, and open values as packed lists of f1 (step 3)."""
-
-    def spread(batches):
-        for b in batches:
-            keys, f1, size = [], [], []
-            for f, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = np.frombuffer(blob, np.uint64)
-                for g in bands(len(s)) if len(s) else ():
-                    keys.append(block_keys(s, g)[: difference_bound(len(s), (2 << g) - 1) + 1])
-                    f1.append(f)
-                    size.append(len(s))
-            for rows in _entries(keys, [np.array(f1, np.int64).view(np.uint64), np.array(size, np.uint64)], n_buckets):
-                yield _packed(rows, ["entries", "f1", "n"])
-
-    def meet(batches):
-        for blobs in _gather(batches, [np.uint64] * 3).values():
-            entries, (f1, n) = _unpack(blobs)
-            order = np.lexsort((f1, n, entries))
-            entries, f1, n = entries[order], f1[order], n[order]
-            edges = _runs(entries)
-            pairs, opened = [], set()
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if hi - lo < 2:
-                    continue
-                if hi - lo <= ALL_PAIRS:
-                    i, j = np.triu_indices(hi - lo, 1)
-                else:
-                    pivots = np.unique([0, (hi - lo) // 2, hi - lo - 1])
-                    i, j = np.repeat(pivots, hi - lo), np.tile(np.arange(hi - lo), len(pivots))
-                    i, j = np.minimum(i, j), np.maximum(i, j)
-                    opened.add(np.stack([f1[lo:hi], n[lo:hi]]).tobytes())
-                a, b, na, nb = f1[lo:hi][i], f1[lo:hi][j], n[lo:hi][i], n[lo:hi][j]
-                fit = (a != b) & (4 * na >= 3 * nb)  # sizes ascend within a value
-                pairs.append(np.stack([a[fit], b[fit]], 1))
-            if pairs:
-                p = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(p[:, 0].copy())), pa.array(_signed(p[:, 1].copy())), pa.nulls(len(p), pa.binary())], names=["a", "b", "open"])
-            if opened:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(opened), pa.int64()), pa.nulls(len(opened), pa.int64()), pa.array(sorted(opened), pa.binary())], names=["a", "b", "open"])
-
-    packed = values.select("f1", "shingles").mapInArrow(spread, "bucket long, entries binary, f1 binary, n binary")
-    return packed.repartition(n_buckets, "bucket").mapInArrow(meet, "a long, b long, open binary")
-
-
 def _verified(pairs: DataFrame, values: DataFrame) -> DataFrame:
     """Of candidate pairs (a, b) of f1, the links between nodes: 100 * intersection >= 75 * union, on whole sets."""
 
@@ -353,19 +370,60 @@ def components(links: DataFrame) -> DataFrame:
             return spark.read.parquet(path).select("node", "label")
 
 
-def _crossing(opened: DataFrame, labels: DataFrame, values: DataFrame) -> DataFrame:
-    """Pairs of f1 that share an open value but no component: those outside the value's largest component with all others (step 5)."""
-    member = opened.select("value", F.explode("members").alias("m")).select("value", "m.f1", "m.n")
-    named = labels.join(values.select("node", "f1"), "node").groupBy("f1").agg(F.min("label").alias("label"))
-    placed = member.join(named, "f1", "left").withColumn("label", F.coalesce("label", F.col("f1").cast("string").cast("binary")))
+def block_links(minors: list[tuple], members: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """Links between two lists of (node, label, shingles), but for those between nodes that labels or links before them already join."""
+    parent: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    flat = np.concatenate([m[2] for m in minors])
+    owner = np.repeat(np.arange(len(minors)), [len(m[2]) for m in minors])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    size = np.array([len(m[2]) for m in minors])
+    out = []
+    for node, label, shingles in members:
+        low, high = np.searchsorted(flat, shingles, "left"), np.searchsorted(flat, shingles, "right")
+        count = high - low
+        hit = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        both = np.bincount(owner[hit], minlength=len(minors))
+        for k in np.flatnonzero(100 * both >= 75 * (size + len(shingles) - both)).tolist():
+            a, b = find(label), find(minors[k][1])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((minors[k][0], node))
+    return out
+
+
+def _under_hubs(hubs: DataFrame, labels: DataFrame, values: DataFrame) -> DataFrame:
+    """Step 5: links of the classes under a hub that are not in its component with any class under it."""
+    named = values.select("f1", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_hub = named.groupBy("f1").agg(F.min("label").alias("main")).withColumnRenamed("f1", "a")
+    placed = hubs.join(named.withColumnRenamed("f1", "b"), "b").join(of_hub, "a").select("a", "b", "node", "label", "n", (F.col("label") != F.col("main")).alias("minor"))
     placed = staged(placed, "placed")
-    per = placed.groupBy("value", "label").agg(F.count(F.lit(1)).alias("k"))
-    largest = per.groupBy("value").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    minor = placed.join(largest, "value").where("label <> main").select("value", F.col("f1").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    wide = placed.join(largest.select("value"), "value", "left_semi").select("value", F.col("f1").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    sized = (F.col("la") != F.col("lb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
-    pairs = minor.join(wide.alias("w"), (minor["value"] == F.col("w.value")) & sized)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    load = placed.groupBy("a").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("minor"), F.col("n"))).alias("some")).where("some IS NOT NULL")
+    cut = load.select("a", F.ceil(F.col("some") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"))
+    every = placed.join(cut, "a")
+    spread = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    across = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    columns = ["a", "b", "node", "label", "minor"]
+    left = every.where("minor").select(*columns, spread("rows").alias("i"), across("columns").alias("j")).withColumn("side", F.lit(0))
+    right = every.select(*columns, spread("columns").alias("j"), across("rows").alias("i")).withColumn("side", F.lit(1)).select(left.columns)
+    sets = values.select("node", "shingles")
+
+    def link(table: pa.Table) -> pa.Table:
+        sides: tuple[list, list] = ([], [])
+        for side, node, label, shingles in zip(*[table.column(c).to_pylist() for c in ("side", "node", "label", "shingles")]):
+            sides[side].append((node, label, np.frombuffer(shingles, np.uint64)))
+        found = block_links(*sides) if sides[0] and sides[1] else []
+        return pa.table({"x": pa.array([f[0] for f in found], pa.binary()), "y": pa.array([f[1] for f in found], pa.binary())})
+
+    full = left.union(right).join(sets, "node").select("a", "i", "j", "side", "node", "label", "shingles")
+    return full.groupBy("a", "i", "j").applyInArrow(link, "x binary, y binary")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -380,32 +438,21 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     n_buckets = partitions(spark)
     sets = staged(_sets(docs, text), "sets")
     classes = staged(sets.where("n > 0").groupBy("node", "f1").agg(F.min(F.struct("doc_id", "place")).alias("r"), F.min("doc_id").alias("first")).select("node", "f1", "r.doc_id", "r.place", "first"), "classes")
-    wanted = staged(_survivors(docs, text, n_buckets), "survivors")
+    met = staged(_candidates(docs, text, n_buckets), "candidates")
+    pairs, weak = met.where(F.col("kind") == PAIR).select("a", "b"), met.where(F.col("kind") == WEAK).select(F.col("a").alias("f1"))
+    wanted = staged(met.select(F.explode(F.array("a", "b")).alias("f1")).distinct(), "wanted")
     values = staged(_values(docs, classes, wanted, text), "values")
-    met = staged(_candidates(values, n_buckets), "candidates")
-    pairs = met.where("a IS NOT NULL").select("a", "b").distinct()
-    if (weak := wanted.where("weak")).limit(1).count():
-        pairs = pairs.union(_weak_pairs(docs, weak, values, text)).distinct()
-        values = staged(_values(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("f1")).union(wanted.select("f1")).distinct(), text), "values")
+    if weak.limit(1).count():
+        pairs = staged(pairs.union(_weak_pairs(docs, weak, values, text)).distinct(), "pairs")
+        wanted = staged(wanted.union(pairs.select(F.explode(F.array("a", "b")))).distinct(), "wanted")
+        values = staged(_values(docs, classes, wanted, text), "values")
     links = staged(_verified(pairs, values), "links")
     labels = components(links)
-    opened = met.where("open IS NOT NULL").select("open").distinct()
-    if opened.limit(1).count():
-        opened = staged(_unpacked(opened), "open")
-        tested = None
-        while True:
-            crossing = _crossing(opened, labels, values)
-            if tested is not None:
-                crossing = crossing.join(tested, ["a", "b"], "left_anti")
-            crossing = staged(crossing, "crossing")
-            if crossing.limit(1).count() == 0:
-                break
-            fresh = staged(_verified(crossing, values), "links")
-            if fresh.limit(1).count() == 0:
-                break
-            links = links.union(fresh)
-            labels = components(links)
-            tested = crossing if tested is None else tested.union(crossing)
+    hubs = met.where(F.col("kind") == HUB).select("a", "b")
+    if hubs.limit(1).count():
+        more = staged(_under_hubs(hubs, labels, values), "links")
+        if more.limit(1).count():
+            labels = components(links.union(more))
     grouped = classes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
     by_class = grouped.join(heads, "label").select("node", "component_id")
@@ -414,19 +461,6 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _unpacked(opened: DataFrame) -> DataFrame:
-    """value (hash of the member list) and members (f1, n) of open values; equal lists are one."""
-
-    def run(batches):
-        for b in batches:
-            lists = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in b.column(0).to_pylist()]
-            names = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in lists]
-            members = [[{"f1": f, "n": n} for f, n in zip(_signed(x[0].copy()).tolist(), x[1].tolist())] for x in lists]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(members, pa.list_(pa.struct([("f1", pa.int64()), ("n", pa.int64())])))], names=["value", "members"])
-
-    return opened.mapInArrow(run, "value long, members array<struct<f1:long,n:long>>")
-
-
 def _weak_pairs(docs: DataFrame, weak: DataFrame, values: DataFrame, text: str) -> DataFrame:
     """Pairs of the (next to never any) weak classes with whatever document passes the similarity, in blocks of weak classes against all documents."""
     out = None

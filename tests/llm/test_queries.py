@@ -55,7 +55,7 @@ def test_page_and_license_queries(spark, duck):
 
 
 def test_all_rows_come_back(spark, duck):
-    n = duck.sql("SELECT count(*) FROM documents").fetchone()[0]
+    n = duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
     for name in ("op8_line_crf", "op9_mixing", "op10_decision_list"):
         got = queries.QUERIES[name](spark, DATA)
         assert got.count() == got.select("doc_id").distinct().count() == n
