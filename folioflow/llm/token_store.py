@@ -45,16 +45,16 @@ RECORD = "part int, pos long, doc_id {id}, start long, n_tokens long, digests bi
 def rolling_hash(ids: np.ndarray) -> np.ndarray:
     """Polynomial hash of the WINDOW ids that end at each place (fewer at the start), by doubling."""
     with np.errstate(over="ignore"):
-        h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        factor, k = 0x5851F42D4C957F2D, 1
+        h = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        factor, k = 0x2C1B3C6D, 1
         while k < WINDOW:
             shifted = np.zeros_like(h)
             shifted[k:] = h[:-k]
-            h = h + shifted * np.uint64(factor)
-            factor = factor * factor % (1 << 64)
+            h += shifted * np.uint32(factor)
+            factor = factor * factor % (1 << 32)
             k *= 2
-        return h ^ (h >> np.uint64(31))
+        return h ^ (h >> np.uint32(16))
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -63,7 +63,7 @@ def cuts(ids: np.ndarray) -> list[int]:
     if n <= LEAST:
         return [n] if n else []
     out, last = [], 0
-    for c in (np.flatnonzero((rolling_hash(ids) & np.uint64(MASK)) == 0) + 1).tolist() + [n]:
+    for c in (np.flatnonzero((rolling_hash(ids) & np.uint32(MASK)) == 0) + 1).tolist() + [n]:
         while c - last > MOST:
             last += MOST
             out.append(last)
@@ -140,7 +140,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
     ordered = rows.repartitionByRange(partitions(spark), "ord", "rid").sortWithinPartitions("ord", "rid", "kind").withColumn("part", F.spark_partition_id())
 
     def seal(batches):
-        press, unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        press, unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         noted: tuple = (None, {})
         pos = start = 0
         for b in batches:
@@ -152,6 +152,12 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
                     continue
                 owns = noted[1] if noted[0] == rid else {}
                 addresses = [digests[k : k + DIGEST] for k in range(0, len(digests), DIGEST)]
+                if not owns and len(set(addresses)) == len(addresses):  # all chunks are here, once each: the body stays as it is
+                    row = (part, pos, doc, start, n, digests, lengths, [], [], body, root(digests, lengths))
+                    for column, value in zip(out, row):
+                        column.append(value)
+                    pos, start = pos + 1, start + n
+                    continue
                 pieces = _split(unpress.decompress(body, max_output_size=n * width), np.frombuffer(lengths, "<u4"), width)
                 away, lent, here, kept = [], [], set(), []
                 for i, (d, piece) in enumerate(zip(addresses, pieces)):

@@ -8,10 +8,9 @@ is a hit in the worker's cache; only misses reach the library.
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
-
 from folioflow.llm.common import TwoGenerations
 
 # The pre-token rule of the vocabulary, for lower-case Latin-1 text.
@@ -29,26 +28,32 @@ def _byte_letters() -> list[str]:
 class WordTokenizer:
     """Ids of whole texts under a ``tokenizers`` file with a word-level pre-tokenizer."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
         self._letters = _byte_letters()
-        self._pre_tokens = TwoGenerations(self._pre_token, limit)
         self.chunks = TwoGenerations(self._chunk, limit)
 
     def _pre_token(self, word: str) -> bytes:
-        letters = self._letters
-        ids = [t.id for t in self._library.model.tokenize("".join([letters[b] for b in word.encode()]))]
-        return np.array(ids, "<u4").tobytes()
+        if not (word.isascii() and word.isprintable()):  # those stand for themselves in the byte-level alphabet
+            letters = self._letters
+            word = "".join([letters[b] for b in word.encode()])
+        ids = [t.id for t in self._library.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
-        if "<|" not in text and (text.isascii() or max(text) <= "\xff"):
-            return b"".join([self._pre_tokens[w] for w in _PRE_TOKEN.findall(text.lower())])
-        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if "<|" in text or not (text.isascii() or max(text) <= "\xff"):
+            ids = self._library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        words = _PRE_TOKEN.findall(text.lower())
+        # A pre-token is a chunk of its own, so words with and without a capital or a comma share one entry.
+        if len(words) == 1 and words[0] == text:
+            return self._pre_token(text)
+        return b"".join([self.chunks[w.encode()] for w in words])
 
     def ids(self, text: str | None) -> bytes:
         """All ids of the text as little-endian unsigned 32-bit integers; null has none."""
