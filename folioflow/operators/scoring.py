@@ -40,10 +40,11 @@ def blind_outcome(pred: str = "pred_json", gold: str = "gold_json") -> Column:
     return outcome(F.col(pred), F.col(gold), F.when(both, F.coalesce(multiset_equal(p, g), F.lit(False))).otherwise(F.col(pred) == F.col(gold)))
 
 
-def score_cells(preds: DataFrame, golds: DataFrame, fields: DataFrame, doc: str = "contract_name") -> DataFrame:
-    """JN02, FLT05: cells of the documents that both sides have, of scored kinds, with their outcome."""
+def score_cells(preds: DataFrame, golds: DataFrame, fields: DataFrame, *keys: str) -> DataFrame:
+    """JN02, FLT05: cells of the records that both sides have, of scored kinds, with their outcome. Keys: the document, or document and chunk (DOC02)."""
+    on = [*(keys or ("contract_name",)), "field"]
     kinds = F.broadcast(fields.where(F.col("kind").isin(*SCORED)).select("field", "kind", "ordinal"))
-    pairs = preds.withColumnRenamed("value_json", "pred_json").join(golds.select(doc, "field", F.col("value_json").alias("gold_json")), [doc, "field"])
+    pairs = preds.withColumnRenamed("value_json", "pred_json").join(golds.select(*on, F.col("value_json").alias("gold_json")), on)
     return pairs.join(kinds, "field").withColumn("outcome", cell_outcome())
 
 

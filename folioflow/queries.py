@@ -395,6 +395,15 @@ def doc03_fabrication(spark, sf):
     return grounding.fabrication(commits, local, evidence)
 
 
+@query(_LOCAL + f", k AS (SELECT conv_id, turn, role AS field, CASE WHEN turn % 2 = 0 THEN 'yes' END AS p FROM conversations), c AS (SELECT field, {_OUTCOME.format(p='p', g='value_json')} AS outcome FROM k JOIN local USING (conv_id, turn, field)) SELECT field, {_COUNTS} FROM c GROUP BY field")
+def doc02_chunk_scores(spark, sf):
+    """Chunk answers against localized gold."""
+    local, _, turns = _local(spark, sf)
+    preds = turns.select("contract_name", "chunk_id", F.col("role").alias("field"), F.when(F.col("chunk_id") % 2 == 0, F.lit("yes")).alias("value_json"))
+    dim = spark.createDataFrame([(i, r, "single_choice", False, ["yes"]) for i, r in enumerate(("user", "assistant", "system"))], fields.FIELDS)
+    return scoring.subset_stats(scoring.score_cells(preds, local, dim, "contract_name", "chunk_id"), "field")
+
+
 @query("SELECT conv_id, turn, role AS field FROM conversations WHERE turn % 2 = 0 AND NOT contains(lower(text), CASE role WHEN 'user' THEN 'the' ELSE 'and' END)")
 def doc06_anchorless(spark, sf):
     turns = t(spark, sf, "conversations")
