@@ -50,7 +50,7 @@ BLOCKS = 0.42
 #: A value of at most so many classes gives all its pairs; a larger one goes by central classes and a hub.
 ALL_PAIRS, CENTRAL = 8, 3
 #: Shingles of a block of sets in step 5, about.
-BLOCK = 24_000
+BLOCK = 48_000
 #: Classes in candidate pairs up to this number (24 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -261,7 +261,7 @@ def _candidates(docs: DataFrame, text: str, n_buckets: int) -> DataFrame:
             bound = (n + np.minimum(4 * n // 3, top)) // 7
             # Of the D + 1 rarest blocks, those that occur nowhere else come first and meet nothing.
             take = bound + 1 - (live - found)
-            central = np.add.reduceat(often, first) // found
+            central = np.add.reduceat(often, first)  # in a group of near copies the largest where least was changed
             owner = np.repeat(np.arange(len(first)), found)
             kept = np.arange(len(keys)) - np.repeat(first, found) < np.repeat(take, found)
             for rows in _entries(keys[kept], owner[kept], [f1, n.astype(np.uint64), central.astype(np.uint64)], n_buckets):
