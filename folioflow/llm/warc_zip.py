@@ -32,6 +32,9 @@ LEAST_SHARED = 1_000
 #: Bytes of records after which a task begins another archive.
 ARCHIVE = 32 << 20
 
+#: Groups of copies up to this number (some 60 bytes each) are broadcast.
+BROADCAST_ROWS = 500_000
+
 # Signatures and layouts of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 LOCAL_F, CENTRAL_F, END_F, END64_F, LOCATOR64_F = "<4s5H3I2H", "<4s6H3I5H2I", "<4s4H2IH", "<4sQ2H2I4Q", "<4sIQI"
@@ -160,8 +163,11 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     rows = pages.select(F.col(quoted(page_id)).cast("long").alias("page_id"), F.col(quoted(url)).alias("url"), F.coalesce(F.col(quoted(html)), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
     copies = rows.where(F.col("size") >= shared).groupBy("sha1", "size").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    # Large groups of copies make large partitions here, which Spark splits: the other side has one row for each of them.
-    placed = rows.join(copies, ["sha1", "size"], "left")
+    copies = staged(copies, "copies")
+    # Few groups of copies are looked up where the payloads lie. Many are joined by a shuffle of the payloads, whose
+    # large partitions Spark splits: the other side has one row for each group.
+    small = copies.count() <= BROADCAST_ROWS
+    placed = rows.join(F.broadcast(copies) if small else copies, ["sha1", "size"], "left")
     revisit = F.col("target").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("target"))
     placed = placed.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "sha1", F.when(revisit, F.col("target")).alias("refers_to"))
 
