@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 import re
@@ -38,7 +39,18 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    return materialize(df, scratch(df.sparkSession, name))
+    """df as a table in the shared folder; shuffle files of plans that ended before are let go."""
+    spark = df.sparkSession
+    out = materialize(df, scratch(spark, name))
+    del df
+    release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver drop the shuffle files of plans that nobody holds any more, instead of at its next chance collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import materialize, partitions, quoted, remove, scratch, staged, tokenizer_path
+from folioflow.llm.common import materialize, partitions, quoted, release, remove, scratch, staged, tokenizer_path
 from folioflow.llm.tokens import word_tokenizer
 
 #: Chunk bounds in ids, and one cut in so many places that could be one.
@@ -179,6 +179,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
 
     ordered.mapInArrow(seal, RECORD.format(id=id_type)).write.option("compression", "none").parquet(f"{folder}/records")
     remove(spark, draft_path)
+    del draft, used, marks, documents, rows, ordered
+    release(spark)
     records = spark.read.parquet(f"{folder}/records")
     merkle(records).withColumn("width", F.lit(width)).coalesce(1).write.parquet(f"{folder}/manifest")
 
