@@ -399,6 +399,19 @@ def block_links(minors: list[tuple], members: list[tuple]) -> list[tuple[bytes,
     return out
 
 
+def _contracted(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels after further links, which matter only between components: one edge for each pair of them."""
+    name = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    ends = links.join(name("x"), "x", "left").join(name("y"), "y", "left").select(F.coalesce("lx", "x").alias("p"), F.coalesce("ly", "y").alias("q"))
+    edges = staged(ends.where("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct(), "edges")
+    if edges.limit(1).count() == 0:
+        return labels
+    joined = components(edges).select(F.col("node").alias("label"), F.col("label").alias("joined"))
+    # Nodes without a link before have no label yet and are their own.
+    every = labels.union(links.select("x", "x").union(links.select("y", "y")).distinct().toDF("node", "label").join(labels.select("node"), "node", "left_anti").select("node", "label"))
+    return staged(every.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label")), "labels")
+
+
 def _under_hubs(hubs: DataFrame, labels: DataFrame, values: DataFrame) -> DataFrame:
     """Step 5: links of the classes under a hub that are not in its component with any class under it."""
     named = values.select("f1", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -450,9 +463,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     labels = components(links)
     hubs = met.where(F.col("kind") == HUB).select("a", "b")
     if hubs.limit(1).count():
-        more = staged(_under_hubs(hubs, labels, values), "links")
-        if more.limit(1).count():
-            labels = components(links.union(more))
+        labels = _contracted(staged(_under_hubs(hubs, labels, values), "links"), labels)
     grouped = classes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
     by_class = grouped.join(heads, "label").select("node", "component_id")
