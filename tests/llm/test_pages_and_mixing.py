@@ -2,6 +2,7 @@ import hashlib
 import io
 import random
 import zipfile
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -127,3 +128,38 @@ def test_mix_places_every_document_once(spark, docs, odd):
 def test_default_weights_flatten_sizes(docs):
     w = mixing.source_weights(docs([(1, "x" * 99, "a"), (2, "x" * 399, "b"), (3, None, None)]).withColumn("source", F.col("source")))
     assert w["b"] / w["a"] == pytest.approx(2.0)
+
+
+def test_schedule_keeps_to_the_given_weights_over_many_periods():
+    for weights in ({i: 1.0 for i in range(20)}, {"a": 0.7, "b": 0.2, "c": 0.1, "d": 1e-4}, {i: (i + 1) ** 0.5 for i in range(7)}):
+        total = sum(map(Fraction, weights.values()))
+        share = {k: Fraction(w) / total for k, w in weights.items()}
+        span = 20 * mixing.PERIOD
+        plan = mixing.schedule(weights, {k: int(span * w) + 2 for k, w in share.items()})
+        for k, (_, _, _, slots) in plan.items():
+            for j, slot in enumerate(slots):  # the deviation is greatest just before and just after a block
+                if slot < span:
+                    assert abs(j - slot * share[k]) < 1 and abs(j + 1 - (slot + 1) * share[k]) < 1
+
+
+def test_a_source_of_weight_0_follows_all_others(docs):
+    rows = [(i, "x" * 99, "abc"[i % 3]) for i in range(90)]
+    got = mixing.mix(docs(rows), weights={"a": 3.0, "b": 1.0, "c": 0.0}, block=500).collect()
+    assert sorted(r._row.doc_id for r in got) == list(range(90))
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    assert min(r.slot for r in got if r._row.source == "c") > max(r.slot for r in got if r._row.source != "c")
+
+
+def test_weights_that_are_no_shares_are_refused(docs):
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="not negative"):
+            mixing.mix(docs([(1, "x", "a")]), weights={"a": bad})
+    with pytest.raises(ValueError, match="too small"):
+        mixing.schedule({"a": 1.0, "b": 1e-300}, {"a": 1, "b": 2})
+
+
+def test_mixed_documents_keep_to_the_given_weights_over_many_periods(docs):
+    rows = [(i, "x" * 99, "abc"[i % 3]) for i in range(1_200)]
+    got = mixing.mix(docs(rows), weights={"a": 1.0, "b": 1.0, "c": 1.0}, period=64, block=100).collect()
+    for r in got:
+        assert abs(r.block - r.slot / 3) < 1 and abs(r.block + 1 - (r.slot + 1) / 3) < 1
