@@ -4,7 +4,9 @@ Text nodes are gathered by their path of tags from the root to the leaf. A
 path's ratios - text per node, punctuation per node, the share of the text that
 is not link text - are fused, smoothed over the path's relatives (the paths that
 share its container), and compared with a threshold drawn from all paths of the
-page. What passes makes up the main text. Paths through elements that never hold
+page. What passes makes up the main text, and with it what is nested in the
+article or in the containers of what passes (cells, quotations, sections,
+lines), however short, unless most of it is link text. Paths through elements that never hold
 an article's text (navigation, forms, scripts, ...) score nothing.
 """
 
@@ -27,6 +29,9 @@ RAW = frozenset("script style textarea title noscript iframe template svg math o
 NEVER = RAW | frozenset("head nav footer aside form button menu dialog label fieldset figcaption".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTENT = frozenset("article main".split())
+#: Elements that hold blocks rather than being one, and those whose share of link text is measured: a cell counts with its table.
+HOLDS = frozenset("article main section div body html blockquote td".split())
+PARTS = frozenset("article main section div body html blockquote table ul ol dl".split())
 #: Words in class, id or role that mark what surrounds an article.
 ASIDE = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 #: Elements that an open element of the same kind ends, and those it cannot reach beyond.
@@ -42,6 +47,7 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 @dataclass
 class Node:
     path: tuple[str, ...]
+    elements: tuple[int, ...]  # the numbers of the elements of the path
     block: int
     text: str
     linked: bool
@@ -66,12 +72,13 @@ def _label(name: str, attributes: str) -> str:
 def text_nodes(page: str) -> list[Node]:
     """Text nodes in page order, character references decoded, each with its path and the number of its block. Unclosed elements end where HTML's rules for them say, or with their parent."""
     stack: list[str] = []
+    opened: list[int] = []
     nodes: list[Node] = []
     block, at, n = 0, 0, len(page)
 
     def add(raw: str) -> None:
         if raw:
-            nodes.append(Node(tuple(stack), block, entities.unescape(raw), "a" in stack))
+            nodes.append(Node(tuple(stack), tuple(opened), block, entities.unescape(raw), "a" in stack))
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -88,15 +95,16 @@ def text_nodes(page: str) -> list[Node]:
             if any(x.lstrip("!") == name for x in stack):
                 while stack.pop().lstrip("!") != name:
                     pass
+                del opened[len(stack) :]
         elif name in VOID:
             if name in ("br", "hr"):
-                nodes.append(Node(tuple(stack), block, " ", False))
+                nodes.append(Node(tuple(stack), tuple(opened), block, " ", False))
         else:
             # A block ends inline elements that were left open in the paragraph before it, together with the paragraph.
             ends = CLOSES.get(name, ()) or (("p",) if name in BLOCK else ())
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].lstrip("!") in ends:
-                    del stack[i:]
+                    del stack[i:], opened[i:]
                     break
                 if stack[i].lstrip("!") in LIMITS:
                     break
@@ -107,6 +115,7 @@ def text_nodes(page: str) -> list[Node]:
                 at = end.end() if end else n
                 continue
             stack.append(_label(name, m[3]))
+            opened.append(at)
     return nodes
 
 
@@ -120,12 +129,12 @@ def _barred(path: tuple[str, ...]) -> bool:
     return False
 
 
-def _container(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path down to its last element that holds blocks rather than being one."""
+def _depth(path: tuple[str, ...], names: frozenset) -> int:
+    """How far the path goes down to its last element of these names; 0 if there is none."""
     for i in range(len(path) - 1, -1, -1):
-        if path[i] in ("article", "main", "section", "div", "body", "html", "blockquote", "td"):
-            return path[: i + 1]
-    return path[:0]
+        if path[i] in names:
+            return i + 1
+    return 0
 
 
 def path_scores(nodes: list[Node]) -> dict[tuple[str, ...], Path]:
@@ -143,7 +152,7 @@ def path_scores(nodes: list[Node]) -> dict[tuple[str, ...], Path]:
         if not _barred(path):
             solid = 1 - p.linked / p.chars
             p.score = math.log1p(p.chars / p.nodes) * (1 + math.log1p(p.marks / p.nodes)) * solid
-            groups.setdefault(_container(path), []).append(p)
+            groups.setdefault(path[: _depth(path, HOLDS)], []).append(p)
     for members in groups.values():
         # Relatives share half of their container's ratio, each text-weighted: headings and lists stand with the paragraphs around them.
         total = sum(p.chars for p in members)
@@ -153,6 +162,30 @@ def path_scores(nodes: list[Node]) -> dict[tuple[str, ...], Path]:
     return paths
 
 
+def _nested(nodes: list[Node], passed: set) -> set:
+    """The places of the nodes that stand inside the article, or inside a container of a path that passed, and in a part of which at most half is link text."""
+    holders: set = set()
+    size: dict = {}
+    inside = []
+    part: dict = {}
+    for i, x in enumerate(nodes):
+        if not (n := len(x.text.strip())):
+            continue
+        if x.path not in part:
+            part[x.path] = (_barred(x.path), _depth(x.path, HOLDS), _depth(x.path, PARTS), bool(CONTENT & set(x.path)))
+        barred, h, p, content = part[x.path]
+        if barred:
+            continue
+        key = x.elements[p - 1] if p else -1
+        chars, linked = size.get(key, (0, 0))
+        size[key] = (chars + n, linked + n * x.linked)
+        inside.append((i, key, content))
+        # The body holds the whole page, so what stands beside its paragraphs is not theirs.
+        if h and x.path in passed and x.path[h - 1] not in ("body", "html"):
+            holders.add(x.elements[h - 1])
+    return {i for i, key, content in inside if 2 * size[key][1] <= size[key][0] and (content or not holders.isdisjoint(nodes[i].elements))}
+
+
 def main_text(page: str | None) -> str:
     """The article's text: its blocks in page order, white space inside each made one space, joined by one space."""
     nodes = text_nodes(page or "")
@@ -165,9 +198,11 @@ def main_text(page: str | None) -> str:
         return ""
     # Content paths stand out from the page's others; on a page of like paths all pass.
     threshold = min(max(scored) / 4, statistics.fmean(scored))
+    passed = {path for path, p in paths.items() if p.score >= threshold}
+    nested = _nested(nodes, passed)
     blocks: dict[int, list[str]] = {}
-    for x in nodes:
-        if not x.text.strip() or (x.path in paths and paths[x.path].score >= threshold):
+    for i, x in enumerate(nodes):
+        if not x.text.strip() or x.path in passed or i in nested:
             blocks.setdefault(x.block, []).append(x.text)
     parts = (_SPACE.sub(" ", "".join(b)).strip() for b in blocks.values())
     return " ".join(p for p in parts if p)

@@ -24,6 +24,15 @@ def test_main_text():
     assert "tail" in main_text("<article><p>" + "word, " * 50_000 + "tail.</p></article>")
 
 
+def test_short_parts_of_an_article_stay():
+    long = "<p>" + "word after word goes on, and so, again, on. " * 7 + "</p>"
+    table = "<table><tr><th>Day</th><th>No</th></tr><tr><td>12</td><td>Mon</td></tr><tr><td><a href=/t>13</a></td><td>Tue</td></tr></table>"
+    for start, end in (("<article>", "</article>"), ("<div id=text>", "</div>"), ("<main><div>", "</div></main>")):
+        for part, text in ((table, "Day No 12 Mon 13 Tue"), ("<blockquote>So it is</blockquote>", "So it is"), ("<section>Ends here</section>", "Ends here"), ("<div>Line one</div><div>Line <a href=/2>2</a></div>", "Line one Line 2")):
+            got = main_text(f"<html><body><nav>Home</nav>{start}{long}{part}{long}<div><a href=/>Next page</a></div>{end}<section>(c) me</section><footer>f</footer></body></html>")
+            assert f"again, on. {text} word after" in got and got.endswith("on."), (start, part, got)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="<>/pab!-\"'= &;x\n", max_size=60))
 def test_any_markup_is_survived(page):
