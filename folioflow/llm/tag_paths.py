@@ -16,7 +16,7 @@ import html as entities
 import math
 import re
 import statistics
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -34,12 +34,18 @@ HOLDS = frozenset("article main section div body html blockquote td".split())
 PARTS = frozenset("article main section div body html blockquote table ul ol dl".split())
 #: Words in class, id or role that mark what surrounds an article.
 ASIDE = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Those of them that mark what readers wrote, often more than the article itself.
+READERS = frozenset("comment comments disqus replies reply respond".split())
+#: Words of a class that make it say something of a page or its state (has-sidebar, comments-open), and those that make a header the text's own.
+MODIFIERS = frozenset("accepted closed disabled enabled has hidden hide no non not open opened show with without".split())
+OWN = frozenset("article content entry page post story".split())
 #: Elements that an open element of the same kind ends, and those it cannot reach beyond.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIMITS = frozenset("ul ol dl table article section div body html td th blockquote main nav aside footer header".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_HEADING = re.compile(r"h[1-6]")
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 
@@ -63,10 +69,23 @@ class Path:
     blocks: set = field(default_factory=set)
 
 
-def _label(name: str, attributes: str) -> str:
-    """The element's name in the path; ``!`` before it if its class, id or role says that it stands around the article."""
-    words = {w for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return "!" + name if words & ASIDE and name not in ("html", "body", *CONTENT) else name
+def _label(name: str, attributes: str, inside: bool) -> str:
+    """The element's name in the path; ``!`` before it if its class, id or role says that it stands around the article, ``!!`` if it says that readers wrote it.
+
+    A class says so by its first or last word (sidebar-left, site-header), not
+    with words for a state, nor after the ``--`` before a modifier. A header
+    inside an article, of an entry or in a heading is the text's own.
+    """
+    if name in ("html", "body", *CONTENT) or (name == "header" and inside):
+        return name
+    found: set = set()
+    for m in _NAMED.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            words = re.findall(r"[a-z]+", token.split("--")[0])
+            if words and MODIFIERS.isdisjoint(words):
+                ends = {words[0], words[-1]}
+                found |= ends & ASIDE - ({"header"} if inside or ends & OWN or _HEADING.fullmatch(name) else set())
+    return ("!!" if found & READERS else "!" if found else "") + name
 
 
 def text_nodes(page: str) -> list[Node]:
@@ -114,7 +133,7 @@ def text_nodes(page: str) -> list[Node]:
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = end.end() if end else n
                 continue
-            stack.append(_label(name, m[3]))
+            stack.append(_label(name, m[3], not CONTENT.isdisjoint(stack)))
             opened.append(at)
     return nodes
 
@@ -129,6 +148,24 @@ def _barred(path: tuple[str, ...]) -> bool:
     return False
 
 
+def _cleared(nodes: list[Node]) -> list[Node]:
+    """The nodes with the ``!`` taken off elements that hold more than half of the text (of the articles' text, if there is any): they stand around nothing."""
+    if not any(y[0] == "!" and y[1] != "!" for path in {x.path for x in nodes} for y in path):
+        return nodes
+    own = [(x, n) for x in nodes if not x.linked and (n := len(x.text.strip())) and NEVER.isdisjoint(x.path)]
+    own = [(x, n) for x, n in own if not CONTENT.isdisjoint(x.path)] or own
+    held: dict = {}
+    for x, n in own:
+        for name, element in zip(x.path, x.elements):
+            if name[0] == "!" and name[1] != "!":
+                held[element] = held.get(element, 0) + n
+    total = sum(n for _, n in own)
+    clear = {element for element, n in held.items() if 2 * n > total}
+    if not clear:
+        return nodes
+    return [replace(x, path=tuple(y.lstrip("!") if e in clear else y for y, e in zip(x.path, x.elements))) for x in nodes]
+
+
 def _depth(path: tuple[str, ...], names: frozenset) -> int:
     """How far the path goes down to its last element of these names; 0 if there is none."""
     for i in range(len(path) - 1, -1, -1):
@@ -188,7 +225,7 @@ def _nested(nodes: list[Node], passed: set) -> set:
 
 def main_text(page: str | None) -> str:
     """The article's text: its blocks in page order, white space inside each made one space, joined by one space."""
-    nodes = text_nodes(page or "")
+    nodes = _cleared(text_nodes(page or ""))
     # A page that names its article has its content there.
     if any(not _barred(x.path) and CONTENT & set(x.path) and x.text.strip() for x in nodes):
         nodes = [x for x in nodes if CONTENT & set(x.path)]

@@ -33,6 +33,20 @@ def test_short_parts_of_an_article_stay():
             assert f"again, on. {text} word after" in got and got.endswith("on."), (start, part, got)
 
 
+def test_names_of_templates_bar_no_article():
+    text = "word after word goes on, and so, again, on. " * 7
+    long, want = f"<p>{text}</p>", text.strip()
+    for name in ("content no-sidebar", "has-sidebar", "post comments-open", "layout--sidebar", "right-sidebar", "page_with_nav"):
+        assert main_text(f"<body><nav>Home</nav><div class='{name}'>{long}</div><div class=sidebar><p>Other.</p></div></body>") == want, name
+        assert main_text(f"<body><div class='{name}'><article>{long}</article></div><section><p>Other, than that.</p></section></body>") == want, name
+        assert main_text(f"<main><h1>T</h1><div class='{name}'>{long}</div></main>") == "T " + want, name
+    for title in ("<header class='entry-header'><h1>T</h1></header>", "<div class=entry-header><h1>T</h1></div>", "<h1 class=page-header>T</h1>"):
+        assert main_text(f"<article>{title}{long}</article>") == "T " + want
+    for aside in ("sidebar", "sidebar-left", "site-header", "nav main_nav", "ad_300", "Share"):
+        assert main_text(f"<body><div id=text>{long}</div><div class='{aside}'><p>Other, than that.</p></div></body>") == want, aside
+    assert main_text(f"<body><div id=text>{long}</div><div id=comments>{long * 9}</div></body>") == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="<>/pab!-\"'= &;x\n", max_size=60))
 def test_any_markup_is_survived(page):
