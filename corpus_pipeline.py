@@ -17,7 +17,7 @@ from folioflow.llm import line_crf
 from folioflow.llm.common import scratch, staged
 from folioflow.llm.decontaminate import decontaminate
 from folioflow.llm.mixing import in_mixed_order, mix
-from folioflow.llm.parity_join import near_duplicates
+from folioflow.llm.parity_join import further_copies
 from folioflow.llm.token_store import read_store, write_store
 
 
@@ -32,11 +32,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id. Rows without an id belong to no group that could name them and stay."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = staged(found.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    # Rows that repeat an id are copies of what stays, or else texts that only share its id.
+    """One row of each group stays: that with the smallest id. Texts that only share an id are not copies; rows without an id are copies like others."""
+    gone = staged(further_copies(docs.select("doc_id", "text")), "gone").withColumnRenamed("doc_id", "gone_id")
+    kept = docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id) & (F.xxhash64(docs.text) == gone.place), "left_anti")
+    # Rows that repeat both the id and the text of what stays.
     return kept.dropDuplicates(["doc_id", "text"])
 
 

@@ -439,18 +439,13 @@ def _under_hubs(hubs: DataFrame, labels: DataFrame, values: DataFrame) -> DataFr
     return full.groupBy("a", "i", "j").applyInArrow(link, "x binary, y binary")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, ``n_shingles``, ``component_id`` (smallest id reachable by links) of every row.
-
-    Null and empty texts have empty sets and are alone. Repeated rows are in one
-    component. A row with a null id takes part in links; its component's id is
-    the smallest id in it that is not null, null if there is none. An empty table
-    gives an empty result. Columns besides ``doc_id`` and the text are not read.
-    """
+def _grouped(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows, and for each class its component's label and its first row: that with the smallest id, ids that are null last."""
     spark = docs.sparkSession
     n_buckets = partitions(spark)
     sets = staged(_sets(docs, text), "sets")
-    classes = staged(sets.where("n > 0").groupBy("node", "f1").agg(F.min(F.struct("doc_id", "place")).alias("r"), F.min("doc_id").alias("first")).select("node", "f1", "r.doc_id", "r.place", "first"), "classes")
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "place"))
+    classes = staged(sets.where("n > 0").groupBy("node", "f1").agg(first.alias("r")).select("node", "f1", "r.none", "r.doc_id", "r.place"), "classes")
     met = staged(_candidates(docs, text, n_buckets), "candidates")
     pairs, weak = met.where(F.col("kind") == PAIR).select("a", "b"), met.where(F.col("kind") == WEAK).select(F.col("a").alias("f1"))
     wanted = staged(met.select(F.explode(F.array("a", "b")).alias("f1")).distinct(), "wanted")
@@ -464,14 +459,39 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     hubs = met.where(F.col("kind") == HUB).select("a", "b")
     if hubs.limit(1).count():
         labels = _contracted(staged(_under_hubs(hubs, labels, values), "links"), labels)
-    grouped = classes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    heads = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
+    return sets, classes.select("node", "none", "doc_id", "place").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, ``n_shingles``, ``component_id`` (smallest id reachable by links) of every row.
+
+    Null and empty texts have empty sets and are alone. Repeated rows are in one
+    component. A row with a null id takes part in links; its component's id is
+    the smallest id in it that is not null, null if there is none. An empty table
+    gives an empty result. Columns besides ``doc_id`` and the text are not read.
+    """
+    sets, grouped = _grouped(docs, text)
+    heads = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_class = grouped.join(heads, "label").select("node", "component_id")
     # A class of very many copies is one key of this join, whose large partitions Spark splits.
     found = sets.join(by_class, "node", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def further_copies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id and ``place`` (xxhash64 of the text) of the rows, each pair once, that are not the first of their component.
+
+    First is the row with the smallest id, then place; rows with null ids come
+    last. Rows that repeat both id and text are one here. Null and empty texts
+    are alone and first.
+    """
+    sets, grouped = _grouped(docs, text)
+    heads = grouped.groupBy("label").agg(F.min(F.struct("none", "doc_id", "place")).alias("head"))
+    by_class = grouped.join(heads, "label").select("node", F.col("head.doc_id").alias("head_id"), F.col("head.place").alias("head_place"))
+    found = sets.where("n > 0").join(by_class, "node")
+    return found.where("NOT (doc_id <=> head_id AND place = head_place)").select("doc_id", "place").distinct()
+
+
 def _weak_pairs(docs: DataFrame, weak: DataFrame, values: DataFrame, text: str) -> DataFrame:
     """Pairs of the (next to never any) weak classes with whatever document passes the similarity, in blocks of weak classes against all documents."""
     out = None

@@ -84,3 +84,14 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, odd):
         assert stage(spark, odd.limit(0), DATA).count() == 0
     once = corpus_pipeline.near_duplicate(spark, odd, DATA)
     assert once.where("doc_id = 3").count() == 1 and once.where("doc_id IS NULL").count() == 1
+
+
+def test_near_duplicate_stage_goes_by_rows_not_ids(spark, docs):
+    words = [f"w{i}" for i in range(120)]
+    a, near, nearer, b = " ".join(words), " ".join([*words, "x"]), " ".join([*words, "y", "z"]), " ".join(f"v{i}" for i in range(80))
+    rows = [(1, near), (5, a), (5, b), (5, b), (None, a), (8, None), (8, None), (9, "")]
+    left = lambda rows: sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate(spark, docs(rows), DATA).collect()), key=str)
+    assert left(rows) == sorted([(1, near), (5, b), (8, None), (9, "")], key=str)
+    for one in ([(7, a), (7, near), (7, nearer)], [(None, a), (None, near), (None, near), (None, nearer)]):
+        (row,) = left(one)
+        assert row in one
