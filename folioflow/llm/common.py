@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import hashlib
 import itertools
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache, wraps
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +29,13 @@ from pyspark.sql import types as T
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under spark.checkpoint.dir, the folder all executors share.
 
-    The setting is read from the session. Only where it is unset (tests, local
-    mode) does a temporary folder stand in.
+    The setting is read from the session. Only where it is unset and the session
+    is a local one does a temporary folder stand in; on a cluster that raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folioflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/folioflow/{name}-{uuid.uuid4().hex}"
@@ -62,6 +71,20 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def row_key() -> Column:
+    """What names a row of a Parquet table: its file and its place in it."""
+    return F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+
+
+def with_rows(docs: DataFrame, name: str) -> tuple[DataFrame, str | None]:
+    """docs with a key for each row, and the folder that it had to be written to if it is no table of files."""
+    try:
+        return docs.withColumn(name, row_key()), None
+    except AnalysisException:
+        path = scratch(docs.sparkSession, "rows")
+        return materialize(docs, path).withColumn(name, row_key()), path
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,12 +98,50 @@ def arrow_type(t: T.DataType) -> pa.DataType:
     return to_arrow_type(t)
 
 
+_worker: dict = {"kind": None, "caches": {}}
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, so that a reused worker does not hold what a stage before needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def in_worker(kind: str, run: Callable) -> Callable:
+    """``run`` as a task's function over Arrow batches. Python workers outlive tasks: caches of another ``kind`` go when it begins."""
+
+    @wraps(run)
+    def task(batches):
+        if _worker["kind"] != kind:
+            _worker.update(kind=kind, caches={})
+            gc.collect()
+            _trim()
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return task
+
+
+def worker_cache(key, make: Callable):
+    """What ``make`` gives, held by the worker for the tasks of one kind that follow each other."""
+    caches = _worker["caches"]
+    if key not in caches:
+        caches[key] = make()
+    return caches[key]
+
+
 def append_columns(
     df: DataFrame,
     inputs: list[str],
     fields: list[T.StructField],
     compute: Callable[[Iterator[list[pa.Array]]], Iterator[tuple[list[pa.Array], pa.Array | None]]],
     carry: list[str] | None = None,
+    kind: str = "columns",
 ) -> DataFrame:
     """Run ``compute`` over Arrow batches and append its columns, without a shuffle.
 
@@ -88,32 +149,37 @@ def append_columns(
     for each batch, the new columns and optionally a Boolean mask of rows to keep.
     The columns in ``carry`` (all, if None) travel through as one struct, so that
     a name which the new columns also use does not clash; it is flattened again
-    by the caller with ``_row.*``.
+    by the caller with ``_row.*``. An input that is carried is read out of the
+    struct: nothing goes to Python twice.
     """
     names = df.columns if carry is None else carry
     row = F.struct(*[df[quoted(c)].alias(c) for c in names]) if names else F.struct(F.lit(None).cast("int").alias("_"))
-    picked = df.select(row.alias("_row"), *[df[quoted(c)].alias(f"_in{i}") for i, c in enumerate(inputs)])
+    alone = [c for c in dict.fromkeys(inputs) if c not in names]
+    picked = df.select(row.alias("_row"), *[df[quoted(c)].alias(f"_in{i}") for i, c in enumerate(alone)])
     schema = T.StructType([picked.schema["_row"], *fields])
     types = [arrow_type(f.dataType) for f in fields]
     labels = ["_row", *[f.name for f in fields]]
+    places = [(0, names.index(c)) if c in names else (1 + alone.index(c), None) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, source = itertools.tee(batches)
-        for batch, (columns, mask) in zip(kept, compute([b.column(i + 1) for i in range(len(inputs))] for b in source)):
+        columns_of = ([b.column(i) if k is None else b.column(i).field(k) for i, k in places] for b in source)
+        for batch, (columns, mask) in zip(kept, compute(columns_of)):
             arrays = [batch.column(0), *[c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)]]
             out = pa.RecordBatch.from_arrays(arrays, names=labels)
             yield out.filter(mask) if mask is not None else out
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(in_worker(kind, run), schema)
 
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def plain_types(df: DataFrame) -> DataFrame:
-    """void columns (all null) as strings: Parquet has no void."""
-    return df.withColumns({c: F.col(quoted(c)).cast("string") for c, t in df.dtypes if t == "void"})
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first[i] to first[i] + size[i] - 1 of every i, one after another."""
+    before = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.zeros(0, np.int64)
+    return np.repeat(np.asarray(first, np.int64) - before, size) + np.arange(int(size.sum()) if len(size) else 0)
 
 
 def task_id() -> tuple[int, int]:
@@ -124,11 +190,14 @@ def task_id() -> tuple[int, int]:
 
 # ---------------------------------------------------------------- words
 
-#: ASCII folded to lower case, all that is neither alphanumeric nor beyond ASCII turned into blanks.
+#: ASCII folded to lower case, all that is neither alphanumeric nor beyond ASCII turned into blanks; folding alone.
 _ALNUM = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+ALNUM, FOLD = np.frombuffer(_ALNUM, np.uint8), np.frombuffer(_FOLD, np.uint8)
+#: Bytes that are not ASCII white space.
+SOLID = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def alnum_words(text: str | None) -> list[bytes]:
@@ -136,34 +205,126 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_ALNUM).split() if text else []
 
 
-def blank_words(text: str | None, fold: bool = False) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8, with A-Z lower-cased if fold; null has none."""
-    if not text:
-        return []
-    data = text.encode("utf-8", "surrogatepass")
-    return (data.translate(_FOLD) if fold else data).split()
-
-
-class TwoGenerations(dict):
-    """A cache of bounded size: ``make`` gives missing values; old entries that are not asked for again go.
-
-    Lookups are plain ``dict`` lookups, so that ``map(cache.__getitem__, words)``
-    stays in C for hits.
-    """
-
-    def __init__(self, make: Callable, limit: int = 300_000):
-        super().__init__()
-        self._make, self._limit, self._old = make, limit, {}
-
-    def __missing__(self, key):
-        value = self._old.get(key)
-        if value is None:
-            value = self._make(key)
-        if len(self) >= self._limit:
-            self._old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+def text_slices(column: pa.Array, most: int = 2 << 20) -> Iterator[pa.Array]:
+    """The column in parts of at most ``most`` bytes of text; a longer text is a part of its own. What is made of a part is bounded by it."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, done = 0, 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(sizes, done + most, "right")))
+        yield column.slice(at, end - at)
+        at, done = end, int(sizes[end - 1])
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 of all texts in one array, and each text's first byte in it (with the end). A null text has none."""
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    texts = pc.fill_null(texts.cast(pa.large_binary() if wide else pa.binary()), b"")
+    n = len(texts)
+    _, offsets, data = texts.buffers()
+    if not n or data is None:
+        return np.empty(0, np.uint8), np.zeros(n + 1, np.int64)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def runs(solid: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true places, which end where a text does."""
+    edge = np.zeros(len(solid) + 1, bool)
+    edge[texts] = True
+    start = solid.copy()
+    start[1:] &= ~solid[:-1] | edge[1:-1]
+    end = solid.copy()
+    end[:-1] &= ~solid[1:] | edge[1:-1]
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+@dataclass
+class Words:
+    """The words of a slice of texts: ``data`` (bytes), where each word begins and ends in it, and each text's first word and first byte (with the end)."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    bytes: np.ndarray
+
+    def some(self, places: np.ndarray) -> Words:
+        """Only the words at ascending places."""
+        return Words(self.data, self.start[places], self.end[places], np.searchsorted(places, self.first), self.bytes)
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.end[i]].tobytes()
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the words: tabulation up to ``TABLED`` bytes, a digest beyond."""
+        size = self.end - self.start
+        if not len(size):
+            return np.empty(0, np.uint64)
+        place = spans(self.start, np.minimum(size, TABLED))
+        first = np.cumsum(np.minimum(size, TABLED)) - np.minimum(size, TABLED)
+        inside = np.arange(len(place)) - np.repeat(first, np.minimum(size, TABLED))
+        out = np.bitwise_xor.reduceat(_tables()[(inside << 8) | self.data[place]], first)
+        for i in np.flatnonzero(size > TABLED).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.word(i), digest_size=8).digest(), "little")
+        return out
+
+
+#: Bytes of a word that its tabulation hash has tables for.
+TABLED = 48
+
+
+@lru_cache(maxsize=1)
+def _tables() -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(20_240_917)).integers(0, 1 << 64, TABLED << 8, np.uint64)
+
+
+def words_of(texts: pa.Array, table: np.ndarray | None = None) -> Words:
+    """What stands between ASCII white space once every byte went through ``table``."""
+    raw, at = text_bytes(texts)
+    data = raw if table is None else table[raw]
+    start, end = runs(SOLID[data], at)
+    return Words(data, start, end, np.searchsorted(start, at), at)
+
+
+class SortedCache:
+    """Arrays by 64-bit key, looked up for many keys at once; beyond ``limit`` keys only those of the last lookup stay."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.keys, self.at, self.size, self.pool = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def find(self, keys: np.ndarray, make: Callable[[np.ndarray], list[bytes]], held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool, first places, sizes) of the values of distinct sorted keys. ``make`` gives the missing ones' values (little-endian unsigned 32-bit integers), of which those in ``held`` stay."""
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        missing = np.flatnonzero(~known)
+        at, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        at[known], size[known] = self.at[place[known]], self.size[place[known]]
+        if len(missing):
+            values = make(missing)
+            lengths = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+            pool = np.concatenate([self.pool, np.frombuffer(b"".join(values), "<u4")])
+            at[missing], size[missing] = len(self.pool) + np.cumsum(lengths) - lengths, lengths
+            if len(self.keys) + len(missing) > self.limit:
+                stays = np.flatnonzero(held)[: self.limit]
+                self.keys, self.size = keys[stays], size[stays]
+                self.at = np.cumsum(self.size) - self.size
+                self.pool = pool[spans(at[stays], self.size)]
+            else:
+                new = missing[held[missing]]
+                spot = np.searchsorted(self.keys, keys[new])
+                self.keys, self.at, self.size = np.insert(self.keys, spot, keys[new]), np.insert(self.at, spot, at[new]), np.insert(self.size, spot, size[new])
+                self.pool = pool if held[missing].all() else self._packed(pool)
+            return pool, at, size
+        return self.pool, at, size
+
+    def _packed(self, pool: np.ndarray) -> np.ndarray:
+        """The pool without what is not held."""
+        out = pool[spans(self.at, self.size)]
+        self.at = np.cumsum(self.size) - self.size
+        return out
 
 
 def tokenizer_path(name: str) -> str:

@@ -2,57 +2,69 @@
 
 Two documents link when the Jaccard similarity of their sets of 5-word shingles
 is at least 3/4; for set sizes a and b that is a symmetric difference of at most
-(a + b) / 7. A parity sketch XORs every shingle into one bit, so the Hamming
-distance of two sketches never exceeds the symmetric difference. The sketch is
-cut into B blocks (B fixed for each size band); every differing shingle spoils
-at most one block, so linked documents agree on all but D = (a + b) / 7 blocks.
-A block is kept as the XOR of the codes of its flipped bits, 64 bits wide.
-
-1. Documents with equal sets form one class (128-bit fingerprint): a group of
-   copies, however large, goes on as one set.
-2. Counting: blocks meet in buckets of their value. A class for which fewer of
-   its N non-empty blocks than N - D occur in any other class has no link and is
-   done. The others keep the D + 1 blocks that occur least often, which is enough
-   by the prefix rule; this keeps the passages, lines and phrases that many
-   documents share out of the join. Only packed arrays are shuffled.
-3. Candidates: classes join on the blocks kept. A value that few classes share
-   gives all their pairs. One that many share (a large group of near copies) gives
-   pairs with its most central classes, and all are put under the first of those,
-   their hub.
-4. Candidates are verified on whole sets. Links contract into components
-   (hash-to-min with pointer jumping).
+(a + b) / 7. A parity sketch flips one bit for every shingle, so the Hamming
+distance of two sketches never exceeds the symmetric difference. Sizes are dealt
+with in bands g (2**g to 2**(g+1) - 1, of the larger set); every band has one wide
+sketch of B blocks of 2**32 bits each. It is kept in two forms:
+
+* by blocks: a block's value is the XOR of the codes of its flipped bits. Every
+  differing shingle spoils at most one block, so linked documents agree on all
+  but D = (a + b) / 7 of their non-empty blocks;
+* folded to 2**(g+2) bits: folding a sketch XORs its halves, so distances still
+  bound the symmetric difference from below.
+
+1. One pass over the texts gives every row's set size, fingerprint (128 bits) and
+   folded sketch, and counts the blocks' values in a sketch of ``CELLS`` cells.
+   Rows with equal sets form one class: a group of copies, however large, goes on
+   as one set.
+2. Pigeonhole join: whatever fixed order the values have, two classes that link
+   share one of the first D + 1 of each. The order is by counted cell, rare ones
+   first, which keeps the passages, lines and phrases that many documents share
+   out of the join. These entries are all that is shuffled, once, into buckets of
+   about ``BUCKET`` entries, which are met one at a time.
+3. A value that few classes share gives all their pairs. One that many share (a
+   large group of near copies) gives pairs with its most central classes, and all
+   are put under the first of those, their hub.
+4. Candidates whose folded sketches are farther apart than D go. What is left is
+   verified on whole sets. Links contract into components (hash-to-min with
+   pointer jumping).
 5. Under each hub, the classes that are not in the hub's component are held
-   against all classes under it, block of sets against block of sets; only links
-   come out. Nothing is capped: a pair goes unverified only if it is in one
-   component already, or if sizes or blocks rule it out.
+   against all classes under it: by folded sketches first, block against block,
+   then on the whole sets of those that come near another. Nothing is capped: a
+   pair goes unverified only if it is in one component already, or if sizes,
+   blocks or sketches rule it out.
 
-In bands of fewer than ``SMALL`` shingles each shingle is a block of its own. In
-larger ones a class with no more than D non-empty blocks could escape (odds
-below one in a billion); such classes, if any, are held against all documents.
+A class with no more than D non-empty blocks could escape the pigeonhole (odds
+below one in a million); such classes, if any, are held against all documents.
 """
 
 from __future__ import annotations
 
-import hashlib
-from functools import lru_cache
+import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import TwoGenerations, blank_words, partitions, quoted, remove, scratch, staged
+from folioflow.llm.common import FOLD, in_worker, materialize, partitions, quoted, release, remove, scratch, spans, text_bytes, text_slices, with_rows, words_of
 
 WORDS = 5
-SMALL = 128
-#: Blocks for each shingle of a band's upper size.
-BLOCKS = 0.42
+#: Blocks of a band's sketch for each shingle of the band's upper size, and at least.
+BLOCKS, LEAST_BLOCKS = 0.42, 2_048
+#: Cells of the count sketch: one byte each in the broadcast, at every size of corpus. They are merged in so many ranges.
+CELLS, RANGES = 1 << 22, 64
+#: Entries of a bucket, about, at 16 bytes each; and entries that a task holds before it sends them.
+BUCKET, HELD = 1_000_000, 1_000_000
 #: A value of at most so many classes gives all its pairs; a larger one goes by central classes and a hub.
-ALL_PAIRS, CENTRAL = 8, 3
-#: Shingles of a block of sets in step 5, about.
-BLOCK = 48_000
-#: Classes in candidate pairs up to this number (24 bytes each) are broadcast to pick their texts; more are joined by shuffle.
+ALL_PAIRS, CENTRAL = 32, 3
+#: Shingles of a block of classes in step 5, about.
+BLOCK = 200_000
+#: Rows (16 bytes each) up to which a set of row keys is broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of weak classes' sets that are held against all documents in one pass.
+WEAK_BYTES = 16 << 20
 
 _U = np.uint64
 
@@ -69,264 +81,351 @@ def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 _PLACES = _mix(np.arange(1, WORDS + 1, dtype=np.uint64), 7) | _U(1)
 
 
-@lru_cache(maxsize=1)
-def _word_hashes() -> TwoGenerations:
-    return TwoGenerations(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 250_000)
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's 5-word shingles, one text after another, and each text's first place (with the end). Fewer words are one shingle, none an empty set."""
+    words = words_of(texts, FOLD)
+    h, count = words.hashes(), np.diff(words.first)
+    size = np.where(count >= WORDS, count - WORDS + 1, np.minimum(count, 1))
+    at = np.concatenate([[0], np.cumsum(size)])
+    flat = np.empty(at[-1], np.uint64)
+    full = count >= WORDS
+    with np.errstate(over="ignore"):
+        if full.any():
+            total = h[: len(h) - WORDS + 1] * _PLACES[0]
+            for k in range(1, WORDS):
+                total += h[k : len(h) - WORDS + 1 + k] * _PLACES[k]
+            flat[spans(at[:-1][full], size[full])] = _mix(total[spans(words.first[:-1][full], size[full])])
+        for i in np.flatnonzero(~full & (count > 0)).tolist():
+            n = int(count[i])
+            part = h[words.first[i] : words.first[i + 1]]
+            flat[at[i] : at[i + 1]] = _mix((_mix(part, n) * _PLACES[:n]).sum(dtype=np.uint64, keepdims=True), n)
+    for a, b in zip(at[:-1][size > 1].tolist(), at[1:][size > 1].tolist()):
+        flat[a:b].sort()
+    fresh = np.ones(len(flat), bool)
+    fresh[1:] = flat[1:] != flat[:-1]
+    fresh[at[:-1][size > 0]] = True
+    return flat[fresh], np.concatenate([[0], np.cumsum(fresh)])[at]
+
+
+def fingerprints(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums for each set; those of an empty one are 0."""
+    size = np.diff(first)
+    out = np.zeros((len(size), 2), np.uint64)
+    if len(flat):
+        with np.errstate(over="ignore"):
+            out[size > 0, 0] = np.add.reduceat(_mix(flat, 11), first[:-1][size > 0])
+            out[size > 0, 1] = np.add.reduceat(_mix(flat, 12), first[:-1][size > 0]) ^ size[size > 0].astype(np.uint64)
+    return out
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's 5-word shingles; fewer words are one shingle, none an empty set."""
-    words = blank_words(text, fold=True)
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, n)
-    with np.errstate(over="ignore"):
-        if n < WORDS:
-            return _mix((_mix(h, n) * _PLACES[:n]).sum(dtype=np.uint64, keepdims=True), n)
-        total = h[: n - WORDS + 1] * _PLACES[0]
-        for k in range(1, WORDS):
-            total = total + h[k : n - WORDS + 1 + k] * _PLACES[k]
-    return np.unique(_mix(total))
+def difference_bound(n, top):
+    """Largest symmetric difference of a set of n with any partner of at most ``top`` that it can link with."""
+    return (n + np.minimum(4 * n // 3, top)) // 7
 
 
-def fingerprint(s: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        return int(_mix(s, 11).sum(dtype=np.uint64)), int(_mix(s, 12).sum(dtype=np.uint64) ^ _U(len(s)))
+def band(n: np.ndarray) -> np.ndarray:
+    """Band g of a set of n: 2**g <= n < 2**(g+1)."""
+    return np.frexp(np.maximum(n, 1).astype(np.float64))[1].astype(np.int64) - 1
 
 
-def difference_bound(n: int, top: int) -> int:
-    """Largest symmetric difference of a set of n with any partner of at most ``top`` that it can link with."""
-    return (n + min(4 * n // 3, top)) // 7
+def reaches_next(n: np.ndarray) -> np.ndarray:
+    """Can a set of n link with one of the next band, which begins within 4/3 n? Then it is in both."""
+    return 3 * (np.int64(2) << band(n)) <= 4 * n
 
 
-def bands(n: int) -> list[int]:
-    """Bands g (sizes 2**g to 2**(g+1) - 1, of the larger set) in which a set of n can find a partner: its own, and the next if that begins within 4/3 n."""
-    g = n.bit_length() - 1
-    return [g, g + 1] if 3 * (2 << g) <= 4 * n else [g]
+def widths(n: np.ndarray) -> np.ndarray:
+    """Bits of the folded sketch of a set of n: those of the highest band that it is in, 64 at least."""
+    return np.maximum(np.int64(4) << (band(n) + reaches_next(n)), 64)
 
 
-def block_keys(s: np.ndarray, g: int) -> np.ndarray:
-    """Values of the non-empty blocks of the set's sketch in band g, ascending, with the band and block number mixed in."""
-    top = (2 << g) - 1
-    if top < SMALL:
-        return np.sort(_mix(s, 100 + g))
-    n_blocks = int(top * BLOCKS)
-    spread = _mix(s, 200 + g)
-    block = (spread >> _U(32)) * _U(n_blocks) >> _U(32)
-    bit = spread & _U(0xFFFFFFFF)
-    order = np.argsort(block)
-    block = block[order]
-    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    values = np.bitwise_xor.reduceat(_mix(bit[order], 300), first)
-    live = values != 0  # all its bits flipped back
-    return np.sort(_mix(values[live] ^ _mix(block[first][live], 400 + g)))
+def folded_sketches(flat: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """The folded parity sketch of each set."""
+    n = np.diff(first)
+    bits = np.where(n > 0, widths(n), 0)
+    at = np.concatenate([[0], np.cumsum(bits)])
+    place = np.repeat(at[:-1], n) + (flat & np.repeat((bits - 1).astype(np.uint64), n)).astype(np.int64)
+    flipped = (np.bincount(place, minlength=at[-1]) & 1).astype(np.uint8)
+    packed = np.packbits(flipped, bitorder="little").tobytes()
+    return [packed[a >> 3 : b >> 3] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def _signed(x) -> np.ndarray:
-    return np.asarray(x, np.uint64).view(np.int64)
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) folded to so many words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
-def _sets(docs: DataFrame, text: str) -> DataFrame:
-    """id, place (hash of the text), n and fingerprint (node, and f1, its first half) of every document."""
+@np.errstate(over="ignore")
+def block_keys(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Values of the non-empty blocks of the sets' sketches, 56 bits with band and block number mixed in, for each set and band one after another; where they begin (with the end); the set and the band."""
+    n = np.diff(first)
+    one, two = np.flatnonzero(n > 0), np.flatnonzero((n > 0) & reaches_next(n))
+    view = np.concatenate([one, two])
+    g = np.concatenate([band(n[one]), band(n[two]) + 1])
+    order = np.argsort(view, kind="stable")
+    view, g = view[order], g[order]
+    s = flat[spans(first[:-1][view], n[view])]
+    owner = np.repeat(np.arange(len(view)), n[view])
+    blocks = np.maximum(((np.int64(2) << g) * BLOCKS).astype(np.int64), LEAST_BLOCKS).astype(np.uint64)
+    block = ((s >> _U(32)) * blocks[owner]) >> _U(32)  # ascending in a sorted set
+    edge = np.ones(len(s), bool)
+    edge[1:] = (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])
+    begin = np.flatnonzero(edge)
+    if not len(begin):
+        return np.empty(0, np.uint64), np.zeros(len(view) + 1, np.int64), view, g
+    values = np.bitwise_xor.reduceat(_mix(s & _U(0xFFFFFFFF), 300), begin)
+    live = values != 0  # else all its bits flipped back
+    begin, values = begin[live], values[live]
+    keys = _mix(values ^ _mix((g.astype(np.uint64) << _U(40))[owner[begin]] ^ block[begin], 400)) >> _U(8)
+    return keys, np.searchsorted(owner[begin], np.arange(len(view) + 1)), view, g
 
-    def run(batches):
-        for b in batches:
-            sets = [shingle_set(t) for t in b.column(2).to_pylist()]
-            prints = np.array([fingerprint(s) for s in sets], np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(prints[:, 0].copy())), pa.array([p.tobytes() for p in prints], pa.binary())], names=["doc_id", "place", "n", "f1", "node"])
 
-    return docs.select("doc_id", F.xxhash64(quoted(text)).alias("place"), F.col(quoted(text)).alias("text")).mapInArrow(run, "doc_id long, place long, n long, f1 long, node binary")
+def bounds(n: np.ndarray, view: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """D of each set in each of its bands."""
+    return difference_bound(n[view], (np.int64(2) << g) - 1)
 
 
-def _packed(rows: list[tuple[int, list[np.ndarray]]], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[1][i].tobytes() for r in rows], pa.binary()) for i in range(len(names))]], names=["bucket", *names])
+def _cell(keys: np.ndarray) -> np.ndarray:
+    return (keys >> _U(56 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def _by_bucket(bucket: np.ndarray, n_buckets: int):
-    """(bucket, positions) of the buckets that occur."""
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    for b in range(n_buckets):
-        if edges[b] < edges[b + 1]:
-            yield b, order[edges[b] : edges[b + 1]]
+def _signed(x) -> np.ndarray:
+    return np.ascontiguousarray(np.asarray(x, np.uint64)).view(np.int64)
 
 
-def _gather(batches, dtypes: list) -> dict[int, list[list[np.ndarray]]]:
-    """Columns of packed arrays by bucket."""
-    out: dict[int, list[list[np.ndarray]]] = {}
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            out.setdefault(row[0], []).append([np.frombuffer(x, d) for x, d in zip(row[1:], dtypes)])
-    return out
+def _fresh(prints: np.ndarray, n: np.ndarray, seen: set) -> np.ndarray:
+    """The non-empty sets that the task has not seen, each once."""
+    out = []
+    for i, (p, k) in enumerate(zip(prints[:, 0].tolist(), n.tolist())):
+        if k and p not in seen:
+            seen.add(p)
+            out.append(i)
+    return np.array(out, np.int64)
+
+
+def _only(flat: np.ndarray, first: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(first)[some]
+    return flat[spans(first[:-1][some], n)], np.concatenate([[0], np.cumsum(n)])
 
 
-def _unpack(blobs: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Values and, for each, its class's columns: entries are 48 bits of value over 16 bits of place in the blob's head."""
-    values = np.concatenate([b[0] >> _U(16) for b in blobs])
-    heads = [np.concatenate([head[(b[0] & _U(0xFFFF)).astype(np.int64)] for b, head in zip(blobs, (x[i] for x in blobs))]) for i in range(1, len(blobs[0]))]
-    return values, heads
+SETS = "doc_id {id}, key struct<f:long,r:long>, n long, f1 long, node binary, sketch binary, weak boolean, cells int, counts binary"
 
 
-def _entries(flat: np.ndarray, owner: np.ndarray, heads: list[np.ndarray], n_buckets: int):
-    """Packed rows: for each bucket the entries of up to 65,536 owners (ascending), and the heads of those that have any there."""
-    for low in range(0, len(heads[0]), 1 << 16):
-        a, b = np.searchsorted(owner, [low, low + (1 << 16)])
-        part, own = flat[a:b], owner[a:b]
-        rows = []
-        for bucket, at in _by_bucket((part >> _U(48)).astype(np.int64) % n_buckets, n_buckets):
-            present, place = np.unique(own[at], return_inverse=True)
-            rows.append((bucket, [(part[at] << _U(16)) | place.astype(np.uint64), *[h[present] for h in heads]]))
-        yield rows
+def _sets(docs: DataFrame, id_type: str) -> DataFrame:
+    """Step 1: of every row its id, key, set size, fingerprint (node, and f1, its first half), folded sketch, and whether it could escape the pigeonhole; and rows with counted cells."""
+    none = pa.nulls
+
+    def run(batches):
+        cells, seen, kinds = np.zeros(CELLS, np.uint32), set(), []
+        for batch in batches:
+            at, kinds = 0, [batch.column(0).type, batch.column(1).type]
+            for part in text_slices(batch.column(2)):
+                flat, first = shingle_sets(part)
+                n, prints = np.diff(first), fingerprints(flat, first)
+                keys, edges, view, g = block_keys(flat, first)
+                weak = np.zeros(len(n), bool)
+                weak[view[np.diff(edges) <= bounds(n, view, g)]] = True
+                some = np.zeros(len(n), bool)
+                some[_fresh(prints, n, seen)] = True
+                cells += np.bincount(_cell(keys[np.repeat(some[view], np.diff(edges))]), minlength=CELLS).astype(np.uint32)
+                k = len(part)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, k), batch.column(1).slice(at, k), pa.array(n), pa.array(_signed(prints[:, 0])), pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(folded_sketches(flat, first), pa.binary()), pa.array(weak), none(k, pa.int32()), none(k, pa.binary())],
+                    names=["doc_id", "key", "n", "f1", "node", "sketch", "weak", "cells", "counts"],
+                )
+                at += k
+        press = zstandard.ZstdCompressor(level=1)
+        if cells.any():
+            counts = [press.compress(x.tobytes()) for x in np.split(cells, RANGES)]
+            kinds += [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([*[none(RANGES, t) for t in kinds], pa.array(range(RANGES), pa.int32()), pa.array(counts, pa.binary())], names=["doc_id", "key", "n", "f1", "node", "sketch", "weak", "cells", "counts"])
+
+    return docs.select("doc_id", "_key", "text").mapInArrow(in_worker("shingles", run), SETS.format(id=id_type))
+
+
+def _ranks(counted: DataFrame) -> np.ndarray:
+    """For each cell the logarithm of its count, in eighths, as one byte."""
+
+    def add(batches):
+        unpress, total = zstandard.ZstdDecompressor(), {}
+        for b in batches:
+            for r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                counts = np.frombuffer(unpress.decompress(x), np.uint32)
+                total[r] = total[r] + counts if r in total else counts.astype(np.uint64)
+        ranks = [np.minimum(np.rint(8 * np.log2(1 + x.astype(np.float64))), 255).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], names=["cells", "ranks"])
+
+    out = np.zeros(CELLS, np.uint8)
+    for r in counted.repartitionById(RANGES, F.col("cells")).mapInArrow(in_worker("count", add), "cells int, ranks binary").collect():
+        out[r.cells * (CELLS // RANGES) : (r.cells + 1) * (CELLS // RANGES)] = np.frombuffer(r.ranks, np.uint8)
+    return out
+
 
+_ENTRY = np.dtype([("key", "<u4"), ("f1", "<u8"), ("code", "<u4")])
+PAIR, HUB = 0, 1
 
-def _runs(values: np.ndarray) -> np.ndarray:
-    """Edges of runs of equal values, values sorted."""
-    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
 
+def _codes(n: np.ndarray, central: np.ndarray) -> np.ndarray:
+    """Set size (sixteenths of its logarithm, rounded down) and centrality (the upper bits of a float) in 32 bits."""
+    size = np.minimum(16 * np.log2(np.maximum(n, 1)), 255).astype(np.uint32)
+    return (size << np.uint32(24)) | (central.astype(np.float32).view(np.uint32) >> np.uint32(7))
 
-def _meta(n: int, live: int, g: int) -> int:
-    return (n << 36) | (live << 8) | g
 
+def _entries(docs: DataFrame, ranks: np.ndarray, n_buckets: int) -> DataFrame:
+    """Step 2: (bucket, packed entries) of the D + 1 rarest blocks of every class."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
-def _candidates(docs: DataFrame, text: str, n_buckets: int) -> DataFrame:
-    """Steps 2 and 3: rows (a, b, kind) of f1: candidate pairs (PAIR), classes b under a hub a (HUB), and classes a that could escape (WEAK)."""
-    dtypes = [np.uint64, np.uint64, np.uint64]
+    def send(held: list[tuple[np.ndarray, np.ndarray]]):
+        bucket, entries = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(bucket, kind="stable")
+        bucket, entries = bucket[order], entries[order]
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        for low in range(0, len(edges) - 1, 4096):
+            cut = edges[low : low + 4097].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int64()), pa.array([entries[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "entries"])
 
-    def spread(batches):
+    def run(batches):
+        rank, seen, held, size = shared.value, set(), [], 0
         for batch in batches:
-            seen, keys, f1, meta, weak = set(), [], [], [], []
-            for t in batch.column(0).to_pylist():
-                s = shingle_set(t)
-                if not len(s) or (p := fingerprint(s)) in seen:
+            for part in text_slices(batch.column(0)):
+                flat, first = shingle_sets(part)
+                prints = fingerprints(flat, first)
+                some = _fresh(prints, np.diff(first), seen)
+                flat, first = _only(flat, first, some)
+                n = np.diff(first)
+                keys, edges, view, g = block_keys(flat, first)
+                if not len(keys):
                     continue
-                seen.add(p)
-                for g in bands(len(s)):
-                    k = block_keys(s, g)
-                    if len(k) <= difference_bound(len(s), (2 << g) - 1):
-                        weak.append(p[0])
-                    keys.append(k)
-                    f1.append(p[0])
-                    meta.append(_meta(len(s), len(k), g))
-            if keys:
-                owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-                for rows in _entries(np.concatenate(keys), owner, [np.array(f1, np.uint64), np.array(meta, np.uint64)], n_buckets):
-                    yield _packed(rows, ["entries", "f1", "meta"])
-            if weak:
-                yield _packed([(-1, [np.array(weak, np.uint64)] * 3)], ["entries", "f1", "meta"])
-
-    def count(batches):
-        for bucket, blobs in _gather(batches, dtypes).items():
-            if bucket < 0:
-                weak = np.unique(np.concatenate([b[0] for b in blobs]))
-                yield _packed([(-1, [weak, weak, weak, weak])], ["heads", "sizes", "keys", "often"])
-                continue
-            values, (f1, meta) = _unpack(blobs)
-            order = np.lexsort((f1, values))
-            values, f1, meta = values[order], f1[order], meta[order]
-            fresh = np.concatenate([[True], (values[1:] != values[:-1]) | (f1[1:] != f1[:-1])])  # copies in other batches count once
-            values, f1, meta = values[fresh], f1[fresh], meta[fresh]
-            edges = _runs(values)
-            often = np.repeat(np.diff(edges), np.diff(edges))
-            shared = often > 1
-            f1, meta, often = f1[shared], meta[shared], often[shared]
-            keys = _mix(values[shared] | _U((bucket & 0xFFFF) << 48), bucket >> 16)
-            order = np.lexsort((meta, f1))
-            f1, meta, often, keys = f1[order], meta[order], often[order], keys[order]
-            edges = np.flatnonzero(np.concatenate([[True], (f1[1:] != f1[:-1]) | (meta[1:] != meta[:-1]), [True]])) if len(f1) else np.zeros(1, np.int64)
-            heads = np.stack([f1[edges[:-1]], meta[edges[:-1]]], 1)
-            sizes = np.diff(edges)
-            rows = []
-            for b, at in _by_bucket((heads[:, 0] % _U(n_buckets)).astype(np.int64), n_buckets):
-                inside = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in at])
-                rows.append((b, [heads[at], sizes[at].astype(np.uint64), keys[inside], np.minimum(often[inside], 0xFFFFFFFF).astype(np.uint32)]))
-            if rows:
-                yield _packed(rows, ["heads", "sizes", "keys", "often"])
-
-    def choose(batches):
-        for bucket, blobs in _gather(batches, [np.uint64, np.uint64, np.uint64, np.uint32]).items():
-            if bucket < 0:
-                yield _packed([(-1, [np.unique(np.concatenate([b[0] for b in blobs]))] * 4)], ["entries", "f1", "n", "central"])
-                continue
-            heads, sizes, keys = (np.concatenate([b[i] for b in blobs]) for i in range(3))
-            often = np.concatenate([b[3] for b in blobs]).astype(np.int64)
-            heads = np.repeat(heads.reshape(-1, 2), sizes.astype(np.int64), axis=0)
-            order = np.lexsort((keys, often, heads[:, 1], heads[:, 0]))
-            heads, keys, often = heads[order], keys[order], often[order]
-            edges = np.flatnonzero(np.concatenate([[True], (heads[1:] != heads[:-1]).any(1), [True]]))
-            first, found = edges[:-1], np.diff(edges)
-            f1, meta = heads[first, 0], heads[first, 1]
-            n, live = (meta >> _U(36)).astype(np.int64), ((meta >> _U(8)) & _U(0xFFFFFFF)).astype(np.int64)
-            top = (np.int64(2) << (meta & _U(0xFF)).astype(np.int64)) - 1
-            bound = (n + np.minimum(4 * n // 3, top)) // 7
-            # Of the D + 1 rarest blocks, those that occur nowhere else come first and meet nothing.
-            take = bound + 1 - (live - found)
-            central = np.add.reduceat(often, first)  # in a group of near copies the largest where least was changed
-            owner = np.repeat(np.arange(len(first)), found)
-            kept = np.arange(len(keys)) - np.repeat(first, found) < np.repeat(take, found)
-            for rows in _entries(keys[kept], owner[kept], [f1, n.astype(np.uint64), central.astype(np.uint64)], n_buckets):
-                yield _packed(rows, ["entries", "f1", "n", "central"])
-
-    def meet(batches):
-        for bucket, blobs in _gather(batches, [np.uint64] * 4).items():
-            if bucket < 0:
-                weak = np.unique(np.concatenate([b[0] for b in blobs]))
-                yield _rows(weak, weak, WEAK)
-                continue
-            values, (f1, n, central) = _unpack(blobs)
-            order = np.lexsort((f1, _U(0xFFFFFFFFFFFFFFFF) - central, values))
-            values, f1, n = values[order], f1[order], n[order].astype(np.int64)
-            edges = _runs(values)
-            size = np.diff(edges)
-            left, right, under = [], [], []
-            for k in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]).tolist():
-                start = edges[:-1][size == k]
-                i, j = np.triu_indices(k, 1)
-                left.append((start[:, None] + i).ravel())
-                right.append((start[:, None] + j).ravel())
-            for lo, hi in zip(edges[:-1][size > ALL_PAIRS].tolist(), edges[1:][size > ALL_PAIRS].tolist()):
-                left.append(np.repeat(np.arange(lo, lo + CENTRAL), hi - lo))
-                right.append(np.tile(np.arange(lo, hi), CENTRAL))
-                under.append(np.stack([np.repeat(f1[lo], hi - lo), f1[lo:hi]], 1))
-            if left:
-                i, j = np.concatenate(left), np.concatenate(right)
-                fit = (f1[i] != f1[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
-                pairs = np.unique(np.sort(np.stack([f1[i[fit]], f1[j[fit]]], 1), 1), axis=0)
-                yield _rows(pairs[:, 0], pairs[:, 1], PAIR)
-            if under:
-                hubs = np.unique(np.concatenate(under), axis=0)
-                yield _rows(hubs[:, 0], hubs[:, 1], HUB)
-
-    packed = docs.select(F.col(quoted(text)).alias("text")).mapInArrow(spread, "bucket long, entries binary, f1 binary, meta binary")
-    counted = packed.repartition(n_buckets, "bucket").mapInArrow(count, "bucket long, heads binary, sizes binary, keys binary, often binary")
-    chosen = counted.repartition(n_buckets, "bucket").mapInArrow(choose, "bucket long, entries binary, f1 binary, n binary, central binary")
-    return chosen.repartition(n_buckets, "bucket").mapInArrow(meet, "a long, b long, kind int").distinct()
-
-
-PAIR, HUB, WEAK = 0, 1, 2
+                code = rank[_cell(keys)]
+                solid = np.diff(edges) > 0
+                central = np.zeros(len(view))
+                central[solid] = np.add.reduceat(np.exp2(code / 8), edges[:-1][solid])
+                keys = (code.astype(np.uint64) << _U(56)) | keys
+                take = np.minimum(bounds(n, view, g) + 1, np.diff(edges))
+                for a, b, k in zip(edges[:-1].tolist(), edges[1:].tolist(), take.tolist()):
+                    if k < b - a:
+                        keys[a:b].partition(k)
+                keys = keys[spans(edges[:-1], take)]
+                entries = np.empty(len(keys), _ENTRY)
+                entries["key"] = (keys >> _U(24)) & _U(0xFFFFFFFF)
+                entries["f1"] = np.repeat(prints[some[view], 0], take)
+                entries["code"] = np.repeat(_codes(n[view], central), take)
+                held.append(((((keys & _U(0xFFFFFF)) * _U(n_buckets)) >> _U(24)).astype(np.int64), entries))
+                size += len(entries)
+                if size >= HELD:
+                    yield from send(held)
+                    held, size = [], 0
+        if held:
+            yield from send(held)
+
+    return docs.select("text").mapInArrow(in_worker("shingles", run), "bucket long, entries binary")
 
 
 def _rows(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(_signed(np.ascontiguousarray(a))), pa.array(_signed(np.ascontiguousarray(b))), pa.array(np.full(len(a), kind, np.int32))], names=["a", "b", "kind"])
+    return pa.RecordBatch.from_arrays([pa.array(_signed(a)), pa.array(_signed(b)), pa.array(np.full(len(a), kind, np.int32))], names=["a", "b", "kind"])
+
+
+def meet(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Step 3, of one bucket: candidate pairs, and classes under their hubs, as rows of two f1."""
+    keys, f1 = entries["key"], entries["f1"]
+    order = np.lexsort((f1, keys))
+    keys, f1, code = keys[order], f1[order], entries["code"][order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (f1[1:] != f1[:-1])  # copies from other tasks count once
+    keys, f1, code = keys[fresh], f1[fresh], code[fresh]
+    size, central = (code >> np.uint32(24)).astype(np.int64), code & np.uint32(0xFFFFFF)
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    many = np.diff(edges)
+    left, right, under = [], [], []
+    for k in np.unique(many[(many > 1) & (many <= ALL_PAIRS)]).tolist():
+        start = edges[:-1][many == k]
+        i, j = np.triu_indices(k, 1)
+        left.append((start[:, None] + i).ravel())
+        right.append((start[:, None] + j).ravel())
+    for lo, hi in zip(edges[:-1][many > ALL_PAIRS].tolist(), edges[1:][many > ALL_PAIRS].tolist()):
+        first = lo + np.lexsort((f1[lo:hi], -central[lo:hi].astype(np.int64)))[:CENTRAL]
+        left.append(np.repeat(first, hi - lo))
+        right.append(np.tile(np.arange(lo, hi), CENTRAL))
+        under.append(np.stack([np.repeat(f1[first[0]], hi - lo), f1[lo:hi]], 1))
+    pairs = hubs = np.empty((0, 2), np.uint64)
+    if left:
+        i, j = np.concatenate(left), np.concatenate(right)
+        # 4/3 is 6.6 sixteenths of an octave; what the rounding lets through, the sketches see.
+        fit = (f1[i] != f1[j]) & (np.abs(size[i] - size[j]) <= 7)
+        pairs = np.unique(np.sort(np.stack([f1[i[fit]], f1[j[fit]]], 1), 1), axis=0)
+    if under:
+        hubs = np.unique(np.concatenate(under), axis=0)
+    return pairs, hubs
+
+
+def _met(entries: DataFrame, n_buckets: int) -> DataFrame:
+    """Rows (a, b, kind) of f1: candidate pairs (PAIR) and classes b under a hub a (HUB)."""
+
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            for bucket, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != now and held:
+                    yield from out(held)
+                    held = []
+                now = bucket
+                held.append(x)
+        if held:
+            yield from out(held)
 
+    def out(held):
+        for kind, rows in zip((PAIR, HUB), meet(np.frombuffer(b"".join(held), _ENTRY))):
+            for low in range(0, len(rows), 100_000):
+                yield _rows(rows[low : low + 100_000, 0], rows[low : low + 100_000, 1], kind)
 
-def _values(docs: DataFrame, classes: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """node (fingerprint), n and whole set of the wanted classes, made from the text of one document each."""
-    chosen = classes.join(wanted.select("f1"), "f1").select("doc_id", "place")
-    small = wanted.count() <= BROADCAST_ROWS
-    source = docs.select("doc_id", F.col(quoted(text)).alias("text"), F.xxhash64(quoted(text)).alias("place")).alias("d")
-    right = (F.broadcast(chosen) if small else chosen).alias("c")
-    picked = source.join(right, F.expr("d.place = c.place AND d.doc_id <=> c.doc_id"), "left_semi").select("text")
+    dealt = entries.repartitionById(min(n_buckets, 20_000), F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(in_worker("meet", run), "a long, b long, kind int").distinct()
+
+
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Step 4: the pairs (a, b) whose folded sketches are no farther apart than linked classes' can be."""
 
     def run(batches):
-        for b in batches:
-            sets = [shingle_set(t) for t in b.column(0).to_pylist()]
-            prints = np.array([fingerprint(s) for s in sets], np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(_signed(prints[:, 0].copy())), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "f1", "n", "shingles"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (na, nb), sides = (batch.column(i).to_numpy() for i in (2, 3)), [text_bytes(batch.column(i)) for i in (4, 5)]
+            keep = np.zeros(batch.num_rows, bool)
+            (xa, ea), (xb, eb) = sides
+            la, lb = np.diff(ea), np.diff(eb)
+            for u, v in np.unique(np.stack([la, lb], 1), axis=0).tolist():
+                every = np.flatnonzero((la == u) & (lb == v))
+                for low in range(0, len(every), max(1, (4 << 20) // max(u, v))):
+                    at = every[low : low + max(1, (4 << 20) // max(u, v))]
+                    a = xa[ea[at][:, None] + np.arange(u)].view(np.uint64)
+                    b = xb[eb[at][:, None] + np.arange(v)].view(np.uint64)
+                    words = min(u, v) >> 3
+                    keep[at] = np.bitwise_count(folded(a, words) ^ folded(b, words)).sum(1, dtype=np.int64) <= (na[at] + nb[at]) // 7
+            keep &= 4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    side = lambda x: classes.select(F.col("f1").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    return joined.mapInArrow(in_worker("near", run), "a long, b long").distinct()
+
+
+def _values(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node (fingerprint), f1, n and whole set of the wanted classes, made from the text of one row each."""
+    chosen = classes.join(wanted.select("f1").distinct(), "f1", "left_semi").select("key")
+    right = F.broadcast(chosen) if wanted.count() <= BROADCAST_ROWS else chosen
+    picked = docs.join(right, docs["_key"] == right["key"], "left_semi").select("text")
 
-    out = picked.mapInArrow(run, "node binary, f1 long, n long, shingles binary")
-    # Repeated rows of one id and text give the same node again: one stays.
-    return out.groupBy("node").agg(F.first("f1").alias("f1"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch.column(0)):
+                flat, first = shingle_sets(part)
+                prints = fingerprints(flat, first)
+                sets = [flat[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(_signed(prints[:, 0])), pa.array(np.diff(first)), pa.array(sets, pa.binary())], names=["node", "f1", "n", "shingles"])
+
+    return picked.mapInArrow(in_worker("shingles", run), "node binary, f1 long, n long, shingles binary")
 
 
 def _verified(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -344,30 +443,41 @@ def _verified(pairs: DataFrame, values: DataFrame) -> DataFrame:
     left = values.select(F.col("f1").alias("a"), F.col("node").alias("x"), F.col("shingles").alias("sx"))
     right = values.select(F.col("f1").alias("b"), F.col("node").alias("y"), F.col("shingles").alias("sy"))
     joined = pairs.join(left, "a").join(right, "b").select("x", "y", "sx", "sy").where("x <> y")
-    return joined.mapInArrow(run, "x binary, y binary")
+    return joined.mapInArrow(in_worker("verify", run), "x binary, y binary")
+
 
+class Tables:
+    """Scratch tables of one job by name. A table of a name replaces the one before; ``drop`` removes those that nothing reads any more."""
 
-def components(links: DataFrame) -> DataFrame:
+    def __init__(self, spark):
+        self.spark, self.paths = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = scratch(self.spark, name)
+        out = materialize(df, path)
+        del df
+        release(self.spark)
+        self.drop(name)
+        self.paths[name] = path
+        return out
+
+    def drop(self, *names: str) -> None:
+        remove(self.spark, *[self.paths.pop(x) for x in names if x in self.paths])
+
+
+def components(links: DataFrame, tables: Tables) -> DataFrame:
     """(node, label): the smallest node reachable by links, by hash-to-min with pointer jumping over tables in the shared folder."""
-    spark = links.sparkSession
-    edges = staged(links.select(F.col("x").alias("u"), F.col("y").alias("v")).union(links.select("y", "x")).distinct(), "edges")
-    labels = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label")
-    path = scratch(spark, "labels")
-    labels.write.parquet(path)
-    schema = labels.schema
+    edges = tables.put("edges", links.select(F.col("x").alias("u"), F.col("y").alias("v")).union(links.select("y", "x")).distinct())
+    now = tables.put("jump", edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"))
     while True:
-        now = spark.read.schema(schema).parquet(path)
         near = edges.join(now.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         stepped = now.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = now.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        jumped = stepped.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label"))
-        following = scratch(spark, "labels")
-        jumped.write.parquet(following)
-        done = spark.read.parquet(following).where("label <> was").limit(1).count() == 0
-        remove(spark, path)
-        path = following
-        if done:
-            return spark.read.parquet(path).select("node", "label")
+        jumped = tables.put("jump", stepped.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label")))
+        now = jumped.select("node", "label")
+        if jumped.where("label <> was").limit(1).count() == 0:
+            tables.drop("edges")
+            return now
 
 
 def block_links(minors: list[tuple], members: list[tuple]) -> list[tuple[bytes, bytes]]:
@@ -388,9 +498,7 @@ def block_links(minors: list[tuple], members: list[tuple]) -> list[tuple[bytes,
     out = []
     for node, label, shingles in members:
         low, high = np.searchsorted(flat, shingles, "left"), np.searchsorted(flat, shingles, "right")
-        count = high - low
-        hit = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        both = np.bincount(owner[hit], minlength=len(minors))
+        both = np.bincount(owner[spans(low, high - low)], minlength=len(minors))
         for k in np.flatnonzero(100 * both >= 75 * (size + len(shingles) - both)).tolist():
             a, b = find(label), find(minors[k][1])
             if a != b:
@@ -399,34 +507,76 @@ def block_links(minors: list[tuple], members: list[tuple]) -> list[tuple[bytes,
     return out
 
 
-def _contracted(links: DataFrame, labels: DataFrame) -> DataFrame:
+def near_by_sketch(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Of two lists of (n, label, sketch), which of each come near one of the other list with another label."""
+    hit = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    number: dict = {}
+
+    def by_width(rows):
+        out: dict[int, list[int]] = {}
+        for i, r in enumerate(rows):
+            out.setdefault(len(r[2]), []).append(i)
+        return {w: (np.array(at), np.array([rows[i][0] for i in at]), np.array([number.setdefault(rows[i][1], len(number)) for i in at]), np.frombuffer(b"".join(rows[i][2] for i in at), np.uint64).reshape(len(at), -1)) for w, at in out.items()}
+
+    a, b = by_width(left), by_width(right)
+    for u, (i, n, label, x) in a.items():
+        for v, (j, m, other, y) in b.items():
+            if max(u, v) > 4 * min(u, v):  # sizes of linked sets are alike
+                continue
+            words = min(u, v) >> 3
+            x2, y2 = folded(x, words), folded(y, words)
+            step = max(1, (1 << 20) // (len(j) * words))
+            for low in range(0, len(i), step):
+                at = slice(low, low + step)
+                far = np.bitwise_count(x2[at][:, None] ^ y2[None]).sum(2, dtype=np.int64)
+                p, q = n[at][:, None], m[None]
+                near = (far <= (p + q) // 7) & (4 * np.minimum(p, q) >= 3 * np.maximum(p, q)) & (label[at][:, None] != other[None])
+                hit[0][i[at]] |= near.any(1)
+                hit[1][j] |= near.any(0)
+    return hit
+
+
+def _contracted(links: DataFrame, labels: DataFrame, tables: Tables) -> DataFrame:
     """Labels after further links, which matter only between components: one edge for each pair of them."""
     name = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
     ends = links.join(name("x"), "x", "left").join(name("y"), "y", "left").select(F.coalesce("lx", "x").alias("p"), F.coalesce("ly", "y").alias("q"))
-    edges = staged(ends.where("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct(), "edges")
-    if edges.limit(1).count() == 0:
+    between = tables.put("between", ends.where("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct())
+    if between.limit(1).count() == 0:
         return labels
-    joined = components(edges).select(F.col("node").alias("label"), F.col("label").alias("joined"))
-    # Nodes without a link before have no label yet and are their own.
     every = labels.union(links.select("x", "x").union(links.select("y", "y")).distinct().toDF("node", "label").join(labels.select("node"), "node", "left_anti").select("node", "label"))
-    return staged(every.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label")), "labels")
+    # Nodes without a link before have no label yet and are their own.
+    every = tables.put("before", every)
+    joined = components(between, tables).select(F.col("node").alias("label"), F.col("label").alias("joined"))
+    return tables.put("labels", every.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label")))
 
 
-def _under_hubs(hubs: DataFrame, labels: DataFrame, values: DataFrame) -> DataFrame:
-    """Step 5: links of the classes under a hub that are not in its component with any class under it."""
-    named = values.select("f1", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _under_hubs(docs: DataFrame, hubs: DataFrame, labels: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame | None:
+    """Step 5: links of the classes under a hub that are not in its component with any class under it; None if there are no such classes."""
+    named = classes.select("f1", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_hub = named.groupBy("f1").agg(F.min("label").alias("main")).withColumnRenamed("f1", "a")
     placed = hubs.join(named.withColumnRenamed("f1", "b"), "b").join(of_hub, "a").select("a", "b", "node", "label", "n", (F.col("label") != F.col("main")).alias("minor"))
-    placed = staged(placed, "placed")
+    placed = tables.put("placed", placed)
     load = placed.groupBy("a").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("minor"), F.col("n"))).alias("some")).where("some IS NOT NULL")
     cut = load.select("a", F.ceil(F.col("some") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"))
-    every = placed.join(cut, "a")
+    if cut.limit(1).count() == 0:
+        return None
+    every = placed.join(cut, "a").join(classes.select("node", "sketch"), "node")
     spread = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     across = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    columns = ["a", "b", "node", "label", "minor"]
+    columns = ["a", "b", "node", "label", "n", "sketch"]
     left = every.where("minor").select(*columns, spread("rows").alias("i"), across("columns").alias("j")).withColumn("side", F.lit(0))
     right = every.select(*columns, spread("columns").alias("j"), across("rows").alias("i")).withColumn("side", F.lit(1)).select(left.columns)
-    sets = values.select("node", "shingles")
+
+    def sift(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        at = [np.flatnonzero(side == s) for s in (0, 1)]
+        rows = [[*zip(*(table.column(c).take(pa.array(x)).to_pylist() for c in ("n", "label", "sketch")))] for x in at]
+        hit = near_by_sketch(*rows) if all(rows) else (np.zeros(len(x), bool) for x in at)
+        return table.select(["a", "i", "j", "side", "b", "node", "label"]).take(pa.array(np.concatenate([x[h] for x, h in zip(at, hit)])))
+
+    sifted = left.union(right).groupBy("a", "i", "j").applyInArrow(in_table("sift", sift), "a long, i int, j int, side int, b long, node binary, label binary")
+    sifted = tables.put("sifted", sifted)
+    sets = tables.put("values", _values(docs, classes, sifted.select(F.col("b").alias("f1")).distinct())).dropDuplicates(["node"]).select("node", "shingles")
 
     def link(table: pa.Table) -> pa.Table:
         sides: tuple[list, list] = ([], [])
@@ -435,42 +585,101 @@ def _under_hubs(hubs: DataFrame, labels: DataFrame, values: DataFrame) -> DataFr
         found = block_links(*sides) if sides[0] and sides[1] else []
         return pa.table({"x": pa.array([f[0] for f in found], pa.binary()), "y": pa.array([f[1] for f in found], pa.binary())})
 
-    full = left.union(right).join(sets, "node").select("a", "i", "j", "side", "node", "label", "shingles")
-    return full.groupBy("a", "i", "j").applyInArrow(link, "x binary, y binary")
+    full = sifted.join(sets, "node").select("a", "i", "j", "side", "node", "label", "shingles")
+    return full.groupBy("a", "i", "j").applyInArrow(in_table("link", link), "x binary, y binary")
+
+
+def in_table(kind: str, run):
+    """``run`` for applyInArrow, with the caches of other operators gone."""
+
+    def task(table: pa.Table) -> pa.Table:
+        return next(in_worker(kind, lambda x: iter([run(x)]))(table))
 
+    return task
+
+
+def _weak_links(docs: DataFrame, values: DataFrame, tables: Tables) -> DataFrame | None:
+    """Links of the (next to never any) weak classes with whatever document passes the similarity: their sets in blocks of ``WEAK_BYTES``, each against all documents in one pass."""
+    out, block, size = None, [], 0
+
+    def against(block):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-def _grouped(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+        def run(batches):
+            nodes = [x for x, _ in shared.value]
+            sets = [np.frombuffer(s, np.uint64) for _, s in shared.value]
+            flat = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            order = np.argsort(flat, kind="stable")
+            flat, owner, sizes = flat[order], owner[order], np.array([len(s) for s in sets])
+            for batch in batches:
+                for part in text_slices(batch.column(0)):
+                    s, first = shingle_sets(part)
+                    n, prints = np.diff(first), fingerprints(s, first)
+                    low, high = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+                    doc = np.repeat(np.repeat(np.arange(len(n)), n), high - low)
+                    pair, both = np.unique(doc * len(sets) + owner[spans(low, high - low)], return_counts=True)
+                    d, w = pair // len(sets), pair % len(sets)
+                    fit = 100 * both >= 75 * (n[d] + sizes[w] - both)
+                    rows = [(nodes[j], prints[i].tobytes()) for i, j in zip(d[fit].tolist(), w[fit].tolist())]
+                    rows = [r for r in rows if r[0] != r[1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["x", "y"])
+
+        return tables.put(f"weak{len(tables.paths)}", docs.select("text").mapInArrow(in_worker("shingles", run), "x binary, y binary").distinct())
+
+    for r in values.toLocalIterator():
+        block.append((bytes(r.node), bytes(r.shingles)))
+        size += len(r.shingles)
+        if size >= WEAK_BYTES:
+            out = against(block) if out is None else out.union(against(block))
+            block, size = [], 0
+    if block:
+        out = against(block) if out is None else out.union(against(block))
+    return out
+
+
+def _grouped(docs: DataFrame, text: str, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows, and for each class its component's label and its first row: that with the smallest id, ids that are null last."""
     spark = docs.sparkSession
-    n_buckets = partitions(spark)
-    sets = staged(_sets(docs, text), "sets")
-    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "place"))
-    classes = staged(sets.where("n > 0").groupBy("node", "f1").agg(first.alias("r")).select("node", "f1", "r.none", "r.doc_id", "r.place"), "classes")
-    met = staged(_candidates(docs, text, n_buckets), "candidates")
-    pairs, weak = met.where(F.col("kind") == PAIR).select("a", "b"), met.where(F.col("kind") == WEAK).select(F.col("a").alias("f1"))
-    wanted = staged(met.select(F.explode(F.array("a", "b")).alias("f1")).distinct(), "wanted")
-    values = staged(_values(docs, classes, wanted, text), "values")
-    if weak.limit(1).count():
-        pairs = staged(pairs.union(_weak_pairs(docs, weak, values, text)).distinct(), "pairs")
-        wanted = staged(wanted.union(pairs.select(F.explode(F.array("a", "b")))).distinct(), "wanted")
-        values = staged(_values(docs, classes, wanted, text), "values")
-    links = staged(_verified(pairs, values), "links")
-    labels = components(links)
+    keyed, path = with_rows(docs.select("doc_id", F.col(quoted(text)).cast("string").alias("text")), "_key")
+    if path:
+        tables.paths["rows"] = path
+    passed = tables.put("sets", _sets(keyed, docs.schema["doc_id"].dataType.simpleString()))
+    sets = passed.where("cells IS NULL").drop("cells", "counts")
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("r")
+    grouped = sets.where("n > 0").groupBy("node", "f1").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("weak").alias("weak"))
+    classes = tables.put("classes", grouped.select("node", "f1", "n", "sketch", "weak", "r.none", "r.doc_id", "r.key"))
+    ranks = _ranks(passed.where("cells IS NOT NULL").select("cells", "counts"))
+    # A class has some 0.29 entries for each shingle, in one band or two.
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    n_buckets = max(partitions(spark), math.ceil(0.42 * total / BUCKET))
+    met = tables.put("met", _met(_entries(keyed, ranks, n_buckets), n_buckets))
+    near = tables.put("near", _near(met.where(F.col("kind") == PAIR).select("a", "b"), classes))
+    values = tables.put("values", _values(keyed, classes, near.select(F.explode(F.array("a", "b")).alias("f1")).distinct()))
+    links = _verified(near, values)
+    if classes.where("weak").limit(1).count():
+        links = links.union(_weak_links(keyed, _values(keyed, classes, classes.where("weak").select("f1")).dropDuplicates(["node"]), tables))
+    labels = tables.put("labels", components(tables.put("links", links), tables))
+    tables.drop("near", "values", "links", "jump")
     hubs = met.where(F.col("kind") == HUB).select("a", "b")
-    if hubs.limit(1).count():
-        labels = _contracted(staged(_under_hubs(hubs, labels, values), "links"), labels)
-    return sets, classes.select("node", "none", "doc_id", "place").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if hubs.limit(1).count() and (further := _under_hubs(keyed, hubs, labels, classes, tables)) is not None:
+        labels = _contracted(tables.put("links", further), labels, tables)
+    tables.drop("met", "placed", "sifted", "values", "links", "between", "before", "jump")
+    return sets, classes.select("node", "none", "doc_id", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, ``n_shingles``, ``component_id`` (smallest id reachable by links) of every row.
 
-    Null and empty texts have empty sets and are alone. Repeated rows are in one
-    component. A row with a null id takes part in links; its component's id is
-    the smallest id in it that is not null, null if there is none. An empty table
-    gives an empty result. Columns besides ``doc_id`` and the text are not read.
+    Null and empty texts have empty sets and are alone; texts of any length go
+    in whole. Repeated rows are in one component. A row with a null id takes part
+    in links; its component's id is the smallest id in it that is not null, null
+    if there is none. An empty table gives an empty result. Columns besides
+    ``doc_id`` (of any ordered type) and the text are not read, whatever their
+    names.
     """
-    sets, grouped = _grouped(docs, text)
+    tables = Tables(docs.sparkSession)
+    sets, grouped = _grouped(docs, text, tables)
     heads = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_class = grouped.join(heads, "label").select("node", "component_id")
     # A class of very many copies is one key of this join, whose large partitions Spark splits.
@@ -478,49 +687,24 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def further_copies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and ``place`` (xxhash64 of the text) of the rows, each pair once, that are not the first of their component.
+def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs that are the first of their component, with all their columns.
 
-    First is the row with the smallest id, then place; rows with null ids come
-    last. Rows that repeat both id and text are one here. Null and empty texts
-    are alone and first.
+    First is the row with the smallest id; null ids come last, ties go by the
+    row's place in its file. Rows are told apart by that place, not by id: rows
+    that share an id but not a text are not copies. Null and empty texts are
+    alone and stay, each of their rows.
     """
-    sets, grouped = _grouped(docs, text)
-    heads = grouped.groupBy("label").agg(F.min(F.struct("none", "doc_id", "place")).alias("head"))
-    by_class = grouped.join(heads, "label").select("node", F.col("head.doc_id").alias("head_id"), F.col("head.place").alias("head_place"))
-    found = sets.where("n > 0").join(by_class, "node")
-    return found.where("NOT (doc_id <=> head_id AND place = head_place)").select("doc_id", "place").distinct()
-
-
-def _weak_pairs(docs: DataFrame, weak: DataFrame, values: DataFrame, text: str) -> DataFrame:
-    """Pairs of the (next to never any) weak classes with whatever document passes the similarity, in blocks of weak classes against all documents."""
-    out = None
-    rows = values.join(weak.select("f1"), "f1").select("f1", "shingles").toLocalIterator()
-    block: list = []
-
-    def against(block):
-        shared = docs.sparkSession.sparkContext.broadcast([(f, bytes(s)) for f, s in block])
-
-        def run(batches):
-            held = [(f, np.frombuffer(s, np.uint64)) for f, s in shared.value]
-            for b in batches:
-                pairs = []
-                for t in b.column(0).to_pylist():
-                    s = shingle_set(t)
-                    own = int(_signed(np.array([fingerprint(s)[0]], np.uint64))[0])
-                    for f, h in held:
-                        both = len(np.intersect1d(s, h, assume_unique=True))
-                        if f != own and 100 * both >= 75 * (len(s) + len(h) - both) and both:
-                            pairs.append((min(f, own), max(f, own)))
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
-
-        return docs.select(F.col(quoted(text)).alias("text")).mapInArrow(run, "a long, b long")
-
-    for row in rows:
-        block.append((row.f1, row.shingles))
-        if len(block) == 64:
-            out = against(block) if out is None else out.union(against(block))
-            block = []
-    if block:
-        out = against(block) if out is None else out.union(against(block))
-    return out
+    tables = Tables(docs.sparkSession)
+    name = "_key"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    keyed, path = with_rows(docs, name)
+    source = docs.sparkSession.read.schema(docs.schema).parquet(path) if path else docs
+    sets, grouped = _grouped(source, text, tables)
+    heads = grouped.groupBy("label").agg(F.min(F.struct("none", "doc_id", "key")).alias("head"))
+    by_class = grouped.join(heads, "label").select("node", F.col("head.key").alias("head"))
+    gone = tables.put("gone", sets.where("n > 0").join(by_class, "node").where("key <> head").select("key"))
+    tables.drop("sets", "classes", "labels", "rows")
+    right = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return keyed.join(right, keyed[name] == right["key"], "left_anti").select(*[keyed[quoted(c)] for c in docs.columns])

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioflow.llm import decontaminate as dec
@@ -32,7 +34,7 @@ def brute_decontaminate(docs, items, k=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [dec.BLOCK, 200])
+@pytest.mark.parametrize("block", [dec.BLOCK, 0])
 def test_decontamination_equals_brute_force(spark, docs, block):
     rng = random.Random(4)
     vocabulary = ["A", "b", "ç", "D9", "e", "ff"]
@@ -44,14 +46,27 @@ def test_decontamination_equals_brute_force(spark, docs, block):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_decontaminate(rows, items)
 
 
-def test_decontamination_of_odd_rows(spark, odd):
+@pytest.mark.parametrize("block", [dec.BLOCK, 0])
+def test_decontamination_of_odd_rows(spark, odd, block):
+    odd = odd.selectExpr("*", "1 AS n_words", "'x' AS spans", "2 AS _key", "3 AS items")
     none = spark.createDataFrame([], "item_id long, text string")
-    assert dec.decontaminate(odd, none).where("contaminated").count() == 0
+    assert dec.decontaminate(odd, none, block=block).where("contaminated").count() == 0
     one = spark.createDataFrame([(1, "no id here friend")], "item_id long, text string")
-    found = dec.decontaminate(odd, one)
+    found = dec.decontaminate(odd, one, block=block)
     assert found.where("contaminated").count() == 1 and found.count() == odd.count()
     assert found.select("_row.*").columns == odd.columns
-    assert dec.decontaminate(odd.limit(0), one).count() == 0
+    assert dec.decontaminate(odd.limit(0), one, block=block).count() == 0
+    long = spark.createDataFrame([(1, "lorem ipsum dolor sit amet " * 3)], "item_id long, text string")
+    for r in dec.decontaminate(odd, long, block=block).where("_row.doc_id = 3").select("n_words", "n_hit", "items").collect():
+        assert (r.n_words, r.n_hit, r["items"]) == (40_000, 40_000, ["1"])
+
+
+def test_index_is_small_beside_its_texts(docs):
+    rng = random.Random(8)
+    items = [(str(i), " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200))) for i in range(300)]
+    index = dec.build_index(items, docs([(1, items[0][1])]), "text", 10)
+    held = sum(x.nbytes for x in (index.vocabulary, index.words, index.keys, index.offset, index.start, index.size, index.item))
+    assert held < 6 * sum(len(t) for _, t in items)
 
 
 def brute_components(rows):
@@ -112,24 +127,95 @@ def test_near_duplicates_of_odd_rows(odd):
     assert pj.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_hamming_bound_of_blocks():
-    import numpy as np
+def sets_of(texts):
+    flat, first = pj.shingle_sets(pa.array(texts, pa.string()))
+    return [flat[a:b] for a, b in zip(first[:-1], first[1:])]
+
+
+def test_shingle_sets_equal_brute_force():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abAB") for _ in range(rng.randrange(12))) + rng.choice(["", " ", "\n"]) for _ in range(200)] + [None, "", "x" * 100 + " y"]
+    sets = [tuple(s.tolist()) for s in sets_of(texts)]
+    want = []
+    for t in texts:
+        w = (t or "").lower().split()
+        want.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    assert [len(s) for s in sets] == [len(x) for x in want]
+    assert all((a == b) == (x == y) for a, x in zip(sets, want) for b, y in zip(sets, want))
+    flat, first = pj.shingle_sets(pa.array(texts, pa.string()))
+    prints = [tuple(p) for p in pj.fingerprints(flat, first).tolist()]
+    assert all((a == b) == (x == y) for a, x in zip(prints, sets) for b, y in zip(prints, sets))
 
+
+def test_sketches_bound_the_difference():
     rng = np.random.default_rng(2)
-    for n in (5, 40, 200, 900):
-        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        for share in (0.75, 0.8, 0.9):
-            keep = int(len(a) * (share**0.5))
+    for n in (1, 3, 5, 40, 200, 900, 9000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64))
+        for share in (0.75, 0.8, 0.9, 1.0):
+            keep = int(np.ceil(len(a) * share**0.5))
             b = np.unique(np.concatenate([a[:keep], rng.integers(0, 1 << 63, max(0, n - keep) // 2, dtype=np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            if 100 * both < 75 * (len(a) + len(b) - both):
+            d = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+            if 7 * d > len(a) + len(b):
                 continue
-            common = set(pj.bands(len(a))) & set(pj.bands(len(b))) & {max(len(a), len(b)).bit_length() - 1}
-            for g in common:
-                x, y = pj.block_keys(a, g), pj.block_keys(b, g)
-                d = len(a) + len(b) - 2 * both
-                assert d <= pj.difference_bound(len(a), (2 << g) - 1)
-                assert len(set(x.tolist()) & set(y.tolist())) >= max(len(x), len(y)) - d
+            flat, first = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+            x, y = (np.frombuffer(s, np.uint64)[None] for s in pj.folded_sketches(flat, first))
+            words = min(x.shape[1], y.shape[1])
+            assert int(np.bitwise_count(pj.folded(x, words) ^ pj.folded(y, words)).sum()) <= d <= (len(a) + len(b)) // 7
+            keys, edges, view, g = pj.block_keys(flat, first)
+            sizes = np.diff(first)
+            top = int(pj.band(np.array([sizes.max()]))[0])
+            own = {int(v): set(keys[lo:hi].tolist()) for v, h, lo, hi in zip(view, g, edges[:-1], edges[1:]) if h == top}
+            limit = {int(v): int(k) for v, h, k in zip(view, g, pj.bounds(sizes, view, g)) if h == top}
+            assert set(own) == {0, 1}  # both are in the band of the larger
+            for v, other in ((0, 1), (1, 0)):
+                assert d <= limit[v] and len(own[v] - own[other]) <= d
+                assert set(sorted(own[0])[: limit[0] + 1]) & set(sorted(own[1])[: limit[1] + 1])
+
+
+def test_unlike_sketches_are_far_apart():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(2)]
+    sets.append(np.unique(np.concatenate([sets[0][:150], sets[1][:150]])))
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    rows = [(len(s), i, x) for i, (s, x) in enumerate(zip(sets, pj.folded_sketches(np.concatenate(sets), first)))]
+    assert [h.tolist() for h in pj.near_by_sketch(rows[:1], rows[1:])] == [[False], [False, False]]
+    assert [h.tolist() for h in pj.near_by_sketch(rows[:2], [(300, 9, rows[0][2])])] == [[True, False], [True]]
+    assert [h.tolist() for h in pj.near_by_sketch(rows[:1], [(300, 0, rows[0][2])])] == [[False], [False]]
+
+
+def near_copies(rng, texts, edits):
+    out = []
+    for words in texts:
+        copy = list(words)
+        for _ in range(rng.randrange(edits + 1)):
+            copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**6)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_hubs_with_several_groups_under_them_equal_brute_force(docs, monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(pj, "ALL_PAIRS", 4)
+    monkeypatch.setattr(pj, "BLOCK", 400)
+    common = [f"c{i}" for i in range(45)]  # in all of them, and most of each
+    groups = [common + [f"g{k}x{i}" for i in range(25)] for k in range(6)]
+    texts = [t for g in groups for t in near_copies(rng, [g] * 9, 3)] + near_copies(rng, [common + [f"o{k}x{i}" for i in range(20)] for k in range(10)], 1)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = sorted((tuple(r) for r in pj.near_duplicates(docs(rows).repartition(3)).collect()), key=str)
+    assert got == brute_components(rows)
+    assert len({r[2] for r in got}) > 6
+
+
+def test_classes_that_the_pigeonhole_could_miss_equal_brute_force(docs, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(pj, "BLOCKS", 0.0)
+    monkeypatch.setattr(pj, "LEAST_BLOCKS", 3)  # every block holds much, and so no set has more than D of them
+    monkeypatch.setattr(pj, "WEAK_BYTES", 4_000)
+    bases = [[f"b{k}x{i}" for i in range(rng.choice([6, 30, 60]))] for k in range(8)]
+    rows = [*enumerate(t for b in bases for t in near_copies(rng, [b] * 4, 1))]
+    got = sorted((tuple(r) for r in pj.near_duplicates(docs(rows).repartition(2)).collect()), key=str)
+    assert got == brute_components(rows) and len({r[2] for r in got}) < len(rows)
 
 
 def test_licenses():
