@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import line_crf
-from folioflow.llm.common import scratch, staged
+from folioflow.llm.common import scratch
 from folioflow.llm.decontaminate import decontaminate
 from folioflow.llm.mixing import in_mixed_order, mix
-from folioflow.llm.parity_join import further_copies
+from folioflow.llm.parity_join import one_of_each
 from folioflow.llm.token_store import read_store, write_store
 
 
@@ -32,11 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays: that with the smallest id. Texts that only share an id are not copies; rows without an id are copies like others."""
-    gone = staged(further_copies(docs.select("doc_id", "text")), "gone").withColumnRenamed("doc_id", "gone_id")
-    kept = docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id) & (F.xxhash64(docs.text) == gone.place), "left_anti")
-    # Rows that repeat both the id and the text of what stays.
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One row of each group stays: that with the smallest id. Texts that only share an id are not copies; rows without an id are copies like others; null and empty texts all stay."""
+    return one_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
