@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import materialize, partitions, quoted, release, remove, scratch, staged, tokenizer_path
+from folioflow.llm.common import in_worker, materialize, partitions, quoted, release, remove, scratch, staged, tokenizer_path
 from folioflow.llm.tokens import word_tokenizer
 
 #: Chunk bounds in ids, and one cut in so many places that could be one.
@@ -62,8 +62,13 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
+    return _ends((np.flatnonzero((rolling_hash(ids) & np.uint32(MASK)) == 0) + 1).tolist(), n)
+
+
+def _ends(places: list[int], n: int) -> list[int]:
+    """Of the places that could be cuts, those that keep chunks within their bounds."""
     out, last = [], 0
-    for c in (np.flatnonzero((rolling_hash(ids) & np.uint32(MASK)) == 0) + 1).tolist() + [n]:
+    for c in [*places, n]:
         while c - last > MOST:
             last += MOST
             out.append(last)
@@ -73,6 +78,16 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
+def all_cuts(ids: np.ndarray, first: np.ndarray) -> list[list[int]]:
+    """``cuts`` of each of the streams that begin at ``first`` (the last is the end), with one hash over all: a cut is never within a window of a stream's start, since the window is shorter than a chunk."""
+    could = np.flatnonzero((rolling_hash(ids) & np.uint32(MASK)) == 0) + 1
+    edges = np.searchsorted(could, first, "right").tolist()
+    out = []
+    for a, b, lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), edges[:-1], edges[1:]):
+        out.append(_ends((could[lo:hi] - a).tolist(), b - a) if b - a > LEAST else [b - a] if b > a else [])
+    return out
+
+
 def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=DIGEST).digest()
 
@@ -101,17 +116,21 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
     kind = "<u2" if width == 2 else "<u4"
 
     def encode(batches):
-        tok, press, end = word_tokenizer(path), zstandard.ZstdCompressor(level=1), np.array([end_id], "<u4")
+        tok, press = word_tokenizer(path), zstandard.ZstdCompressor(level=1)
         for b in batches:
             n, digests, lengths, bodies = [], [], [], []
-            for t in b.column(3).to_pylist():
-                ids = np.concatenate([np.frombuffer(tok.ids(t), "<u4"), end]).astype(kind)
-                sizes = np.diff([0, *cuts(ids)]).astype("<u4")
-                raw = ids.tobytes()
-                n.append(len(ids))
-                digests.append(b"".join(map(digest, _split(raw, sizes, width))))
-                lengths.append(sizes.tobytes())
-                bodies.append(press.compress(raw))
+            for ids, first in tok.ids(b.column(3)):
+                texts = np.arange(len(first))
+                ends = first + texts  # an end id for each text before
+                every = np.full(ends[-1], end_id, kind)
+                every[np.arange(len(ids)) + np.repeat(texts[:-1], np.diff(first))] = ids
+                for a, z, cut in zip(ends[:-1].tolist(), ends[1:].tolist(), all_cuts(every, ends)):
+                    raw = every[a:z].tobytes()
+                    places = [0, *cut]
+                    n.append(z - a)
+                    digests.append(b"".join([digest(raw[x * width : y * width]) for x, y in zip(places, cut)]))
+                    lengths.append(np.diff(places).astype("<u4").tobytes())
+                    bodies.append(press.compress(raw))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(lengths, pa.binary()), pa.array(bodies, pa.binary())], names=["rid", "doc_id", "ord", "n_tokens", "digests", "lengths", "body"])
 
     id_type = docs.schema[doc_id].dataType.simpleString()
@@ -119,7 +138,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
     source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(quoted(doc_id)).alias("doc_id"), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("ord"), F.col(quoted(text)).cast("string").alias("text"))
     ord_type = source.schema["ord"].dataType.simpleString()
     draft_path = scratch(spark, "draft")
-    draft = materialize(source.mapInArrow(encode, f"rid long, doc_id {id_type}, ord {ord_type}, n_tokens long, digests binary, lengths binary, body binary"), draft_path)
+    draft = materialize(source.mapInArrow(in_worker("tokens", encode), f"rid long, doc_id {id_type}, ord {ord_type}, n_tokens long, digests binary, lengths binary, body binary"), draft_path)
 
     def chunks(batches):
         for b in batches:
@@ -131,7 +150,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
             at = pa.array(rids, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(out, pa.binary())], names=["rid", "ord", "digest"])
 
-    used = draft.select("rid", "ord", "digests").mapInArrow(chunks, f"rid long, ord {ord_type}, digest binary")
+    used = draft.select("rid", "ord", "digests").mapInArrow(in_worker("store", chunks), f"rid long, ord {ord_type}, digest binary")
     shared = staged(used.groupBy("digest").agg(F.min("rid").alias("owner"), F.count(F.lit(1)).alias("uses")).where("uses > 1").select("digest", "owner"), "shared")
     marks = used.join(shared, "digest").groupBy("rid").agg(F.first("ord").alias("ord"), F.collect_list("digest").alias("known"), F.collect_list(F.col("owner") == F.col("rid")).alias("mine"))
     blank = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", id_type), ("n_tokens", "long"), ("digests", "binary"), ("lengths", "binary"), ("body", "binary"))]
@@ -177,7 +196,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
             fields = [pa.int32(), pa.int64(), b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, fields)], names=["part", "pos", "doc_id", "start", "n_tokens", "digests", "lengths", "away", "lent", "body", "root"])
 
-    ordered.mapInArrow(seal, RECORD.format(id=id_type)).write.option("compression", "none").parquet(f"{folder}/records")
+    ordered.mapInArrow(in_worker("store", seal), RECORD.format(id=id_type)).write.option("compression", "none").parquet(f"{folder}/records")
     remove(spark, draft_path)
     del draft, used, marks, documents, rows, ordered
     release(spark)
@@ -227,7 +246,7 @@ def read_store(spark: SparkSession, folder: str, with_ids: bool = False) -> Data
                 values += [pieces[i] for i in lent]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(values, pa.binary())], names=["digest", "chunk"])
 
-    lenders = records.where("size(lent) > 0").select("digests", "lengths", "away", "lent", "body").mapInArrow(lend, "digest binary, chunk binary")
+    lenders = records.where("size(lent) > 0").select("digests", "lengths", "away", "lent", "body").mapInArrow(in_worker("store", lend), "digest binary, chunk binary")
     borrowers = records.where("size(away) > 0")
     wanted = borrowers.select("part", "pos", F.explode("away").alias("i"), "digests").select("part", "pos", "i", F.expr(f"substring(digests, i * {DIGEST} + 1, {DIGEST})").alias("digest"))
     fetched = wanted.join(lenders, "digest").groupBy("part", "pos").agg(F.collect_list(F.struct("i", "chunk")).alias("fetched"))
@@ -254,7 +273,7 @@ def read_store(spark: SparkSession, folder: str, with_ids: bool = False) -> Data
             types = [pa.int32(), pa.int64(), b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["part", "pos", "doc_id", "start", "n_tokens", "ids_crc32", "root", "ids"])
 
-    built = staged(whole.unionByName(mended).mapInArrow(build, f"part int, pos long, doc_id {id_type}, start long, n_tokens long, ids_crc32 long, root binary, ids binary"), "built")
+    built = staged(whole.unionByName(mended).mapInArrow(in_worker("store", build), f"part int, pos long, doc_id {id_type}, start long, n_tokens long, ids_crc32 long, root binary, ids binary"), "built")
     seen = {r.part: r for r in merkle(built).collect()}
     if {p: (r.docs, r.ids, r.merkle) for p, r in seen.items()} != {p: (r.docs, r.ids, r.merkle) for p, r in manifest.items()}:
         raise ValueError("the store does not match its manifest")
