@@ -1,92 +1,104 @@
 """Token counts by a map-side two-tier lookup (operator 6).
 
-Tier 1 is a compact table of the frequent chunks (white-space delimited words)
-and their token counts, built from bounded summaries that each task keeps over
-all of its documents, and broadcast. Tier 2 encodes what the table misses,
-through a bounded cache in each worker. No chunk of the corpus is ever shuffled:
-what moves is one summary of at most ``SUMMARY`` entries for each task.
+Tier 1 is a compact hash table of the frequent pre-tokens and their token
+counts, built from bounded summaries that each task keeps over all of its
+documents, and broadcast. Tier 2 encodes what the table misses, through a
+bounded cache in each worker. No pre-token of the corpus is ever shuffled: what
+moves is one summary of at most ``SUMMARY`` entries for each task.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import TwoGenerations, append_columns, tokenizer_path
-from folioflow.llm.tokens import word_tokenizer
+from folioflow.llm.common import append_columns, in_worker, quoted, text_slices, tokenizer_path
+from folioflow.llm.tokens import WordTokenizer, units, word_tokenizer
 
-#: Entries of the broadcast table, so that it stays under some 2 MB at every size of corpus.
+#: Entries of the broadcast table: 12 bytes each, at every size of corpus.
 TABLE = 32_768
-#: Entries of each task's summary, and distinct chunks it holds before it drops rare ones.
+#: Entries of each task's summary, and distinct pre-tokens it holds before it drops rare ones.
 SUMMARY, HELD = 4_096, 200_000
-#: Chunks longer than this are never in the table, which bounds its bytes.
+#: Pre-tokens longer than this are never in the table.
 LONGEST = 32
 
 
-def frequent_chunks(docs: DataFrame, text: str = "text", table: int = TABLE) -> list[bytes]:
-    """The ``table`` most frequent chunks, by summaries that every task makes of all its documents.
+def frequent_units(docs: DataFrame, text: str = "text", table: int = TABLE) -> list[bytes]:
+    """The ``table`` most frequent pre-tokens, by summaries that every task makes of all its documents.
 
-    A summary counts every chunk and, when it holds too many, drops those seen
-    least (lossy counting). Which chunks are in the table affects speed only.
+    A summary counts every pre-token and, when it holds too many, drops those
+    seen least (lossy counting). Which are in the table affects speed only.
     """
 
     def summarize(batches):
-        seen: Counter = Counter()
+        held, counts, names = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, object)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    seen.update(t.encode("utf-8", "replace").split())
-                    if len(seen) > HELD:
-                        seen = Counter(dict(seen.most_common(HELD // 4)))
-        top = [(w, n) for w, n in seen.most_common(SUMMARY) if n > 1 and len(w) <= LONGEST]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["chunk", "n"])
-
-    top = docs.select(F.col(text).cast("string")).mapInArrow(summarize, "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(table)
+            for part in text_slices(batch.column(0)):
+                words = units(part)
+                keys, some, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+                often = (n > 1) & (words.end - words.start <= LONGEST)[some] | np.isin(keys, held)
+                keys, some, n = keys[often], some[often], n[often]
+                new = ~np.isin(keys, held)
+                named = np.array([words.word(i) for i in some[new].tolist()] + [None], object)[:-1]
+                held, back = np.unique(np.concatenate([held, keys]), return_inverse=True)
+                old = len(counts)
+                total = np.bincount(back, np.concatenate([counts, n]), len(held)).astype(np.int64)
+                label = np.empty(len(held), object)
+                label[back[:old]] = names
+                label[back[old:][new]] = named
+                counts, names = total, label
+                if len(held) > HELD:
+                    stays = np.sort(np.argsort(-counts, kind="stable")[: HELD // 4])
+                    held, counts, names = held[stays], counts[stays], names[stays]
+        top = np.argsort(-counts, kind="stable")[:SUMMARY]
+        yield pa.RecordBatch.from_arrays([pa.array(names[top].tolist(), pa.binary()), pa.array(counts[top], pa.int64())], names=["unit", "n"])
+
+    top = docs.select(F.col(quoted(text)).cast("string")).mapInArrow(in_worker("units", summarize), "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(table)
     return [bytes(r[0]) for r in top.collect()]
 
 
-@lru_cache(maxsize=2)
-def _tiers(path: str, packed: bytes, lengths: bytes):
-    """The table as a dict, which falls back on the worker's cache."""
-    table = dict(zip(packed.split(b"\n"), np.frombuffer(lengths, "<u4").tolist())) if packed else {}
-    cache = TwoGenerations(word_tokenizer(path).lengths, 400_000)
-
-    class Tiers(dict):
-        def __missing__(self, key):
-            return cache[key]
-
-    return Tiers(table)
+def hash_table(units_: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The pre-tokens' hashes, ascending, and their numbers of tokens."""
+    tokenizer = WordTokenizer(path)
+    words = units(pa.array(units_, pa.binary()))
+    keys, some = np.unique(words.hashes(), return_index=True)
+    return keys, np.array([len(tokenizer.unit(words.word(i))) >> 2 for i in some.tolist()], np.uint32)
 
 
 def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, carry: list[str] | None = None, limit: int = 2048) -> DataFrame:
     """``carry`` columns plus ``n_bytes``, ``n_tokens`` and ``over_limit`` for every document.
 
     Null and empty texts have 0 bytes and 0 tokens; repeated rows give repeated
-    rows; an empty table gives an empty result; other columns are left alone,
-    even where their names are those of the results (they stay inside ``_row``).
+    rows; an empty table gives an empty result; texts of any length are counted
+    whole; other columns are left alone, even where their names are those of the
+    results (they stay inside ``_row``).
     """
     path = path or tokenizer_path("word_bpe_49k.json")
-    chunks = frequent_chunks(docs, text)
-    tokenizer = word_tokenizer(path)
-    lengths = np.array([tokenizer.lengths(c) for c in chunks], "<u4").tobytes()
-    shared = docs.sparkSession.sparkContext.broadcast((b"\n".join(chunks), lengths))
+    shared = docs.sparkSession.sparkContext.broadcast(hash_table(frequent_units(docs, text), path))
 
     def compute(batches):
-        tiers = _tiers(path, *shared.value)
-        get = tiers.__getitem__
+        keys, lengths = shared.value
+        tokenizer = word_tokenizer(path)
         for (texts,) in batches:
             n_bytes, n_tokens = [], []
-            for t in texts.to_pylist():
-                data = t.encode("utf-8", "replace") if t else b""
-                n_bytes.append(len(data))
-                n_tokens.append(sum(map(get, data.split())))
-            yield [n_bytes, n_tokens, [n > limit for n in n_tokens]], None
+            for part in text_slices(texts):
+                words = units(part)
+                hashes = words.hashes()
+                place = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
+                hit = keys[place] == hashes if len(keys) else np.zeros(len(hashes), bool)
+                size = np.empty(len(hashes), np.int64)
+                size[hit] = lengths[place[hit]]
+                missed = words.some(np.flatnonzero(~hit))
+                _, _, counts, number = tokenizer.found(missed)
+                size[~hit] = counts[number]
+                total = np.concatenate([[0], np.cumsum(size)])
+                n_tokens.append(np.diff(total[words.first]))
+                n_bytes.append(np.diff(words.bytes))
+            n_tokens, n_bytes = (np.concatenate([np.empty(0, np.int64), *x]) for x in (n_tokens, n_bytes))
+            yield [pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)], None
 
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    return append_columns(docs, [text], fields, compute, carry)
+    return append_columns(docs, [text], fields, compute, carry, "tokens")

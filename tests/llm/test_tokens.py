@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,14 +21,17 @@ def expected(text):
     return library.encode(text or "", add_special_tokens=False).ids
 
 
-def mine(tok, text):
-    return np.frombuffer(tok.ids(text), "<u4").tolist()
+def mine(tok, *texts):
+    parts = [(ids, first) for ids, first in tok.ids(pa.array(texts, pa.string()))]
+    out = [ids[a:b].tolist() for ids, first in parts for a, b in zip(first[:-1], first[1:])]
+    return out[0] if len(texts) == 1 else out
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.text(max_size=40), st.text(alphabet="aZé'sß ²½\x1c\x85\xa0\n\t.!-_É̈̈İΣς<|endoftext|>", max_size=40)))
 def test_ids_equal_the_library(text):
     assert mine(WordTokenizer_cached(), text) == expected(text)
+    assert mine(WordTokenizer_cached(), text, None, "", text[::-1], text) == [expected(x) for x in (text, "", "", text[::-1], text)]
 
 
 def WordTokenizer_cached(_held=[]):  # noqa: B006, N802
@@ -49,8 +53,23 @@ def test_counts(spark, odd):
 
 
 def test_frequent_chunks_are_bounded_and_frequent(docs):
-    df = docs([(i, "the cat sat " * 5 + f"unique{i}") for i in range(20)])
-    assert set(token_counts.frequent_chunks(df, table=3)) == {b"the", b"cat", b"sat"}
+    df = docs([(i, "the cat, sat " * 5 + f"unique{i}") for i in range(20)])
+    assert set(token_counts.frequent_units(df, table=4)) == {b"the", b"cat", b"sat", b","}
+
+
+def test_frequent_units_are_counted_over_slices(docs, monkeypatch):
+    df = docs([(i, "common rare%d " % (i % 50) * 3 + "w " * (i % 3)) for i in range(200)]).coalesce(1)
+    monkeypatch.setattr(token_counts, "HELD", 40)
+    found = token_counts.frequent_units(df, table=3)
+    assert found[0] == b"common" and b"rare" in found
+
+
+def test_cache_stays_bounded():
+    tok = WordTokenizer(PATH, limit=20)
+    for k in range(30):
+        text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}" for i in range(15)) + " " + "long" * 40
+        assert mine(tok, text, "again " + text) == [expected(text), expected("again " + text)]
+        assert len(tok.cache.keys) <= 20 and len(tok.cache.pool) < 200
 
 
 def store_of(spark, df, **kw):
