@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import append_columns, quoted
+from folioflow.llm.common import append_columns, quoted, text_slices
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 4_000
+#: Bytes of text that the sample holds, at most: documents of higher hash go first.
+SAMPLE_BYTES = 64 << 20
 #: Scores from here on are predicted 1.
 THRESHOLD = 0.3
 
@@ -152,24 +154,30 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> LineCRF:
     """Fit on at most ``sample`` labelled documents that are not held out, those of lowest hash of id.
 
-    Ids with several labels count by their lowest; null labels and ids do not
-    count. Without any labelled document every score is one half.
+    Ids with several labels count by their lowest, ids with several texts by the
+    smallest; null labels and ids do not count. Without any labelled document, as
+    in an empty table, every score is one half.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    if not picked:
-        return train([], [])
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame([(r.doc_id, int(r.quality)) for r in picked], "doc_id long, quality int")
-    rows = docs.select(F.col("doc_id"), F.col(quoted(text)).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return train([r.text for r in rows], [r.quality for r in rows])
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # Where an id repeats, the smallest of its texts counts.
+    rows = docs.select("doc_id", F.col(quoted(text)).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+    texts, marks, size = [], [], 0
+    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        size += len(r.text or "")
+        if size > SAMPLE_BYTES and texts:
+            break
+        texts.append(r.text)
+        marks.append(int(r.quality))
+    return train(texts, marks)
 
 
 def score(docs: DataFrame, model: LineCRF, text: str = "text", threshold: float = THRESHOLD, carry: list[str] | None = None, only_kept: bool = False) -> DataFrame:
     """``_row`` with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on), of which only_kept leaves those predicted 1.
 
-    Nothing but the text enters a score. Null and empty texts are one empty
-    line. Repeated rows give repeated rows.
+    Nothing but the text enters a score, and all of it, however long. Null and
+    empty texts are one empty line. Repeated rows give repeated rows, an empty
+    table an empty result. Columns named like the results stay apart, in ``_row``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -178,8 +186,9 @@ def score(docs: DataFrame, model: LineCRF, text: str = "text", threshold: float
 
         crf = shared.value
         for (texts,) in batches:
-            scores = crf.scores(texts.to_pylist())
+            # Slices bound what is held in features at once.
+            scores = [x for part in text_slices(texts, 1 << 20) for x in crf.scores(part.to_pylist())]
             kept = [s >= threshold for s in scores]
             yield [scores, [int(k) for k in kept]], pa.array(kept, pa.bool_()) if only_kept else None
 
-    return append_columns(docs, [text], [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], compute, carry)
+    return append_columns(docs, [text], [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], compute, carry, "crf")

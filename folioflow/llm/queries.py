@@ -31,7 +31,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.decontaminate import decontaminate
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return found.select("_row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import io
 import random
+import time
 import zipfile
 from fractions import Fraction
 
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioflow.llm import mixing, warc_zip
+from folioflow.llm import mixing, tag_paths, warc_zip
 from folioflow.llm.tag_paths import extract, main_text
 
 
@@ -47,6 +48,50 @@ def test_names_of_templates_bar_no_article():
     assert main_text(f"<body><div id=text>{long}</div><div id=comments>{long * 9}</div></body>") == want
 
 
+def made_page(rng):
+    """A page put together from known parts, and the text of its article."""
+    sentence = lambda n: " ".join(rng.choice(("so", "then", "words", "follow", "upon", "others")) for _ in range(n)).capitalize() + "."
+    links = lambda n: "".join(f"<li><a href=/{i}>{rng.choice('ABC')}{i}</a></li>" for i in range(n))
+    title, paragraphs = sentence(6)[:-1], [" ".join(sentence(rng.randrange(8, 20)) for _ in range(rng.randrange(2, 5))) for _ in range(rng.randrange(3, 7))]
+    start, end = rng.choice((("<article>", "</article>"), ("<main>", "</main>"), ("<div class=post>", "</div>"), ("<div id=content><section>", "</section></div>"), ("<div class='x9'><div>", "</div></div>")))
+    inner = [f"<h1>{title}</h1>", *[f"<p>{p[:20]}<em>{p[20:]}</em>" + rng.choice(("</p>", "")) for p in paragraphs]]
+    around = [f"<nav><ul>{links(6)}</ul></nav>", f"<div class=sidebar><ul>{links(4)}</ul><p>{sentence(5)}</p></div>", f"<div class=cookie-notice><p>{sentence(9)}</p></div>", f"<form><label>Mail</label><p>{sentence(4)}</p></form>", f"<aside><p>{sentence(7)}</p></aside>", f"<div class=ad>{sentence(6)}</div>"]
+    after = [f"<div id=comments>{''.join(f'<p>{sentence(14)}</p>' for _ in range(8))}</div>", f"<footer>&copy; {sentence(6)}</footer>"]
+    rng.shuffle(around)
+    page = f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body><script>var a = '<p>{sentence(9)}</p>'</script>{''.join(around[:4])}{start}{''.join(inner)}{end}{''.join(after)}</body></html>"
+    return page, " ".join([title, *paragraphs])
+
+
+def test_pages_made_of_known_parts():
+    rng = random.Random(21)
+    for _ in range(150):
+        page, want = made_page(rng)
+        assert main_text(page) == want
+
+
+def test_ratios_decide(monkeypatch):
+    rng = random.Random(22)
+    pages = [made_page(rng) for _ in range(60)]
+    with monkeypatch.context() as m:
+        m.setattr(tag_paths, "ratio", lambda p: 1.0)
+        alike = [main_text(page) for page, _ in pages]
+        assert sum(text == want for text, (_, want) in zip(alike, pages)) < 6
+    for name in ("FOR", "AGAINST"):
+        monkeypatch.setattr(tag_paths, name, 0.0)
+    plain = [main_text(page) for page, _ in pages]
+    assert all(want in text for text, (_, want) in zip(plain, pages))
+    assert sum(map(len, plain)) - sum(len(w) for _, w in pages) < 0.75 * (sum(map(len, alike)) - sum(len(w) for _, w in pages))
+
+
+@pytest.mark.parametrize("piece", ["<a", '<div a="', "<div>x", "<b>", "<a b='\">", "<script>", "<title>", "<", "<p>", "</p>", "<!--", "<!", "<p><b>", "&amp", "<a =", "</b", "<td>x"])
+def test_time_is_linear_in_hostile_pages(piece):
+    page = piece * ((1 << 20) // len(piece))
+    for text in (page, page + ">", "<p " + page + "'>"):
+        began = time.process_time()
+        main_text(text)
+        assert time.process_time() - began < 12
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="<>/pab!-\"'= &;x\n", max_size=60))
 def test_any_markup_is_survived(page):
@@ -54,7 +99,7 @@ def test_any_markup_is_survived(page):
 
 
 def test_extract_odd_pages(spark):
-    pages = spark.createDataFrame([(1, None, None, "t"), (1, "u", "", "t"), (None, "u", "<p>a, b.</p>", None)], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame([(1, None, None, "t"), (1, "u", "", "t"), (None, "u", "<p>a, b.</p>", None)], "page_id long, url string, html string, text string").selectExpr("*", "1 AS n_chars")
     got = extract(pages)
     assert sorted(r.n_chars for r in got.select("n_chars").collect()) == [0, 0, 5]
     assert got.select("_row.*").columns == pages.columns and extract(pages.limit(0)).count() == 0
@@ -111,25 +156,38 @@ def test_damaged_record_is_noticed():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.floats(0.001, 100), min_size=1, max_size=12), st.sampled_from([64, 100, 257]))
-def test_schedule_deviates_by_less_than_a_block(weights, period):
-    slots = mixing.whole_weights(dict(enumerate(weights)), period)
-    assert sum(slots.values()) == period and min(slots.values()) >= 1
-    plan = mixing.layout(slots)
-    assert sorted(s for p in plan.values() for s in p) == list(range(period))
-    for k, p in plan.items():
-        for t in range(period + 1):
-            assert abs(sum(s < t for s in p) - t * slots[k] / period) < 1
+@given(st.lists(st.floats(0.001, 100), min_size=1, max_size=12))
+def test_schedule_deviates_by_less_than_a_block(weights):
+    span = 300
+    given_ = dict(enumerate(weights))
+    share = {k: Fraction(w) / sum(map(Fraction, weights)) for k, w in given_.items()}
+    plan = mixing.schedule(given_, {k: int(span * w) + 2 for k, w in share.items()})
+    every = sorted(s for *_, slots in plan.values() for s in slots)
+    assert len(set(every)) == len(every)
+    for k, (*_, slots) in plan.items():
+        for t in range(span + 1):
+            assert abs(sum(s < t for s in slots) - t * share[k]) < 1
+
+
+def test_schedule_of_uneven_weights_over_a_million_slots():
+    weights = {"a": 0.7, "b": 0.2999, "c": 0.0001}
+    total = sum(map(Fraction, weights.values()))
+    n = 1_000_000
+    plan = mixing.schedule(weights, {k: int(n * Fraction(w) / total) + 2 for k, w in weights.items()})
+    for k, w in weights.items():
+        share = Fraction(w) / total
+        num, den = share.numerator, share.denominator
+        assert all(abs(j * den - slot * num) < den and abs((j + 1) * den - (slot + 1) * num) < den for j, slot in enumerate(plan[k][3]) if slot < n)
 
 
 def test_mix_places_every_document_once(spark, docs, odd):
     rows = [(i, "x" * (50 + i % 7), "hot" if i % 3 else f"s{i % 5}") for i in range(900)]
-    got = mixing.mix(docs(rows), weights={"hot": 1.0, "s0": 2.0, "never": 1.0}, period=64, block=500).collect()
+    got = mixing.mix(docs(rows), weights={"hot": 1.0, "s0": 2.0, "never": 1.0}, block=500).collect()
     assert sorted(r._row.doc_id for r in got) == list(range(900))
     by_source = {}
     for r in got:
         by_source.setdefault(r._row.source, []).append(r)
-    weights = mixing.whole_weights({"hot": 1.0, "s0": 2.0, "never": 1.0, "s1": 1.0, "s2": 1.0, "s3": 1.0, "s4": 1.0}, 64)
+    weights = {"hot": 1.0, "s0": 2.0, "never": 1.0, "s1": 1.0, "s2": 1.0, "s3": 1.0, "s4": 1.0}
     for source, rs in by_source.items():
         rs.sort(key=lambda r: r.place)
         assert [r.place for r in rs] == list(range(len(rs)))
@@ -141,13 +199,31 @@ def test_mix_places_every_document_once(spark, docs, odd):
         blocks = max(r.block for r in rs) + 1
         assert len(slots) == blocks
         for t in range(slots[-1]):
-            assert abs(sum(s < t for s in slots) - t * weights[source] / 64) < 1
+            assert abs(sum(s < t for s in slots) - t * weights[source] / 8) < 1
     assert len({r.slot: r._row.source for r in got}) == len({(r.slot, r._row.source) for r in got})
+    odd = odd.selectExpr("*", "0 AS block", "'x' AS place", "1.5 AS _source")
     out = mixing.mix(odd)
     assert out.count() == odd.count() and mixing.in_mixed_order(out).columns == odd.columns
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_blocks_and_sources_beyond_the_bounds(docs, monkeypatch):
+    rows = [(i, "x" * 99, f"s{i % 40}") for i in range(400)] + [(900, "y", None)]
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 16)
+    got = mixing.mix(docs(rows), weights={"s1": 3.0, "s2": 1.0}, block=10, most=5).collect()
+    assert sorted(r._row.doc_id for r in got) == sorted(r[0] for r in rows)
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    pools = {}
+    for r in got:
+        pools.setdefault(r.slot, set()).add(r._row.source)
+    assert len(pools) <= 16 + 8 and {"s1"} in pools.values() and {None} in pools.values()
+
+
+def test_rows_without_ids_spread(docs):
+    got = mixing.mix(docs([(None, "same", "hot")] * 300 + [(i, "x", "b") for i in range(9)]))
+    assert sorted(r.place for r in got.where("_row.source = 'hot'").select("place").collect()) == list(range(300))
+
+
 def test_default_weights_flatten_sizes(docs):
     w = mixing.source_weights(docs([(1, "x" * 99, "a"), (2, "x" * 399, "b"), (3, None, None)]).withColumn("source", F.col("source")))
     assert w["b"] / w["a"] == pytest.approx(2.0)
@@ -157,7 +233,7 @@ def test_schedule_keeps_to_the_given_weights_over_many_periods():
     for weights in ({i: 1.0 for i in range(20)}, {"a": 0.7, "b": 0.2, "c": 0.1, "d": 1e-4}, {i: (i + 1) ** 0.5 for i in range(7)}):
         total = sum(map(Fraction, weights.values()))
         share = {k: Fraction(w) / total for k, w in weights.items()}
-        span = 20 * mixing.PERIOD
+        span = 40_000
         plan = mixing.schedule(weights, {k: int(span * w) + 2 for k, w in share.items()})
         for k, (_, _, _, slots) in plan.items():
             for j, slot in enumerate(slots):  # the deviation is greatest just before and just after a block
@@ -183,6 +259,6 @@ def test_weights_that_are_no_shares_are_refused(docs):
 
 def test_mixed_documents_keep_to_the_given_weights_over_many_periods(docs):
     rows = [(i, "x" * 99, "abc"[i % 3]) for i in range(1_200)]
-    got = mixing.mix(docs(rows), weights={"a": 1.0, "b": 1.0, "c": 1.0}, period=64, block=100).collect()
+    got = mixing.mix(docs(rows), weights={"a": 1.0, "b": 1.0, "c": 1.0}, block=100).collect()
     for r in got:
         assert abs(r.block - r.slot / 3) < 1 and abs(r.block + 1 - (r.slot + 1) / 3) < 1

@@ -1,6 +1,7 @@
 """The registered queries and the pipeline over the smallest tables, against SQL and brute force."""
 
 import os
+from html.parser import HTMLParser
 
 import duckdb
 import pytest
@@ -9,7 +10,6 @@ from test_tokens import reference
 
 import corpus_pipeline
 from folioflow.llm import line_crf, mixing, queries
-from folioflow.llm.tag_paths import main_text
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -41,8 +41,39 @@ def test_token_queries_equal_the_library(spark, duck):
     assert counts == {i: (len(t.encode()), n - 1, n - 1 > 2048) for (i, t), (_, _, n, _) in zip(rows, want)}
 
 
+class Article(HTMLParser):
+    """The text of the article elements, read by another parser, a list of strings for each block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = 0, [[]]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in ("article", "h1", "p"):
+            self.blocks.append([])
+        if tag == "br":
+            self.blocks[-1].append(" ")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("article", "h1", "p"):
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1].append(data)
+
+
+def article_of(html):
+    parser = Article()
+    parser.feed(html or "")
+    parser.close()
+    return " ".join(t for b in parser.blocks if (t := " ".join("".join(b).split())))
+
+
 def test_page_and_license_queries(spark, duck):
-    pages = {r[0]: main_text(r[1]) for r in duck.sql("SELECT page_id, html FROM pages").fetchall()}
+    pages = {r[0]: article_of(r[1]) for r in duck.sql("SELECT page_id, html FROM pages").fetchall()}
     assert {r.page_id: r.text for r in queries.op4_tag_paths(spark, DATA).collect()} == pages
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     texts = dict(duck.sql("SELECT doc_id, text FROM documents").fetchall())

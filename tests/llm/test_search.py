@@ -220,7 +220,8 @@ def test_classes_that_the_pigeonhole_could_miss_equal_brute_force(docs, monkeypa
 
 def test_licenses():
     scan = lambda t: licenses.scan_words(licenses.alnum_words(t))
-    base, accepted = scan("Licensed under CC BY-NC 4.0. All rights reserved; all RIGHTS reserved")
+    base, accepted, share = scan("Licensed under CC BY-NC 4.0. All rights reserved; all RIGHTS reserved")
+    assert share == 1
     assert base == [(2, "cc-by"), (7, "reserved"), (10, "reserved")] and {a[2] for a in accepted} == {"cc-by-nc"}
     labels = lambda t: {a[2] for a in scan(t)[1]}
     assert labels("Licensed under the Apache License, Version 2.0 (the License)") == {"apache-2.0"}
@@ -230,12 +231,69 @@ def test_licenses():
     assert labels("licensed under the three clause BSD license") == labels("licensed under the BSD license") == {"bsd"}
     assert labels("Copyright 2020 Jane Q Public. All rights reserved") == {"reserved"}
     assert labels("copyright all rights reserved") == set()  # a replaceable region of one word at least
-    assert scan("") == ([], [])
+    assert scan("") == ([], [], 0.0)
+
+
+def filled(template, rng):
+    """A wording that a template must accept: optional parts and alternatives drawn, replaceable words made up."""
+    words, skip = [], []
+    tokens = re.findall(r"\{\w+ \d+ \d+\}|[\[\]()|]|[^\s\[\](){}|]+", template)
+    at = 0
+
+    def part(closing):
+        nonlocal at
+        ways = [[]]
+        while at < len(tokens) and tokens[at] != closing:
+            t = tokens[at]
+            at += 1
+            if t == "|":
+                ways.append([])
+            elif t == "[":
+                inner = part("]")
+                ways[-1] += inner if rng.random() < 0.5 else []
+            elif t == "(":
+                ways[-1] += part(")")
+            elif t[0] == "{":
+                low, high = map(int, t[1:-1].split()[1:])
+                ways[-1] += [f"name{rng.randrange(9)}" for _ in range(rng.randint(low, high))]
+            else:
+                ways[-1].append(t)
+        at += 1
+        return rng.choice(ways)
+
+    return part("")
+
+
+def test_every_template_accepts_its_wordings_and_no_other():
+    rng = random.Random(7)
+    for label, templates in licenses.TEMPLATES.items():
+        for template in templates:
+            a = licenses.compile_template(label, template)
+            for _ in range(6):
+                words = filled(template, rng)
+                data = [w.encode() for w in words]
+                assert a.match([b"so", *data, b"then"], 1, {})[0] >= 1 + a.left()[0]
+                base, accepted, share = licenses.scan_words([b"so", *data, b"then"])
+                assert label in {x[2] for x in accepted} and share == 1
+                if (own := [i for i, w in enumerate(words) if i and not w.startswith("name") and i < a.left()[0] // 2]) and len(words) > 30:
+                    broken = list(data)
+                    broken[rng.choice(own)] = b"otherwise"
+                    end, part = a.match(broken, 0, {})
+                    assert end < 0 and part < 1
+
+
+def test_a_license_that_breaks_off_scores_its_share():
+    (full,) = licenses.TEMPLATES["zlib"]
+    words = [w.encode() for w in full.split() if w not in "[]123"]
+    a = licenses.compile_template("zlib", full)
+    assert a.left()[0] == len(words)
+    for n in (8, 40, len(words) - 1, len(words)):
+        assert licenses.scan_words(words[:n])[2] == pytest.approx(n / len(words))
 
 
 def test_template_markup():
     a = licenses.compile_template("x", "a [ b [ c ] ] ( d | e f ) {v 0 2} g")
-    ends = lambda t: a.match(t.encode().split(), 0, {})
+    ends = lambda t: a.match(t.encode().split(), 0, {})[0]
     assert [ends(t) for t in ("a d g", "a b e f g", "a b c d q q g", "a c d g", "a d q q q g", "a e g", "a b d")] == [3, 5, 7, -1, -1, -1, -1]
 
 
