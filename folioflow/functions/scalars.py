@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -39,8 +39,19 @@ def rate(part: ColumnOrName, whole: ColumnOrName) -> Column:
 
 
 def percent_text(part: ColumnOrName, whole: ColumnOrName) -> Column:
-    """PRJ20: one decimal and a percent sign, a dash where whole is 0. For reports in SQL; ``plans.report.percent`` rounds as Python does."""
-    return F.when(_c(whole) == 0, F.lit("—")).otherwise(F.format_string("%.1f%%", 100 * _c(part) / _c(whole)))
+    """PRJ20: one decimal and a percent sign, a dash where whole is 0.
+
+    Rounded as the exact value of the double says, ties to even, like
+    ``plans.report.percent``; Java's formatter rounds its shortest digits instead.
+    """
+    v = 100 * _c(part).cast("double") / F.nullif(_c(whole), F.lit(0))
+    # Ten times v as a double and what it lacks: 8 v and 2 v are exact, so is the error of their sum.
+    s = 8 * v + 2 * v
+    lack = (8 * v - (s - (s - 8 * v))) + (2 * v - (s - 8 * v))
+    whole_tenths, rest = F.floor(s), s - F.floor(s)
+    up = (rest > 0.5) | ((rest == 0.5) & ((lack > 0) | ((lack == 0) & (whole_tenths % 2 == 1))))
+    tenths = whole_tenths + F.when(up, 1).otherwise(0)
+    return F.when(_c(whole) == 0, F.lit("—")).otherwise(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%")))
 
 
 def set_equal(a: ColumnOrName, b: ColumnOrName) -> Column:
@@ -53,16 +64,22 @@ def multiset_equal(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.array_sort(_c(a)) == F.array_sort(_c(b))
 
 
-def label_union(labels: ColumnOrName) -> Column:
-    """AGG04, SET03, SRT06: distinct labels of all arrays of a group, sorted; null where there are none."""
-    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list(_c(labels)))))
-    return F.nullif(merged, F.array().cast("array<string>"))
-
-
-def order_statistic(x: ColumnOrName, p: float) -> Column:
-    """SRT07: the value at place floor(n p) (from 0, at most n - 1) of the sorted group. Neither an interpolated nor a discrete percentile."""
-    ordered = F.array_sort(F.collect_list(_c(x)))
-    return F.get(ordered, F.least(F.floor(F.size(ordered) * F.lit(p)).cast("int"), F.size(ordered) - 1))
+def order_statistics(rows: DataFrame, by: list[str], x: str, places: dict[str, float]) -> DataFrame:
+    """SRT07: for each group and each (name, p) the value at place floor(n p) (from 0, at most n - 1) of the group's sorted values; null if it has none.
+
+    Neither an interpolated nor a discrete percentile. Values are counted first
+    (partially on the map side) and the counts summed up in order, so that a group
+    holds its distinct values only, however many rows it has.
+    """
+    keys = by or ["_all"]
+    counted = (rows if by else rows.withColumn("_all", F.lit(0))).groupBy(*keys, x).agg(F.count(x).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_first()))
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    ranked = counted.select(*keys, F.col(x).alias("_x"), upto.alias("_upto"), total.alias("_total"))
+    place = lambda p: F.least(F.floor(F.col("_total") * F.lit(p)), F.col("_total") - 1)
+    found = [F.min(F.when(F.col("_upto") > place(p), F.col("_x"))).alias(name) for name, p in places.items()]
+    out = ranked.groupBy(*keys).agg(*found)
+    return out if by else rows.agg(F.lit(0).alias("_all")).join(out, "_all", "left").drop("_all")
 
 
 def split_evidence(text: ColumnOrName) -> Column:

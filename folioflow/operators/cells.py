@@ -63,16 +63,11 @@ def over_schema(records: DataFrame, fields: DataFrame, record: str = "prediction
     """
     keep = keep or [c for c in records.columns if c != record]
     names = [r.field for r in fields.select("field").orderBy("ordinal").collect()]
-    # Parsed once a row; each field is a lookup in the map of its top-level values.
-    values = F.from_json(record, "map<string,string>", {"mode": "PERMISSIVE"})
-    whole = records.select(*keep, parse_or_null(record).alias("_v"), values.alias("_m"))
-    listed = F.array(*[F.struct(F.lit(n).alias("field"), F.to_json(F.try_variant_get("_v", _path(n), "variant")).alias("value_json")) for n in names])
-    rows = whole.select(*keep, F.explode(listed).alias("c"))
-    return rows.select(*keep, "c.field", F.when(F.col("c.value_json") != "null", F.col("c.value_json")).alias("value_json"))
-
-
-def _path(name: str) -> str:
-    return "$['" + name.replace("'", "\\'") + "']"
+    # Parsed once a row, into a map of its top-level values as JSON text; each field is a lookup in it.
+    values = F.from_json(F.when(parse_or_null(record).isNotNull(), F.to_json(parse_or_null(record))), "map<string,variant>", {"mode": "PERMISSIVE"})
+    rows = records.select(*keep, values.alias("_m")).select(*keep, "_m", F.explode(F.array(*map(F.lit, names))).alias("field"))
+    value = F.to_json(F.try_element_at("_m", F.col("field")))
+    return rows.select(*keep, "field", F.when(value != "null", value).alias("value_json"))
 
 
 def pivot(cells: DataFrame, doc: str = KEY) -> DataFrame:

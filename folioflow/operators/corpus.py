@@ -7,7 +7,7 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.scalars import hash_bucket, order_statistic
+from folioflow.functions.scalars import hash_bucket, order_statistics
 
 
 def usable(hygiene: DataFrame, flag: str = "usable_for_snippet_training") -> DataFrame:
@@ -76,10 +76,12 @@ def one_shot(candidates: DataFrame, sample: DataFrame, key: str = "contract_name
 
 def split_summary(chunks: DataFrame, by: str = "split", doc: str = "contract_name", tokens: str = "input_tokens_approx", fits: int = 31_000) -> DataFrame:
     """AGG13, AGG16, FLT11: documents, chunks, median and most chunks of a document, token p50, p95 and most, percent that fit, counts of boundary kinds."""
-    per = chunks.groupBy(by, doc).agg(F.count(F.lit(1)).alias("k")).groupBy(by).agg(F.count(F.lit(1)).alias("n_documents"), order_statistic("k", 0.5).alias("median_chunks"), F.max("k").alias("most_chunks"))
+    per = chunks.groupBy(by, doc).agg(F.count(F.lit(1)).alias("k"))
+    documents = per.groupBy(by).agg(F.count(F.lit(1)).alias("n_documents"), F.max("k").alias("most_chunks")).join(order_statistics(per, [by], "k", {"median_chunks": 0.5}), by)
     kinds = [F.count_if(F.col("boundary_kind") == k).alias(f"n_{k}") for k in ("article", "section", "paragraph", "sentence", "eof", "hard")]
-    size = chunks.groupBy(by).agg(F.count(F.lit(1)).alias("n_chunks"), order_statistic(tokens, 0.5).alias("tokens_p50"), order_statistic(tokens, 0.95).alias("tokens_p95"), F.max(tokens).alias("tokens_max"), (F.avg(F.when(F.col(tokens) < fits, 1.0).otherwise(0.0)) * 100).alias("fits_percent"), *kinds)
-    return per.join(size, by)
+    size = chunks.groupBy(by).agg(F.count(F.lit(1)).alias("n_chunks"), F.max(tokens).alias("tokens_max"), (F.avg(F.when(F.col(tokens) < fits, 1.0).otherwise(0.0)) * 100).alias("fits_percent"), *kinds)
+    ranks = order_statistics(chunks, [by], tokens, {"tokens_p50": 0.5, "tokens_p95": 0.95})
+    return documents.join(size, by).join(ranks, by)
 
 
 def union_splits(parts: dict[str, DataFrame]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable
 
@@ -54,9 +55,31 @@ def extract(chunks: DataFrame, make_client: Callable[[], Client], system: str, p
     return chunks.select("contract_name", F.col("chunk_id").cast("int"), "input").mapInArrow(run, SCHEMA)
 
 
-def constrained_decode(step: Callable[[list[int]], list[float]], allowed: Callable[[list[int]], list[int]], end: int, most: int = 3_072) -> list[int]:
-    """EXT02: greedy decoding under a grammar: a lone legal token is taken without a model step, otherwise the legal one of highest score."""
+# The white space of JSON.
+BLANK = " \t\r\n"
+_STRINGS = re.compile(r'"(?:[^"\\]|\\.)*+("?)', re.S)
+
+
+def open_blanks(text: str) -> int:
+    """EXT03 on the driver: white space at the end of a JSON text that stands between its tokens; -1 inside a string."""
+    last = None
+    for last in _STRINGS.finditer(text):
+        pass
+    if last and not last[1]:
+        return -1
+    rest = text[last.end() :] if last else text
+    return len(rest) - len(rest.rstrip(BLANK))
+
+
+def constrained_decode(step: Callable[[list[int]], list[float]], allowed: Callable[[list[int]], list[int]], end: int, most: int = 3_072, surface: Callable[[int], str] | None = None, blanks: set[int] | frozenset[int] = frozenset(), most_blanks: int = 2) -> list[int]:
+    """EXT02: greedy decoding under a grammar: a lone legal token is taken without a model step, otherwise the legal one of highest score.
+
+    With ``surface`` (a token's text) and ``blanks`` (EXT04), tokens of white space
+    are no longer legal once ``most_blanks`` blanks stand between tokens of the
+    answer, unless nothing else is; inside strings they always are. 0 sets no cap.
+    """
     out: list[int] = []
+    text = ""
     while len(out) < most:
         legal = allowed(out)
         if not legal:
@@ -64,17 +87,20 @@ def constrained_decode(step: Callable[[list[int]], list[float]], allowed: Callab
         if len(legal) == 1:
             token = legal[0]
         else:
+            if blanks and most_blanks > 0 and open_blanks(text) >= most_blanks:
+                legal = [x for x in legal if x not in blanks] or legal
             scores = step(out)
-            token = max(legal, key=lambda t: (scores[t], -t))
+            token = max(legal, key=lambda x: (scores[x], -x))
         if token == end:
             break
         out.append(token)
+        text += surface(token) if surface else ""
     return out
 
 
 def blank_tokens(vocabulary: dict[str, int]) -> set[int]:
     """EXT04: ids of tokens that are white space only."""
-    return {i for t, i in vocabulary.items() if t and not t.strip(" \t\r\nĠĊ")}
+    return {i for t, i in vocabulary.items() if t and not t.strip(BLANK + "ĠĊ")}
 
 
 def usage_summary(log: DataFrame) -> DataFrame:

@@ -64,9 +64,10 @@ def remap(cells: DataFrame, dictionary: DataFrame, value: str = "value", to: str
 
 # ---------------------------------------------------------------- schema rewriting, driver side
 
-# Keywords that the stricter of the two strips drops.
+# Keywords that the stricter of the two strips drops, those that a grammar has no use for, and those that hold properties by name.
 VALIDATION = frozenset("minLength maxLength pattern format minimum maximum minItems maxItems uniqueItems".split())
-DOCUMENTATION = frozenset("title description examples default".split())
+UNUSED = frozenset("description title $schema $id $comment examples default readOnly writeOnly deprecated uniqueItems".split())
+BY_NAME = frozenset("properties patternProperties definitions $defs".split())
 
 
 def _strip(node: Any, drop) -> Any:
@@ -85,25 +86,25 @@ def strip_annotations(schema: dict) -> dict:
     return _strip(schema, lambda k: k in ("$schema", "uniqueItems") or k[:2] == "x-")
 
 
-def for_grammar(schema: Any, names: bool = False) -> Any:
-    """DIC09: for a grammar compiler: documentation dropped, ``type: [X, null]`` as ``anyOf``; property names are never taken for keywords."""
-    if isinstance(schema, list):
-        return [for_grammar(x) for x in schema]
+def for_grammar(schema: Any) -> Any:
+    """DIC09: for a grammar compiler: without what does not constrain an answer, and a type that may also be null as a choice between null and the rest. Properties are never taken for keywords, whatever their names."""
     if not isinstance(schema, dict):
-        return schema
-    if names:
-        return {k: for_grammar(v) for k, v in schema.items()}
-    out = {k: for_grammar(v, k in ("properties", "$defs", "definitions")) for k, v in schema.items() if k not in DOCUMENTATION and k[:2] != "x-" and k != "$schema"}
-    kinds = out.get("type")
-    if isinstance(kinds, list) and "enum" not in out:
-        rest = {k: v for k, v in out.items() if k != "type"}
-        return {"anyOf": [({"type": t} if t == "null" else {"type": t} | rest) for t in kinds]}
+        return [for_grammar(x) for x in schema] if isinstance(schema, list) else schema
+    out = {}
+    for key, value in schema.items():
+        if key in BY_NAME and isinstance(value, dict):
+            out[key] = {name: for_grammar(x) for name, x in value.items()}
+        elif key not in UNUSED and not key.startswith("x-"):
+            out[key] = for_grammar(value)
+    match out.get("type"):
+        case ["null", kind] | [kind, "null"]:
+            return {"anyOf": [{"type": "null"}, out | {"type": kind}]}
     return out
 
 
 def array_violations(cells: DataFrame, fields: DataFrame) -> DataFrame:
     """FLT12: array values (column ``labels_found``) with a label twice or one that the field does not admit."""
-    known = cells.join(F.broadcast(fields.where("is_multilabel").select("field", "labels")), "field")
+    known = cells.join(fields.where("is_multilabel").select("field", "labels"), "field")
     twice = F.size("labels_found") != F.size(F.array_distinct("labels_found"))
     foreign = F.size(F.array_except("labels_found", "labels")) > 0
     return known.where(twice | foreign).select(*cells.columns, twice.alias("repeats"), foreign.alias("unknown"))

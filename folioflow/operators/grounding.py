@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.scalars import order_statistic, rate, split_evidence
+from folioflow.functions.scalars import order_statistics, rate, split_evidence
 
 
 def spans_of(evidence: DataFrame, keys: list[str], text: str = "evidence") -> DataFrame:
@@ -49,14 +49,14 @@ def invariant_violations(cells: DataFrame) -> DataFrame:
 
 def anchorless(cells: DataFrame, chunks: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame:
     """DOC06: answers on chunks that lack the field's key phrase (lower case)."""
-    rows = cells.where("value_json IS NOT NULL").join(F.broadcast(anchors), "field").join(chunks.select(*keys, "text"), keys)
+    rows = cells.where("value_json IS NOT NULL").join(anchors, "field").join(chunks.select(*keys, "text"), keys)
     return rows.where(~F.contains(F.lower("text"), F.col("phrase"))).drop("text")
 
 
 def fill_distribution(cells: DataFrame, keys: list[str], many: int = 50) -> DataFrame:
     """AGG20: median (upper), mean and most non-null fields of a chunk, and chunks with more than ``many``."""
     per = cells.groupBy(*keys).agg(F.count("value_json").alias("n"))
-    return per.agg(order_statistic("n", 0.5).alias("median"), F.avg("n").alias("mean"), F.max("n").alias("most"), F.count_if(F.col("n") > many).alias("full_chunks"), F.count(F.lit(1)).alias("chunks"))
+    return order_statistics(per, [], "n", {"median": 0.5}).join(per.agg(F.avg("n").alias("mean"), F.max("n").alias("most"), F.count_if(F.col("n") > many).alias("full_chunks"), F.count(F.lit(1)).alias("chunks")), how="cross")
 
 
 def contradictions(cells: DataFrame, doc: str = "contract_name") -> DataFrame:
@@ -69,19 +69,29 @@ def contradictions(cells: DataFrame, doc: str = "contract_name") -> DataFrame:
 def passages_in(passages: DataFrame, docs: DataFrame, span: str = "span", text: str = "text") -> DataFrame:
     """JN11 across tables: passages with all documents that hold them verbatim.
 
-    A document can only hold a passage if it holds the passage's longest inner
-    word (one with blanks on both sides in the passage), so both sides join on
-    words, of documents only those that some passage is anchored on. Passages of
-    fewer than three words have no such anchor and are compared with every
-    document. Null and empty passages match nothing.
+    A document can only hold a passage if it holds the passage's inner words
+    (those with blanks on both sides in it). Each passage is anchored on the one
+    of them that the fewest documents hold: words that some passage has are sought
+    in the documents, without their texts, pairs of passage and document meet on
+    the anchor, and only then are texts fetched and compared. Passages of fewer
+    than three words have no such anchor and are compared with every document.
+    Null and empty passages match nothing.
     """
-    given = passages.where(F.length(span) > 0)
-    inner = F.expr(f"slice(split(`{span}`, '[ \\\\t-\\\\r]+'), 2, greatest(size(split(`{span}`, '[ \\\\t-\\\\r]+')) - 2, 0))")
-    anchor = F.expr("array_max(transform(_inner, w -> struct(length(w) AS k, w AS w))).w")
-    anchored = given.withColumn("_inner", inner).withColumn("_anchor", anchor).drop("_inner")
-    words = anchored.where("_anchor IS NOT NULL").select("_anchor").distinct()
-    tokens = docs.select(*docs.columns, F.explode(F.array_distinct(F.split(text, "[ \\t-\\r]+"))).alias("_anchor"))
-    near = tokens.join(words, "_anchor", "left_semi").join(anchored.where("_anchor IS NOT NULL"), "_anchor")
-    loose = docs.join(anchored.where("_anchor IS NULL"), F.contains(F.col(text), F.col(span)))
-    names = [c for c in passages.columns if c != span] + [c for c in docs.columns if c != text]
-    return near.where(F.contains(F.col(text), F.col(span))).select(*names).union(loose.select(*names))
+    own = [c for c in passages.columns if c != span]
+    keys = [c for c in docs.columns if c != text]
+    given = passages.where(F.length(span) > 0).withColumn("_p", F.xxhash64(*[F.col(c) for c in passages.columns])).dropDuplicates(passages.columns)
+    words = F.split(span, "[ \\t-\\r]+")
+    inner = given.select("_p", F.explode(F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))).alias("_w"))
+    named = F.struct(*[F.col(c) for c in keys]).alias("_d")
+    held = docs.select(named, F.explode(F.array_distinct(F.split(text, "[ \\t-\\r]+"))).alias("_w")).join(inner.select("_w").distinct(), "_w", "left_semi")
+    rarity = held.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    # A passage with an inner word that no document holds is in none.
+    anchor = inner.join(rarity, "_w", "left").groupBy("_p").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_w")).alias("a")).where("a.n > 0").select("_p", F.col("a._w").alias("_w"))
+    near = held.join(anchor, "_w").select("_d", "_p").distinct().join(given, "_p")
+    texts = docs.select(named.alias("_e"), F.col(text).alias("_text"))
+    found = near.join(texts, F.col("_d").eqNullSafe(F.col("_e"))).where(F.contains("_text", F.col(span))).select(*own, *[F.col(f"_d.{c}").alias(c) for c in keys])
+    loose = given.where(F.size(words) < 3)
+    if loose.limit(1).count() == 0:
+        return found
+    every = docs.join(loose, F.contains(docs[text], loose[span])).select(*[loose[c] for c in own], *[docs[c] for c in keys])
+    return found.union(every)

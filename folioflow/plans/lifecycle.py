@@ -38,6 +38,7 @@ def merge_and_score(predictions: DataFrame, golds: DataFrame, dimension: DataFra
     first = ordinal.groupBy("contract_name").agg(F.min_by("gold", "ordinal").alias("gold"))
     gold = cells.over_schema(first, dimension, "gold", ["contract_name"])
     # A document that answered nothing still counts: its cells are abstentions.
-    every = predictions.select("contract_name").distinct().crossJoin(F.broadcast(dimension.select("field")))
+    names = [r.field for r in dimension.select("field").collect()]  # the schema's fields: exploded inside the row, not joined
+    every = predictions.select("contract_name").distinct().select("contract_name", F.explode(F.array(*map(F.lit, names))).alias("field"))
     preds = every.join(merged, ["contract_name", "field"], "left")
     return {"merged": merged, "conflicts": conflicts, "scored": scoring.score_cells(preds, gold, dimension)}

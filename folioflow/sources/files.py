@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import subprocess
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.schemas import RISK, RUN_LOG
+from folioflow.sources.scratch import exists
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+#: Bytes of a file up to which it is hashed as one value, and of a block of a larger one.
+WHOLE, BLOCK = 1 << 30, 1 << 20
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -22,8 +24,12 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFra
 
 
 def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """A column that rises in file order. Give it right after a scan of files, before any shuffle."""
-    return df.select(F.monotonically_increasing_id().alias(name), "*")
+    """A column that rises in file order: files by path, their rows as they stand. Give it right after a scan of files, before any shuffle.
+
+    Spark reads large files first, so row numbers alone do not follow the files.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.select(place.alias(name), "*")
 
 
 def last_per_key(rows: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
@@ -38,17 +44,21 @@ def first_per_key(rows: DataFrame, key: str, ordinal: str = "ordinal") -> DataFr
     return rows.groupBy(key).agg(F.min_by(F.struct(*others), F.col(ordinal)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in others])
 
 
-def keyed_or_first(rows: DataFrame, key: str = "contract_name", ordinal: str = "ordinal") -> DataFrame:
-    """SRC03: rows keyed by ``key`` or, where that is null or empty, by the first other column in schema order that has a value; the last row of a key wins."""
-    rest = [F.col(c).cast("string") for c in rows.columns if c not in (key, ordinal)]
-    named = F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), *rest)
-    return last_per_key(rows.withColumn(key, named), key, ordinal)
+def keyed_or_first(lines: DataFrame, key: str = "contract_name", record: str = "value", ordinal: str = "ordinal") -> DataFrame:
+    """SRC03: JSON lines (text) by their value of ``key`` or, where that is missing or holds nothing (null, an empty text, list or object, 0, false), by the value of their first key, be it null; the last line of a name wins. Blank lines are skipped."""
+    parsed = F.parse_json(F.nullif(F.trim(record), F.lit("")))
+    value = lambda path: F.try_variant_get("_v", path, "string")
+    at_key = F.try_variant_get("_v", f"$['{key}']", "variant")
+    holds = ~F.coalesce(F.to_json(at_key), F.lit("null")).isin("null", '""', "0", "0.0", "false", "[]", "{}")
+    first = F.try_variant_get(F.col("_v"), F.concat(F.lit("$['"), F.get(F.json_object_keys(record), F.lit(0)), F.lit("']")), "string")
+    rows = lines.withColumn("_v", parsed).where("_v IS NOT NULL").select(F.when(holds, value(f"$['{key}']")).otherwise(first).alias("name"), F.col(record).alias("record"), ordinal)
+    return last_per_key(rows, "name", ordinal)
 
 
 def done_keys(spark: SparkSession, path: str, key: str = "contract_name") -> DataFrame:
     """SRC04: distinct keys of JSON lines whose tail may be torn; unparseable lines and empty keys are left out, a missing file is empty."""
     schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("_corrupt_record", T.StringType())])
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], T.StructType([schema[key]]))
     rows = spark.read.text(path).select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     return rows.where("r._corrupt_record IS NULL AND coalesce(r.`" + key + "`, '') <> ''").select(f"r.{key}").distinct()
@@ -56,7 +66,7 @@ def done_keys(spark: SparkSession, path: str, key: str = "contract_name") -> Dat
 
 def run_log(spark: SparkSession, path: str, tolerant: bool = True) -> DataFrame:
     """SRC05: a log that is one JSON array. Missing gives no rows; corrupt gives none either if tolerant, else it raises."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], RUN_LOG)
     parsed = F.from_json("value", f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in RUN_LOG.split(', '))}>>", {"mode": "PERMISSIVE" if tolerant else "FAILFAST"})
     return spark.read.text(path, wholetext=True).select(F.inline(parsed))
@@ -78,13 +88,15 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def texts_dropping_bad_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """SRC08: as ``texts``, with bytes that are not UTF-8 left out rather than replaced."""
+    """SRC08: as ``texts``, with bytes that are not UTF-8 left out rather than replaced. Bytes stand as Latin-1 characters while what is no UTF-8 sequence goes."""
+    kept = F.regexp_replace(F.decode("content", "ISO-8859-1"), f"((?:{_UTF8})++)|[\\x{{80}}-\\x{{FF}}]", "$1")
+    whole = F.decode(F.encode(kept, "ISO-8859-1"), "UTF-8")
+    return spark.read.format("binaryFile").load(path).select(stem(F.element_at(F.split("path", "/"), -1)).alias("name"), F.regexp_replace(whole, "\r\n?", "\n").alias("text"))
 
-    @F.pandas_udf("string")
-    def decode(content):
-        return content.map(lambda b: bytes(b).decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n"))
 
-    return spark.read.format("binaryFile").load(path).select(stem(F.element_at(F.split("path", "/"), -1)).alias("name"), decode("content").alias("text"))
+# The sequences of UTF-8, as Latin-1 characters.
+_TAIL = "[\\x{80}-\\x{BF}]"
+_UTF8 = f"[\\x{{00}}-\\x{{7F}}]|[\\x{{C2}}-\\x{{DF}}]{_TAIL}|\\x{{E0}}[\\x{{A0}}-\\x{{BF}}]{_TAIL}|[\\x{{E1}}-\\x{{EC}}\\x{{EE}}\\x{{EF}}]{_TAIL}{{2}}|\\x{{ED}}[\\x{{80}}-\\x{{9F}}]{_TAIL}|\\x{{F0}}[\\x{{90}}-\\x{{BF}}]{_TAIL}{{2}}|[\\x{{F1}}-\\x{{F3}}]{_TAIL}{{3}}|\\x{{F4}}[\\x{{80}}-\\x{{8F}}]{_TAIL}{{2}}"
 
 
 def listing(spark: SparkSession, folder: str, glob: str = "contract_*.json", but: str = ".pcl.json") -> DataFrame:
@@ -99,8 +111,30 @@ def csv(spark: SparkSession, path: str, schema: T.StructType | str = RISK) -> Da
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SRC13: path, bytes and sha256 of files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """SRC13: path, bytes and sha256 of files. Files beyond ``WHOLE`` bytes are read in blocks, one task each, from stores that pyarrow knows."""
+    found = spark.read.format("binaryFile").load(path)
+    small = found.where(F.col("length") <= WHOLE).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = found.where(F.col("length") > WHOLE).select("path", F.col("length").alias("bytes"))
+    if large.limit(1).count() == 0:
+        return small
+
+    def digest(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([block_sha256(x) for x in b.column(0).to_pylist()], pa.string())], names=["path", "bytes", "sha256"])
+
+    return small.union(large.repartition("path").mapInArrow(digest, "path string, bytes long, sha256 string"))
+
+
+def block_sha256(uri: str) -> str:
+    """sha256 of one file, a block at a time."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+    found = hashlib.sha256()
+    with store.open_input_stream(path) as f:
+        while block := f.read(BLOCK):
+            found.update(block)
+    return found.hexdigest()
 
 
 def git_state(folder: str) -> dict:
@@ -116,6 +150,11 @@ def git_state(folder: str) -> dict:
     return {"sha": git("rev-parse", "HEAD"), "branch": git("rev-parse", "--abbrev-ref", "HEAD"), "dirty": None if changes is None else bool(changes), "upstream": git("rev-parse", "--abbrev-ref", "@{upstream}"), "ahead": ahead, "behind": behind, "pushed": None if ahead is None else ahead == 0}
 
 
+def local(uri: str) -> str:
+    """The path of a ``file:`` address, for what is read and written on the driver only."""
+    return re.sub("^file:/+", "/", uri)
+
+
 def prompt_text(inline: str | None = None, path: str | None = None) -> str | None:
     """SRC15: a prompt given as text or as a file, not both."""
     if inline is not None and path is not None:

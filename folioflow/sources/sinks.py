@@ -8,6 +8,8 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.sources.scratch import exists, put
+
 
 def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK01, SNK07: JSON lines, text beyond ASCII as it is, null fields written. Overwriting is the restart that drops earlier output."""
@@ -17,8 +19,7 @@ def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def append_missing(df: DataFrame, path: str, keys: list[str]) -> None:
     """SNK02, JN05: append the rows whose keys the table does not hold yet (Parquet)."""
     spark = df.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if exists(spark, path):
         done = spark.read.parquet(path).select(*keys).distinct()
         df = df.join(done, keys, "left_anti")
     df.write.mode("append").parquet(path)
@@ -28,8 +29,7 @@ def stats_document(df: DataFrame, path: str) -> dict:
     """SNK03: a small result as one readable JSON file; gives what it wrote."""
     rows = [json.loads(r) for r in df.toJSON().collect()]
     value = rows[0] if len(rows) == 1 else rows
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=2)
+    put(df.sparkSession, path, json.dumps(value, ensure_ascii=False, indent=2))
     return value
 
 
@@ -47,8 +47,7 @@ def merge_outputs(merged: DataFrame, golds: DataFrame, conflicts: DataFrame, fol
 
 def sample_manifest(names: DataFrame, path: str) -> None:
     """SNK08: a small list of names, one a line, in order."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.writelines(f"{r[0]}\n" for r in names.orderBy(names.columns[0]).collect())
+    put(names.sparkSession, path, "".join(f"{r[0]}\n" for r in names.orderBy(names.columns[0]).collect()))
 
 
 def fill_template(text: str, values: dict) -> str:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -43,8 +44,45 @@ def test_csv_keeps_none_and_doubled_quotes(spark, tmp_path):
 def test_texts(spark, tmp_path):
     (tmp_path / "contract_1.txt").write_bytes("a\r\nb\rcé".encode())
     assert tuple(files.texts(spark, str(tmp_path / "contract_1.txt")).first()) == ("contract_1", "a\nb\ncé")
-    (tmp_path / "bad.txt").write_bytes(b"a\xffb")
-    assert files.texts_dropping_bad_bytes(spark, str(tmp_path / "bad.txt")).first().text == "ab"
+    rng = random.Random(4)
+    good = ["a", "é", "日", "😀", "\ufffd", "\r\n", "\r", "\n", "x y"]
+    bad = [b"\xff", b"\xe2\x82", b"\xc0\xaf", b"\xed\xa0\x80", b"\xf5", b"\x80", b"\xf0\x9f\x98"]
+    for i in range(6):
+        data = b"".join(rng.choice([*(g.encode() for g in good), *bad]) for _ in range(400))
+        (tmp_path / f"bad{i}.txt").write_bytes(data)
+        want = data.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
+        assert files.texts_dropping_bad_bytes(spark, str(tmp_path / f"bad{i}.txt")).first().text == want
+
+
+def test_file_order_over_several_files(spark, tmp_path):
+    for name, n in (("a", 1), ("b", 4_000), ("c", 400)):
+        write(tmp_path / f"{name}.jsonl", "".join(json.dumps({"k": "x", "file": name, "i": i}) + "\n" for i in range(n)))
+    rows = files.with_ordinal(files.jsonl(spark, str(tmp_path), "k string, file string, i int"))
+    assert files.last_per_key(rows, "k").select("file", "i").first() == ("c", 399)
+    assert files.first_per_key(rows, "k").select("file", "i").first() == ("a", 0)
+
+
+def test_lines_by_name_or_first_value(spark, tmp_path):
+    lines = ['{"contract_name": "a", "v": 1}', '{"v": "b", "contract_name": ""}', "", '{"id": null, "v": 2}', '{"contract_name": "a", "v": 3}', '{"contract_name": 0, "v": 4}', '{"x": "a"}']
+    path = write(tmp_path / "l.jsonl", "\n".join(lines) + "\n")
+    rows = files.with_ordinal(spark.read.text(path))
+    want = {}
+    for line in lines:
+        if line:
+            r = json.loads(line)
+            key = r.get("contract_name") or list(r.values())[0]
+            want[key if key is None else str(key)] = line
+    assert {r.name: r.record for r in files.keyed_or_first(rows).collect()} == want
+
+
+def test_large_files_are_hashed_in_blocks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(files, "WHOLE", 100)
+    for name, n in (("s", 50), ("l", 3_000_000)):
+        (tmp_path / name).write_bytes(b"xyz" * n)
+    got = {r.path.rpartition("/")[2]: (r.bytes, r.sha256) for r in files.file_hashes(spark, str(tmp_path)).collect()}
+    assert got == {name: (3 * n, hashlib.sha256(b"xyz" * n).hexdigest()) for name, n in (("s", 50), ("l", 3_000_000))}
 
 
 def test_listing_hashes_and_documents(spark, tmp_path):

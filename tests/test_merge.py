@@ -70,8 +70,8 @@ def test_first_and_last_per_key(spark):
     df = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 3, 2)], "k string, v int, ordinal long")
     assert {r.k: r.v for r in first_per_key(df, "k").collect()} == {"a": 1, "b": 3}
     assert {r.k: r.v for r in last_per_key(df, "k").collect()} == {"a": 2, "b": 3}
-    odd = spark.createDataFrame([("", "x", 0), (None, "y", 1), ("n", "z", 2)], "contract_name string, other string, ordinal long")
-    assert {r.contract_name for r in keyed_or_first(odd).collect()} == {"x", "y", "n"}
+    odd = spark.createDataFrame([('{"o": "x", "contract_name": ""}', 0), ('{"o": "y"}', 1), ('{"o": 1, "contract_name": "n"}', 2)], "value string, ordinal long")
+    assert {r.name for r in keyed_or_first(odd).collect()} == {"x", "y", "n"}
 
 
 def test_collected_is_in_order(spark):

@@ -106,4 +106,6 @@ def test_schema_rewrites():
     schema = {"$schema": "s", "x-note": 1, "type": "object", "properties": {"x-name": {"type": ["string", "null"], "description": "d", "minLength": 1, "uniqueItems": True}}}
     assert fields.strip_validation(schema) == {"type": "object", "properties": {}}
     assert fields.strip_annotations({"$id": 1, "a": {"uniqueItems": True, "minLength": 2}}) == {"$id": 1, "a": {"minLength": 2}}
-    assert fields.for_grammar(schema)["properties"] == {"x-name": {"anyOf": [{"type": "string", "minLength": 1, "uniqueItems": True}, {"type": "null"}]}}
+    assert fields.for_grammar(schema)["properties"] == {"x-name": {"anyOf": [{"type": "null"}, {"type": "string", "minLength": 1}]}}
+    assert fields.for_grammar({"type": ["string", "null"], "enum": ["a", None]}) == {"anyOf": [{"type": "null"}, {"type": "string", "enum": ["a", None]}]}
+    assert fields.for_grammar({"type": ["string", "integer", "null"], "patternProperties": {"title": {"title": "t"}}, "default": 1}) == {"type": ["string", "integer", "null"], "patternProperties": {"title": {}}}

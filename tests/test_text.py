@@ -91,10 +91,15 @@ def test_closed_form_equals_the_loop(spark):
 
 
 def test_order_statistics_are_neither_interpolated_nor_discrete(spark):
-    df = spark.range(1, 21).agg(scalars.order_statistic("id", 0.5), scalars.order_statistic("id", 0.95))
-    assert tuple(df.first()) == (11, 20)
-    empty = spark.range(0).agg(scalars.order_statistic("id", 0.5)).first()[0]
-    assert empty is None
+    places = {"p50": 0.5, "p95": 0.95}
+    assert tuple(scalars.order_statistics(spark.range(1, 21), [], "id", places).first()) == (11, 20)
+    assert tuple(scalars.order_statistics(spark.range(0), [], "id", places).first()) == (None, None)
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), rng.choice([None, *range(6)])) for _ in range(200)] + [("none", None)]
+    got = {r.g: (r.p50, r.p95) for r in scalars.order_statistics(spark.createDataFrame(rows, "g string, x int"), ["g"], "x", places).collect()}
+    for g in {r[0] for r in rows}:
+        s = sorted(x for h, x in rows if h == g and x is not None)
+        assert got[g] == (tuple(s[min(int(len(s) * p), len(s) - 1)] for p in places.values()) if s else (None, None))
 
 
 def test_scalars(spark):
@@ -109,6 +114,13 @@ def test_scalars(spark):
     assert [m.role for m in r.chat] == ["system", "user", "assistant", "user"]
 
 
+def test_percents_round_as_python_does(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(2_000), rng.choice([1, 3, 7, 16, 40, 80, 400, 1000, 2000])) for _ in range(3_000)] + [(0, 5), (9, 16), (11, 16), (5, 0)]
+    got = spark.createDataFrame(rows, "k long, n long").select("k", "n", scalars.percent_text("k", "n").alias("p")).collect()
+    assert all(r.p == ("—" if r.n == 0 else f"{100 * r.k / r.n:.1f}%") for r in got)
+
+
 def test_json_lexer(spark):
     df = spark.createDataFrame([('{"a": "x\\"y  ',), ('{"a":   ',), ("",), ('"\\\\"',)], "t string")
     got = [tuple(r.s) for r in df.select(scalars.json_structure("t").alias("s")).collect()]
@@ -163,6 +175,13 @@ def test_extraction_retries_and_clears_errors(spark):
     legal = {0: [1, 2], 1: [3], 2: [0]}
     assert extract.constrained_decode(lambda out: [0, 1, 5, 0], lambda out: legal.get(len(out), []), end=0) == [2, 3]
     assert extract.blank_tokens({" ": 1, "a": 2, "\n": 3, "": 4}) == {1, 3}
+    # Once two blanks stand between tokens, another is not legal; inside a string it is.
+    surface = {0: "", 1: " ", 2: '"', 3: "x"}.__getitem__
+    eager = {0: 0.0, 1: 9.0, 2: 1.0, 3: 0.5}
+    decode = lambda **kw: extract.constrained_decode(lambda out: eager, lambda out: [1, 2, 3], end=0, most=7, **kw)
+    assert decode() == [1] * 7 and decode(surface=surface, blanks={1}) == [1, 1, 2, 1, 1, 1, 1]
+    assert decode(surface=surface, blanks={1}, most_blanks=0) == [1] * 7
+    assert [extract.open_blanks(x) for x in ("", '{"a": ', '{"a', '{"a\\"  ', '{"a\\\\"  ', ' \t "x"\n\n')] == [0, 1, -1, -1, 2, 2]
 
 
 def test_grounding(spark):
