@@ -26,28 +26,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line CRF rejects go."""
+    """Documents that the line CRF rejects go. Null and empty texts are scored as one empty line; repeated rows fare alike; an empty table stays empty."""
     model = line_crf.fit(docs, _table(spark, sf_dir, "labels"))
     return line_crf.score(docs, model, only_kept=True).select("_row.*")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays: that with the smallest id. Texts that only share an id are not copies; rows without an id are copies like others; null and empty texts all stay."""
+    """One row of each group stays: that with the smallest id. Texts that only share an id are not copies; rows without an id are copies like others; null and empty texts all stay. Long texts go in whole; an empty table stays empty; columns keep their names, whatever these are."""
     return one_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any window of a benchmark item go."""
+    """Documents with any window of a benchmark item go. Null and empty texts are clean; repeated rows fare alike; an empty table stays empty."""
     return decontaminate(docs, _table(spark, sf_dir, "benchmark")).where("NOT contaminated").select("_row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, put in the order of the schedule: files and rows in them follow its slots."""
+    """All documents, put in the order of the schedule: files and rows in them follow its slots. Null sources are one source; repeated rows, null ids and null texts are placed like others; an empty table stays empty."""
     return in_mixed_order(mix(docs))
 
 
 def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids, stored in the order in which they lie in the files, which is the mixed one."""
+    """The documents' ids, stored in the order in which they lie in the files, which is the mixed one. Null and empty texts have the end id alone; repeated rows are documents of their own; an empty table makes an empty store."""
     folder = scratch(spark, "store")
     write_store(docs, folder, order=[F.col("_metadata.file_name"), F.col("_metadata.row_index")])
     return read_store(spark, folder)

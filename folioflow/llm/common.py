@@ -8,8 +8,6 @@ import hashlib
 import itertools
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, wraps
@@ -23,22 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# ---------------------------------------------------------------- scratch tables
-
+from folioflow.sources.scratch import remove, scratch
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir, the folder all executors share.
-
-    The setting is read from the session. Only where it is unset and the session
-    is a local one does a temporary folder stand in; on a cluster that raises.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="folioflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/folioflow/{name}-{uuid.uuid4().hex}"
+# ---------------------------------------------------------------- scratch tables
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
@@ -62,15 +47,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def row_key() -> Column:
     """What names a row of a Parquet table: its file and its place in it."""
     return F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
