@@ -172,7 +172,8 @@ def verdict(rules: list[Rule]) -> Column:
 def apply_rules(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """``_row`` with the base statistics, ``base_failed`` and ``kept``.
 
-    Null and empty texts have no words and so fail; repeated rows give repeated
-    rows; other columns stay inside ``_row`` whatever their names.
+    Null and empty texts have no words and so fail; texts of any length are counted
+    whole; repeated rows give repeated rows, an empty table an empty result; other
+    columns stay inside ``_row`` whatever their names.
     """
     return statistics(docs, text).withColumn("kept", verdict(rules)).drop(*FEATURES)

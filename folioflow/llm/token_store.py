@@ -106,7 +106,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
 
     Documents lie in ascending order of ``order`` (the id, nulls first, if not
     given), ties in the order they were read; repeated rows are documents of
-    their own that share all chunks. An empty table makes an empty store.
+    their own that share all chunks; texts of any length are encoded whole. An empty
+    table makes an empty store. Other columns are not read, whatever their names.
     """
     from tokenizers import Tokenizer
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import open_for_read, open_for_write, partitions, quoted, scratch, staged, task_id
+from folioflow.llm.common import in_worker, open_for_read, open_for_write, partitions, quoted, scratch, staged, task_id
 
 #: Equal payloads from this size on are stored once.
 LEAST_SHARED = 1_000
@@ -158,7 +158,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
     Of equal payloads of at least ``shared`` bytes the one with the largest id is
     the response (each of them, if ids are repeated or all null), the others
-    revisit it. Null urls have no target; an empty table makes no archive.
+    revisit it. Null urls have no target; an empty table makes no archive; pages of
+    any length are one record each. Other columns are not read, whatever their
+    names.
     """
     rows = pages.select(F.col(quoted(page_id)).cast("long").alias("page_id"), F.col(quoted(url)).alias("url"), F.coalesce(F.col(quoted(html)), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
@@ -198,11 +200,11 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         if n:
             yield flush()
 
-    return staged(placed.mapInArrow(write, "uri string, size long, records long"), "archives")
+    return staged(placed.mapInArrow(in_worker("warc", write), "uri string, size long, records long"), "archives")
 
 
 def read_archives(archives: DataFrame, payload: bool = False) -> DataFrame:
-    """Every record of the archives: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to`` (and ``payload``)."""
+    """Every record of the archives: ``page_id, payload_bytes, payload_digest, record_type, refers_to, url`` (and ``payload``)."""
 
     def ranges(batches):
         for b in batches:
@@ -216,7 +218,7 @@ def read_archives(archives: DataFrame, payload: bool = False) -> DataFrame:
                     pairs = [tuple(map(int, x.split("\t"))) for x in f.read(members["indexes/index.tsv"][2]).decode().splitlines()]
                 yield pa.RecordBatch.from_arrays([pa.array([uri] * len(pairs)), pa.array([start + p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["uri", "at", "length"])
 
-    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()} | ({"payload": pa.binary()} if payload else {})
+    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string()} | ({"payload": pa.binary()} if payload else {})
 
     def records(batches):
         held, f = None, None
@@ -237,10 +239,10 @@ def read_archives(archives: DataFrame, payload: bool = False) -> DataFrame:
             f.close()
 
     n = partitions(archives.sparkSession)
-    found = archives.repartition(n, "uri").select("uri", "size").mapInArrow(ranges, "uri string, at long, length long")
+    found = archives.repartition(n, "uri").select("uri", "size").mapInArrow(in_worker("warc", ranges), "uri string, at long, length long")
     spread = found.repartitionByRange(n, "uri", "at").sortWithinPartitions("uri", "at")
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payload else "")
-    return spread.mapInArrow(records, schema)
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + (", payload binary" if payload else "")
+    return spread.mapInArrow(in_worker("warc", records), schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

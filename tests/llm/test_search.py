@@ -48,7 +48,7 @@ def test_decontamination_equals_brute_force(spark, docs, block):
 
 @pytest.mark.parametrize("block", [dec.BLOCK, 0])
 def test_decontamination_of_odd_rows(spark, odd, block):
-    odd = odd.selectExpr("*", "1 AS n_words", "'x' AS spans", "2 AS _key", "3 AS items")
+    odd = odd.selectExpr("*", "2 AS _key", "3 AS items", "4 AS _spans")
     none = spark.createDataFrame([], "item_id long, text string")
     assert dec.decontaminate(odd, none, block=block).where("contaminated").count() == 0
     one = spark.createDataFrame([(1, "no id here friend")], "item_id long, text string")
