@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,31 @@ def test_lifecycle(spark):
     scored = lifecycle.merge_and_score(preds, golds, dim, words)["scored"]
     assert {r.contract_name: r.outcome for r in scored.collect()} == {"a": "correct_value", "b": "over_abstain"}
     assert {r.field for r in scored.select(F.col("field")).collect()} == {"x"}
+
+
+# The conflicts of three published runs, as (answer, votes) in the order in which the answers were first seen.
+_ALL, _SOME = "Applies to all negative covenants", "Applies only to specified negative covenants"
+_TO, _SEEK = '"entitled to" specific performance', '"entitled to seek" specific performance'
+_OTHER, _MATERIAL = "Accurate at another materiality standard (e.g., hybrid standard)", "Accurate in all material respects"
+_NO_YES, _YES_NO, _COVENANTS, _STANDARD = [("No", 1), ("Yes", 1)], [("Yes", 1), ("No", 1)], [(_ALL, 1), (_SOME, 1)], [(_OTHER, 1), (_MATERIAL, 1)]
+PUBLISHED = {
+    "first": ([_COVENANTS, _NO_YES, _NO_YES, _NO_YES, [(_TO, 1), (_SEEK, 1)], _YES_NO, _NO_YES], 7, 0),
+    "second": ([_COVENANTS, _NO_YES, _STANDARD, _NO_YES, _NO_YES, [(_SEEK, 2), (_TO, 1)], _YES_NO, _NO_YES], 7, 1),
+    "evidence": ([_COVENANTS, _NO_YES, _STANDARD, _YES_NO, [(_SEEK, 2), (_TO, 1)], _YES_NO], 5, 1),
+}
+
+
+@pytest.mark.parametrize("run", PUBLISHED)
+def test_published_conflicts_come_out_of_their_votes(spark, run):
+    conflicts, ties, majorities = PUBLISHED[run]
+    rows = []
+    for i, answers in enumerate(conflicts):
+        votes = [a for a, _ in answers] + [a for a, n in answers for _ in range(n - 1)]
+        rows += [(f"c{i}", "f", k, json.dumps(v)) for k, v in enumerate(votes)] + [(f"c{i}", "f", 90, None)]
+    log = merge.vote(spark.createDataFrame(rows, "contract_name string, field string, chunk_id int, value_json string"), ["contract_name", "field"]).where("mode IS NOT NULL")
+    got = {r.contract_name: r for r in log.collect()}
+    assert {r.mode: r.n for r in merge.conflicts_by_mode(log).collect()} == {k: n for k, n in (("tie_to_null", ties), ("majority_vote", majorities)) if n}
+    for i, answers in enumerate(conflicts):
+        r = got[f"c{i}"]
+        assert r["values"] == [json.dumps(a) for a, _ in answers] and r.vote_distribution == {json.dumps(a): n for a, n in answers}
+        assert (r.mode, r.picked) == (("majority_vote", json.dumps(answers[0][0])) if answers[0][1] == 2 else ("tie_to_null", None))

@@ -42,8 +42,15 @@ def test_empty_input_has_rate_zero(spark):
     [((1178, 88, 37, 4, 73), 1251), ((1149, 80, 17, 41, 93), 1242), ((1156, 79, 18, 35, 92), 1248), ((1122, 81, 14, 67, 96), 1218), ((372, 474, 60, 424, 50), 422), ((396, 381, 53, 493, 57), 453), ((20, 21, 2, 1229, 108), 128), ((772, 459, 105, 39, 5), 777)],
 )
 def test_published_confusion_counts(spark, counts, correct):
-    rows = [(o,) for o, n in zip(scoring.OUTCOMES, (counts[0], counts[1], counts[2], counts[3], counts[4])) for _ in range(n)]
-    r = scoring.subset_stats(spark.createDataFrame(rows, "outcome string")).first()
+    # Answers and gold that make so many cells of each class, through the join and the rule.
+    shapes = [('"a"', '"a"'), ('"a"', '"b"'), ('"a"', None), (None, '"b"'), (None, None)]
+    cells = [(f"c{i}", "f", p, g) for i, (p, g) in enumerate(x for x, n in zip(shapes, counts) for _ in range(n))]
+    schema = "contract_name string, field string, value_json string"
+    preds = spark.createDataFrame([(c, f, p) for c, f, p, _ in cells] + [("alone", "f", '"a"')], schema)
+    golds = spark.createDataFrame([(c, f, g) for c, f, _, g in cells], schema)
+    dim = spark.createDataFrame([(0, "f", "single_choice", False, [])], fields.FIELDS)
+    r = scoring.subset_stats(scoring.score_cells(preds, golds, dim)).first()
+    assert tuple(r[o] for o in scoring.OUTCOMES) == counts
     assert (r.n, r.correct, r.hallucination + r.correct_abstain) == (1380, correct, 110)
 
 
