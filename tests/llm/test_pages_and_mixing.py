@@ -85,11 +85,11 @@ def test_ratios_decide(monkeypatch):
 
 @pytest.mark.parametrize("piece", ["<a", '<div a="', "<div>x", "<b>", "<a b='\">", "<script>", "<title>", "<", "<p>", "</p>", "<!--", "<!", "<p><b>", "&amp", "<a =", "</b", "<td>x"])
 def test_time_is_linear_in_hostile_pages(piece):
-    page = piece * ((1 << 20) // len(piece))
+    page = piece * ((1 << 18) // len(piece))
     for text in (page, page + ">", "<p " + page + "'>"):
         began = time.process_time()
         main_text(text)
-        assert time.process_time() - began < 12
+        assert time.process_time() - began < 3
 
 
 @settings(max_examples=100, deadline=None)
@@ -223,6 +223,20 @@ def test_rows_without_ids_spread(docs):
     assert sorted(r.place for r in got.where("_row.source = 'hot'").select("place").collect()) == list(range(300))
 
 
+@pytest.mark.parametrize("most", [mixing.BROADCAST_ROWS, 0])
+def test_rows_mixed_by_key_are_those_mixed_whole(docs, odd, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+    rows = docs([(i % 190, "x" * (i % 50), "abc"[i % 3 % 2]) for i in range(200)] + [(None, None, None)] * 3).coalesce(3)
+    options = {"weights": {"a": 2.0, "b": 1.0}, "block": 64}
+    slots = {(r._row.doc_id, r._row.text): r.slot for r in mixing.mix(rows, **options).collect()}
+    got = [(r.doc_id, r.text) for r in mixing.mixed(rows, **options).collect()]
+    assert sorted(got, key=str) == sorted(((r.doc_id, r.text) for r in rows.collect()), key=str)
+    assert [slots[x] for x in got] == sorted(slots[x] for x in got)
+    clash = odd.selectExpr("*", "1 AS _key", "2 AS _slot", "3 AS _at")
+    out = mixing.mixed(clash)
+    assert out.columns == clash.columns and out.count() == clash.count() and mixing.mixed(odd.limit(0)).count() == 0
+
+
 def test_default_weights_flatten_sizes(docs):
     w = mixing.source_weights(docs([(1, "x" * 99, "a"), (2, "x" * 399, "b"), (3, None, None)]).withColumn("source", F.col("source")))
     assert w["b"] / w["a"] == pytest.approx(2.0)
