@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.sources.scratch import remove, scratch
+from folioflow.sources.scratch import remove, scratch  # noqa: F401  for the operators
 
 # ---------------------------------------------------------------- scratch tables
 

@@ -552,15 +552,17 @@ def _contracted(links: DataFrame, labels: DataFrame, tables: Tables) -> DataFram
 
 def _under_hubs(docs: DataFrame, hubs: DataFrame, labels: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame | None:
     """Step 5: links of the classes under a hub that are not in its component with any class under it; None if there are no such classes."""
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df  # noqa: E731  hubs are few beside the classes under them
     named = classes.select("f1", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_hub = named.groupBy("f1").agg(F.min("label").alias("main")).withColumnRenamed("f1", "a")
-    placed = hubs.join(named.withColumnRenamed("f1", "b"), "b").join(of_hub, "a").select("a", "b", "node", "label", "n", (F.col("label") != F.col("main")).alias("minor"))
+    own = hubs.select(F.col("a").alias("f1")).distinct().join(named, "f1").groupBy("f1").agg(F.min("label").alias("main"))
+    heads = tables.put("heads", own.withColumnRenamed("f1", "a"))
+    placed = hubs.join(named.withColumnRenamed("f1", "b"), "b").join(few(heads), "a").select("a", "b", "node", "label", "n", (F.col("label") != F.col("main")).alias("minor"))
     placed = tables.put("placed", placed)
     load = placed.groupBy("a").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("minor"), F.col("n"))).alias("some")).where("some IS NOT NULL")
-    cut = load.select("a", F.ceil(F.col("some") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"))
+    cut = tables.put("cut", load.select("a", F.ceil(F.col("some") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns")))
     if cut.limit(1).count() == 0:
         return None
-    every = placed.join(cut, "a").join(classes.select("node", "sketch"), "node")
+    every = placed.join(few(cut), "a").join(classes.select("node", "sketch"), "node")
     spread = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     across = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     columns = ["a", "b", "node", "label", "n", "sketch"]
@@ -664,7 +666,7 @@ def _grouped(docs: DataFrame, text: str, tables: Tables) -> tuple[DataFrame, Dat
     hubs = met.where(F.col("kind") == HUB).select("a", "b")
     if hubs.limit(1).count() and (further := _under_hubs(keyed, hubs, labels, classes, tables)) is not None:
         labels = _contracted(tables.put("links", further), labels, tables)
-    tables.drop("met", "placed", "sifted", "values", "links", "between", "before", "jump")
+    tables.drop("met", "heads", "placed", "cut", "sifted", "values", "links", "between", "before", "jump")
     return sets, classes.select("node", "none", "doc_id", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 

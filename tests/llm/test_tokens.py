@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioflow.llm import token_counts, token_store
+from folioflow.llm import common, token_counts, token_store
 from folioflow.llm.common import scratch, tokenizer_path
 from folioflow.llm.tokens import WordTokenizer
 
@@ -134,3 +134,23 @@ def test_cuts_follow_content():
     assert cut[-1] == len(ids) and sizes.max() <= token_store.MOST and sizes[:-1].min() >= token_store.LEAST
     moved = token_store.cuts(np.concatenate([ids[:5], ids]))
     assert len({c - 5 for c in moved} & set(cut)) > 0.9 * len(cut)
+
+
+def test_caches_go_when_another_operator_begins():
+    made = []
+
+    def run(batches):
+        made.append(common.worker_cache("k", object))
+        yield from batches
+
+    for kind in ("a", "a", "b", "a"):
+        assert [*common.in_worker(kind, run)([1, 2])] == [1, 2]
+    assert made[0] is made[1] and len(set(map(id, made))) == 3
+
+
+def test_slices_bound_what_is_held():
+    texts = ["x" * n for n in (10, 30, 200, 5, 5, 5, 90)]
+    column = pa.array([None, *texts, ""], pa.string())
+    parts = [p.to_pylist() for p in common.text_slices(column, 100)]
+    assert [x for p in parts for x in p] == column.to_pylist()
+    assert all(len(p) == 1 or sum(len(x or "") for x in p) <= 100 for p in parts)
