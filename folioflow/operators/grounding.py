@@ -37,9 +37,11 @@ def fabrication(commits: DataFrame, local: DataFrame, evidence: DataFrame, doc:
     keys = [doc, "chunk_id", "field"]
     joined = commits.where("value_json IS NOT NULL").join(local.select(*keys, F.col("value_json").alias("gold")), keys, "left")
     blind = F.count_if(F.col("gold").isNull())
-    found = local.where("value_json IS NOT NULL").select(doc, "field").distinct().agg(F.count(F.lit(1)).alias("located"))
-    asked = evidence.select(doc, "field").distinct().agg(F.count(F.lit(1)).alias("with_evidence"))
-    return joined.agg(F.count(F.lit(1)).alias("commits"), blind.alias("fabricated"), rate(blind, F.count(F.lit(1))).alias("fabrication_rate")).crossJoin(found).crossJoin(asked).withColumn("coverage", rate("located", "with_evidence"))
+    one = F.lit(0).alias("_all")
+    found = local.where("value_json IS NOT NULL").select(doc, "field").distinct().agg(one, F.count(F.lit(1)).alias("located"))
+    asked = evidence.select(doc, "field").distinct().agg(one, F.count(F.lit(1)).alias("with_evidence"))
+    counts = joined.agg(one, F.count(F.lit(1)).alias("commits"), blind.alias("fabricated"), rate(blind, F.count(F.lit(1))).alias("fabrication_rate"))
+    return counts.join(found, "_all").join(asked, "_all").withColumn("coverage", rate("located", "with_evidence")).drop("_all")
 
 
 def invariant_violations(cells: DataFrame) -> DataFrame:
@@ -56,7 +58,9 @@ def anchorless(cells: DataFrame, chunks: DataFrame, anchors: DataFrame, keys: li
 def fill_distribution(cells: DataFrame, keys: list[str], many: int = 50) -> DataFrame:
     """AGG20: median (upper), mean and most non-null fields of a chunk, and chunks with more than ``many``."""
     per = cells.groupBy(*keys).agg(F.count("value_json").alias("n"))
-    return order_statistics(per, [], "n", {"median": 0.5}).join(per.agg(F.avg("n").alias("mean"), F.max("n").alias("most"), F.count_if(F.col("n") > many).alias("full_chunks"), F.count(F.lit(1)).alias("chunks")), how="cross")
+    one = F.lit(0).alias("_all")  # one group of all chunks, which is there without any chunk too
+    sums = per.agg(one, F.avg("n").alias("mean"), F.max("n").alias("most"), F.count_if(F.col("n") > many).alias("full_chunks"), F.count(F.lit(1)).alias("chunks"))
+    return sums.join(order_statistics(per.select("n", one), ["_all"], "n", {"median": 0.5}), "_all", "left").select("median", "mean", "most", "full_chunks", "chunks")
 
 
 def contradictions(cells: DataFrame, doc: str = "contract_name") -> DataFrame:
