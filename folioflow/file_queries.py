@@ -197,11 +197,11 @@ def snk01_json_overwrite(spark, sf):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN -1 ELSE quality END AS quality FROM labels")
+@query("SELECT doc_id, CASE WHEN toxic = 0 THEN -1 ELSE quality END AS quality FROM labels")
 def snk02_incremental_resume(spark, sf):
-    """Two streaming runs over the labels into a table that holds half of the keys already: those stay as they are, no key comes twice."""
+    """Two streaming runs over the labels into a table that holds the keys of one class already: those stay as they are, no key comes twice."""
     labels = t(spark, sf, "labels")
-    held = labels.where("doc_id % 2 = 0").withColumn("quality", F.lit(-1).cast(labels.schema["quality"].dataType))
+    held = labels.where("toxic = 0").withColumn("quality", F.lit(-1).cast(labels.schema["quality"].dataType))
     return resume.demonstrate(spark, f"{sf}/labels.parquet", ["doc_id"], held).select("doc_id", "quality")
 
 
@@ -240,20 +240,20 @@ def snk05_chunk_texts(spark, sf):
     return spark.read.schema("text string, doc_id long, chunk_id int").format("text").load(path).select("doc_id", "chunk_id", "text")
 
 
-@query("SELECT 'predictions' AS file, c_custkey AS contract_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'gold', c_custkey FROM customer WHERE c_custkey % 6 = 0 UNION ALL SELECT 'conflicts', c_custkey FROM customer WHERE c_custkey % 4 = 0")
+@query("SELECT 'predictions' AS file, c_custkey AS contract_name FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'gold', c_custkey FROM customer WHERE c_acctbal >= 0 AND c_nationkey < 12 UNION ALL SELECT 'conflicts', c_custkey FROM customer WHERE c_mktsegment = 'HOUSEHOLD'")
 def snk06_merge_outputs(spark, sf):
     """Predictions, the gold lines of merged documents only (JN04), conflicts."""
     path = scratch(spark, "merge")
-    c = t(spark, sf, "customer").select(F.col("c_custkey").alias("contract_name"), "c_name")
-    sinks.merge_outputs(c.where("contract_name % 2 = 0"), c.where("contract_name % 3 = 0"), c.where("contract_name % 4 = 0"), path)
+    c = t(spark, sf, "customer").withColumnRenamed("c_custkey", "contract_name")
+    sinks.merge_outputs(c.where("c_acctbal >= 0"), c.where("c_nationkey < 12"), c.where("c_mktsegment = 'HOUSEHOLD'"), path)
     read = lambda x: files.jsonl(spark, f"{path}/{x}", "contract_name long").select(F.lit(x).alias("file"), "contract_name")
     return read("predictions").union(read("gold")).union(read("conflicts"))
 
 
-@query("SELECT c_custkey AS contract_name, c_name AS gold FROM customer WHERE c_custkey % 3 = 0 AND c_custkey IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS contract_name, c_name AS gold FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def jn04_gold_of_merged(spark, sf):
     path = scratch(spark, "merge")
-    golds = t(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("contract_name"), F.col("c_name").alias("gold"))
+    golds = t(spark, sf, "customer").select(F.col("c_custkey").alias("contract_name"), F.col("c_name").alias("gold"))
     merged = t(spark, sf, "orders").select(F.col("o_custkey").alias("contract_name")).distinct()
     sinks.merge_outputs(merged, golds, merged.limit(0), path)
     return files.jsonl(spark, f"{path}/gold", "contract_name long, gold string")
@@ -289,11 +289,11 @@ def agg17_usage_of_a_log(spark, sf):
     return extract.usage_summary(files.run_log(spark, put(spark, f"{scratch(spark, 'log')}/log.json", json.dumps(rows))))
 
 
-@query("SELECT o_orderkey FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 500) WHERE o_orderkey % 3 <> 0")
+@query("SELECT o_orderkey FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 500) WHERE o_orderstatus <> 'F'")
 def set02_difference_after_limit(spark, sf):
     """The set of keys to do without those done, the limit before it."""
-    o = t(spark, sf, "orders").select("o_orderkey")
-    return corpus.todo(o, o.where("o_orderkey % 3 = 0"), ["o_orderkey"], limit=500, order="o_orderkey")
+    o = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return corpus.todo(o.select("o_orderkey"), o.where("o_orderstatus = 'F'"), ["o_orderkey"], limit=500, order="o_orderkey")
 
 
 @query(
