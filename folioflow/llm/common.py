@@ -234,17 +234,21 @@ class Words:
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the words: tabulation up to ``TABLED`` bytes, a digest beyond."""
         size = self.end - self.start
-        if not len(size):
-            return np.empty(0, np.uint64)
-        place = spans(self.start, np.minimum(size, TABLED))
-        first = np.cumsum(np.minimum(size, TABLED)) - np.minimum(size, TABLED)
-        inside = np.arange(len(place)) - np.repeat(first, np.minimum(size, TABLED))
-        out = np.bitwise_xor.reduceat(_tables()[(inside << 8) | self.data[place]], first)
+        out = np.empty(len(size), np.uint64)
+        for low in range(0, len(size), AT_ONCE):
+            part = slice(low, low + AT_ONCE)
+            tabled = np.minimum(size[part], TABLED)
+            first = np.cumsum(tabled) - tabled
+            place = spans(self.start[part], tabled)
+            inside = np.arange(len(place)) - np.repeat(first, tabled)
+            out[part] = np.bitwise_xor.reduceat(_tables()[(inside << 8) | self.data[place]], first)
         for i in np.flatnonzero(size > TABLED).tolist():
             out[i] = int.from_bytes(hashlib.blake2b(self.word(i), digest_size=8).digest(), "little")
         return out
 
 
+#: Words that are hashed at once.
+AT_ONCE = 1 << 18
 #: Bytes of a word that its tabulation hash has tables for.
 TABLED = 48
 

@@ -682,6 +682,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     tables = Tables(docs.sparkSession)
     sets, grouped = _grouped(docs, text, tables)
+    tables.drop("rows")
     heads = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_class = grouped.join(heads, "label").select("node", "component_id")
     # A class of very many copies is one key of this join, whose large partitions Spark splits.

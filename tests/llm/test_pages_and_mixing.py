@@ -223,9 +223,7 @@ def test_rows_without_ids_spread(docs):
     assert sorted(r.place for r in got.where("_row.source = 'hot'").select("place").collect()) == list(range(300))
 
 
-@pytest.mark.parametrize("most", [mixing.BROADCAST_ROWS, 0])
-def test_rows_mixed_by_key_are_those_mixed_whole(docs, odd, monkeypatch, most):
-    monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+def test_rows_mixed_by_key_are_those_mixed_whole(docs, odd):
     rows = docs([(i % 190, "x" * (i % 50), "abc"[i % 3 % 2]) for i in range(200)] + [(None, None, None)] * 3).coalesce(3)
     options = {"weights": {"a": 2.0, "b": 1.0}, "block": 64}
     slots = {(r._row.doc_id, r._row.text): r.slot for r in mixing.mix(rows, **options).collect()}
