@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from folioflow.llm import line_crf
 from folioflow.llm.common import scratch
 from folioflow.llm.decontaminate import decontaminate
-from folioflow.llm.mixing import in_mixed_order, mix
+from folioflow.llm.mixing import mixed
 from folioflow.llm.parity_join import one_of_each
 from folioflow.llm.token_store import read_store, write_store
 
@@ -43,7 +43,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, put in the order of the schedule: files and rows in them follow its slots. Null sources are one source; repeated rows, null ids and null texts are placed like others; an empty table stays empty."""
-    return in_mixed_order(mix(docs))
+    return mixed(docs)
 
 
 def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
