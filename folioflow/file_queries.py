@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import corpus, extract, fields, merge, pins, scoring
-from folioflow.plans import report
+from folioflow.plans import lifecycle, report
 from folioflow.queries import _COUNTS, _SCORED, _scored
 from folioflow.registry import query, t
-from folioflow.sources import files, sinks
+from folioflow.sources import files, records, sinks
 from folioflow.sources.scratch import get, put, scratch
 from folioflow.streaming import resume
 
@@ -289,6 +290,36 @@ def agg17_usage_of_a_log(spark, sf):
     return extract.usage_summary(files.run_log(spark, put(spark, f"{scratch(spark, 'log')}/log.json", json.dumps(rows))))
 
 
+def _digest_client():
+    def client(system: str, user: str) -> tuple[str, dict]:
+        return json.dumps({"digest": hashlib.md5(user.encode()).hexdigest()}), {"input_tokens": len(user)}
+
+    return client
+
+
+@query("SELECT conv_id, turn, '{\"digest\": \"' || md5(coalesce(text, '')) || '\"}' AS prediction, length(coalesce(text, '')) AS input_tokens FROM conversations")
+def ext01_resumed_extraction(spark, sf):
+    """A run over some turns, then one over all, which asks for the rest only: every answer is a durable record of its own."""
+    turns = t(spark, sf, "conversations").select(F.col("conv_id").alias("contract_name"), F.col("turn").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("input"))
+    path = scratch(spark, "answers")
+    lifecycle.resumed_extraction(turns.where("chunk_id % 2 = 0"), path, _digest_client, "system")
+    answers = lifecycle.resumed_extraction(turns, path, _digest_client, "system")
+    return answers.select(F.col("contract_name").cast("long").alias("conv_id"), F.col("chunk_id").alias("turn"), "prediction", "input_tokens")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def snk02_record_log(spark, sf):
+    """Events through a stream into a record log, and the whole stream once more from its start: batches that come again replace themselves."""
+    path, source = scratch(spark, "log"), f"{sf}/events.parquet"
+    folder, _, name = source.rpartition("/")
+    schema = spark.read.parquet(source).schema
+    for attempt in ("first", "again"):
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).select("event_id", "user_id", "event_type")
+        query_ = stream.writeStream.format(records.format_for(spark)).options(path=path, keys="event_id", stream="events", checkpointLocation=f"{path}-{attempt}").outputMode("append").trigger(availableNow=True).start()
+        query_.awaitTermination()
+    return records.read_records(spark, path, "event_id long, user_id long, event_type string")
+
+
 @query("SELECT o_orderkey FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 500) WHERE o_orderstatus <> 'F'")
 def set02_difference_after_limit(spark, sf):
     """The set of keys to do without those done, the limit before it."""

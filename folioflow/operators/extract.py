@@ -55,6 +55,23 @@ def extract(chunks: DataFrame, make_client: Callable[[], Client], system: str, p
     return chunks.select("contract_name", F.col("chunk_id").cast("int"), "input").mapInArrow(run, SCHEMA)
 
 
+def recorded(make_client: Callable[[], Client], system: str, pause: float = 2.0) -> Callable[[], Callable[[dict], dict]]:
+    """EXT01 as the work of a record log: a chunk's row into the record of its answer, with the columns of ``SCHEMA``."""
+
+    def make_work():
+        client = make_client()
+
+        def work(row: dict) -> dict:
+            r = extract_one(client, system, row["input"], pause=pause)
+            u = r.pop("usage") or {}
+            figures = {"input_tokens": u.get("input_tokens"), "output_tokens": u.get("output_tokens"), "cached_tokens": (u.get("input_tokens_details") or {}).get("cached_tokens"), "reasoning_tokens": (u.get("output_tokens_details") or {}).get("reasoning_tokens")}
+            return {"contract_name": row["contract_name"], "chunk_id": row["chunk_id"]} | r | figures
+
+        return work
+
+    return make_work
+
+
 # The white space of JSON.
 BLANK = " \t\r\n"
 _STRINGS = re.compile(r'"(?:[^"\\]|\\.)*+("?)', re.S)

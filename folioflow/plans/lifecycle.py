@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.operators import cells, chunking, corpus, extract, fields, merge, scoring
+from folioflow.sources import records
 
 
 def build_corpus(hygiene: DataFrame, targets: DataFrame, texts: DataFrame, target: int = chunking.TARGET, backoff: int = chunking.BACKOFF, overlap: int = chunking.OVERLAP, key: str = "contract_name") -> DataFrame:
@@ -22,6 +23,21 @@ def extract_missing(chunks: DataFrame, done: DataFrame, make_client: Callable, s
     return extract.extract(corpus.todo(chunks, done.where("prediction IS NOT NULL"), ["contract_name", "chunk_id"]), make_client, system)
 
 
+def resumed_extraction(chunks: DataFrame, path: str, make_client: Callable, system: str, pause: float = 2.0) -> DataFrame:
+    """The answers to all chunks (contract_name, chunk_id, input) in the record log at ``path``, after asking for those it lacks.
+
+    Each answer is durable when the client has given it. What a failed run has
+    left is taken in first; chunks that only failed are asked for again, and
+    their failures stay in the log beside the answer.
+    """
+    spark, keys = chunks.sparkSession, ["contract_name", "chunk_id"]
+    records.recover(spark, path, extract.SCHEMA, keys, "prediction IS NOT NULL")
+    answered = records.read_records(spark, path, extract.SCHEMA).where("prediction IS NOT NULL")
+    left = corpus.todo(chunks.select("contract_name", F.col("chunk_id").cast("int").alias("chunk_id"), "input"), answered, keys)
+    records.append_records(left, path, keys, extract.recorded(make_client, system, pause))
+    return records.read_records(spark, path, extract.SCHEMA).where("prediction IS NOT NULL")
+
+
 def merge_and_score(predictions: DataFrame, golds: DataFrame, dimension: DataFrame, dictionary: DataFrame | None = None) -> dict[str, DataFrame]:
     """Chunk predictions and golds (JSON text) -> merged cells, conflicts, scored cells.
 
