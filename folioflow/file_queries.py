@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.operators import corpus, extract, fields, merge, pins, scoring
+from folioflow.operators import corpus, extract, fields, merge, pins, ranks, scoring
 from folioflow.plans import lifecycle, report
 from folioflow.queries import _COUNTS, _SCORED, _scored
 from folioflow.registry import query, t
@@ -119,9 +119,8 @@ def src09_listing(spark, sf):
 
 @query("SELECT row_number() OVER (ORDER BY n) AS place, n AS name FROM (SELECT 'contract_' || n_nationkey AS n FROM nation WHERE n_nationkey % 3 = 0)")
 def srt01_names_in_order(spark, sf):
-    """Names in code-point order: 10 before 2. The listing itself is in order."""
-    names = [r.name for r in src09_listing(spark, sf).collect()]
-    return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "place long, name string")
+    """Names in code-point order: 10 before 2."""
+    return ranks.global_ranks(src09_listing(spark, sf), "name").select((F.col("rank") + 1).alias("place"), "name")
 
 
 @query("SELECT p_partkey, p_name || ', \"' || p_brand || '\"' AS name, CASE p_partkey % 4 WHEN 0 THEN 'None' WHEN 1 THEN NULL ELSE p_type END AS type, p_retailprice AS price FROM part")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.scalars import hash_bucket, order_statistics
+from folioflow.operators.ranks import BLOCK, drawn, global_ranks, splits
 
 
 def usable(hygiene: DataFrame, flag: str = "usable_for_snippet_training") -> DataFrame:
@@ -36,11 +35,12 @@ def pick(rows: DataFrame, name: str | None = None, line: int | None = None, key:
 
 
 def exact_sample(names: DataFrame, n: int = 15, seed: int = 42) -> DataFrame:
-    """SMP01: a seeded simple sample over the sorted names, the same in each run. For name lists that fit the driver; ``hash_sample`` has no such bound."""
+    """SMP01: a seeded simple sample over the sorted names, the same in each run. The generator draws places, which depend on the number of names alone; names stay in their rows."""
     column = names.columns[0]
-    ordered = sorted(r[0] for r in names.distinct().collect())
-    chosen = random.Random(seed).sample(ordered, min(n, len(ordered)))
-    return names.sparkSession.createDataFrame([(x,) for x in sorted(chosen)], f"`{column}` string")
+    ranked = global_ranks(names.distinct(), column)
+    places = drawn(ranked.count(), n, seed)
+    chosen = names.sparkSession.createDataFrame([(i,) for i in places], "rank long")
+    return ranked.join(F.broadcast(chosen), "rank").select(column)  # as many rows as are sampled
 
 
 def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -49,13 +49,13 @@ def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def exact_split(names: DataFrame, seed: int = 42, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """SMP02: name -> split by a seeded shuffle of the sorted names; the rest is test. For name lists that fit the driver."""
+    """SMP02: name -> split by a seeded shuffle of the sorted names; the rest is test. The driver shuffles places, 9 bytes each, and names meet their place's split in a join of blocks."""
     column = names.columns[0]
-    ordered = sorted(r[0] for r in names.distinct().collect())
-    random.Random(seed).shuffle(ordered)
-    a, b = int(len(ordered) * train), int(len(ordered) * train) + int(len(ordered) * val)
-    rows = [(x, "train" if i < a else "val" if i < b else "test") for i, x in enumerate(ordered)]
-    return names.sparkSession.createDataFrame(rows, f"`{column}` string, split string")
+    ranked = global_ranks(names.distinct(), column)
+    table = splits(names.sparkSession, ranked.count(), seed, train, val)
+    code = F.substr("codes", (F.col("rank") % BLOCK + 1).cast("int"), F.lit(1))
+    found = ranked.withColumn("block", F.floor(F.col("rank") / BLOCK)).join(table, "block")
+    return found.select(column, F.when(code == "0", "train").when(code == "1", "val").otherwise("test").alias("split"))
 
 
 def hash_split(rows: DataFrame, key: str, train: int = 8, val: int = 1, of: int = 10) -> DataFrame:

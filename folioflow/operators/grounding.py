@@ -68,34 +68,3 @@ def contradictions(cells: DataFrame, doc: str = "contract_name") -> DataFrame:
     distinct = cells.where("value_json IS NOT NULL").select(doc, "field", "value_json").distinct()
     per = distinct.groupBy(doc, "field").agg(F.count(F.lit(1)).alias("k"))
     return per.groupBy(doc).agg(F.count_if(F.col("k") > 1).alias("contradictory"), F.count(F.lit(1)).alias("fields"))
-
-
-def passages_in(passages: DataFrame, docs: DataFrame, span: str = "span", text: str = "text") -> DataFrame:
-    """JN11 across tables: passages with all documents that hold them verbatim.
-
-    A document can only hold a passage if it holds the passage's inner words
-    (those with blanks on both sides in it). Each passage is anchored on the one
-    of them that the fewest documents hold: words that some passage has are sought
-    in the documents, without their texts, pairs of passage and document meet on
-    the anchor, and only then are texts fetched and compared. Passages of fewer
-    than three words have no such anchor and are compared with every document.
-    Null and empty passages match nothing.
-    """
-    own = [c for c in passages.columns if c != span]
-    keys = [c for c in docs.columns if c != text]
-    given = passages.where(F.length(span) > 0).withColumn("_p", F.xxhash64(*[F.col(c) for c in passages.columns])).dropDuplicates(passages.columns)
-    words = F.split(span, "[ \\t-\\r]+")
-    inner = given.select("_p", F.explode(F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))).alias("_w"))
-    named = F.struct(*[F.col(c) for c in keys]).alias("_d")
-    held = docs.select(named, F.explode(F.array_distinct(F.split(text, "[ \\t-\\r]+"))).alias("_w")).join(inner.select("_w").distinct(), "_w", "left_semi")
-    rarity = held.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
-    # A passage with an inner word that no document holds is in none.
-    anchor = inner.join(rarity, "_w", "left").groupBy("_p").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_w")).alias("a")).where("a.n > 0").select("_p", F.col("a._w").alias("_w"))
-    near = held.join(anchor, "_w").select("_d", "_p").distinct().join(given, "_p")
-    texts = docs.select(named.alias("_e"), F.col(text).alias("_text"))
-    found = near.join(texts, F.col("_d").eqNullSafe(F.col("_e"))).where(F.contains("_text", F.col(span))).select(*own, *[F.col(f"_d.{c}").alias(c) for c in keys])
-    loose = given.where(F.size(words) < 3)
-    if loose.limit(1).count() == 0:
-        return found
-    every = docs.join(loose, F.contains(docs[text], loose[span])).select(*[loose[c] for c in own], *[docs[c] for c in keys])
-    return found.union(every)

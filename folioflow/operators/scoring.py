@@ -73,10 +73,14 @@ def overlay_stats(cells: DataFrame) -> DataFrame:
     return rows.select(overlay.alias("overlay"), group.alias("group"), "n", *OUTCOMES, "correct", "accuracy").where("overlay <> 'substituted' OR `group` IS NOT NULL")
 
 
+def few_valued(risk: DataFrame, most: int = 5) -> DataFrame:
+    """FLT06: fields of few values that have a risk; unparseable rows are passed over."""
+    return risk.where(F.expr(f"try_cast(cardinality AS INT) <= {most} AND try_cast(pcl_risk AS DOUBLE) IS NOT NULL"))
+
+
 def top_risk_fields(risk: DataFrame, n: int = 10, most: int = 5, ordinal: str = "ordinal") -> DataFrame:
-    """FLT06, SRT02: fields of highest risk among those of few values; ties keep file order; unparseable rows are passed over."""
-    usable = F.expr(f"try_cast(cardinality AS INT) <= {most} AND try_cast(pcl_risk AS DOUBLE) IS NOT NULL")
-    return risk.where(usable).orderBy(F.expr("try_cast(pcl_risk AS DOUBLE)").desc(), ordinal).limit(n).select("field")
+    """SRT02: fields of highest risk among those of few values; ties keep file order."""
+    return few_valued(risk, most).orderBy(F.expr("try_cast(pcl_risk AS DOUBLE)").desc(), ordinal).limit(n).select("field")
 
 
 def with_overlays(cells: DataFrame, top: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -89,6 +93,11 @@ def with_overlays(cells: DataFrame, top: DataFrame, dictionary: DataFrame) -> Da
     return flagged.select(*cells.columns, F.coalesce("_top", F.lit(False)).alias("is_top"), hit.alias("is_substituted"))
 
 
+def all_mismatches(cells: DataFrame) -> DataFrame:
+    """FLT07: the cells that are not correct."""
+    return cells.where(~F.col("outcome").isin("correct_value", "correct_abstain"))
+
+
 def mismatches(cells: DataFrame, n: int = 50, order: tuple[str, ...] = ("ordinal",)) -> DataFrame:
-    """FLT07, SRT05: the first cells that are not correct, in record and schema order."""
-    return cells.where(~F.col("outcome").isin("correct_value", "correct_abstain")).orderBy(*order).limit(n)
+    """SRT05: the first cells that are not correct, in record and schema order."""
+    return all_mismatches(cells).orderBy(*order).limit(n)

@@ -140,13 +140,12 @@ def flt06_few_values(spark, sf):
     """Cardinalities and risks are text: what does not parse is passed over."""
     p = t(spark, sf, "part")
     rows = p.select(F.col("p_partkey").cast("string").alias("field"), F.when(F.col("p_partkey") % 4 == 1, "many").otherwise(F.col("p_size").cast("string")).alias("cardinality"), F.when(F.col("p_partkey") % 4 == 2, "").otherwise(F.col("p_retailprice").cast("string")).alias("pcl_risk"), F.col("p_partkey").alias("ordinal"))
-    return scoring.top_risk_fields(rows, n=p.count())
+    return scoring.few_valued(rows).select("field")
 
 
 @query(_SCORED + " SELECT doc_id, field, outcome FROM c WHERE outcome NOT LIKE 'correct%'")
 def flt07_all_mismatches(spark, sf):
-    cells = _scored(spark, sf)
-    return scoring.mismatches(cells, cells.count(), ("doc_id", "ordinal")).select("doc_id", "field", "outcome")
+    return scoring.all_mismatches(_scored(spark, sf)).select("doc_id", "field", "outcome")
 
 
 @query("SELECT event_id, 'k' AS field FROM events WHERE event_id % 4 = 0")

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioflow.functions import scalars
-from folioflow.operators import chunking, corpus, extract, grounding, pins
+from folioflow.operators import chunking, corpus, extract, grounding, patterns, pins, ranks
 
 words = st.sampled_from(["Article II ", "ARTICLE 4", "\n1.2 x", "\nSection 3.4 ", "\n \n", ". A", ". b", "word ", " ", "😀", "\r\n", "x" * 7])
 
@@ -131,8 +131,10 @@ def test_samples_and_splits(spark):
     names = spark.createDataFrame([(f"c{i:03d}",) for i in range(40)], "contract_name string")
     ordered = [f"c{i:03d}" for i in range(40)]
     assert [r[0] for r in corpus.exact_sample(names, 5).orderBy("contract_name").collect()] == sorted(random.Random(42).sample(ordered, 5))
-    sizes = {r.split: r["count"] for r in corpus.exact_split(names).groupBy("split").count().collect()}
-    assert sizes == {"train": 32, "val": 4, "test": 4}
+    random.Random(42).shuffle(ordered)
+    want = {x: "train" if i < 32 else "val" if i < 36 else "test" for i, x in enumerate(ordered)}
+    assert {r.contract_name: r.split for r in corpus.exact_split(names.union(names)).collect()} == want
+    assert corpus.exact_sample(names.limit(0)).count() == corpus.exact_split(names.limit(0)).count() == 0
     assert corpus.hash_sample(names, "contract_name", 7).count() == 7
     twice = corpus.hash_split(names.union(names), "contract_name")
     assert twice.groupBy("contract_name").agg(F.countDistinct("split").alias("k")).where("k > 1").count() == 0
@@ -184,9 +186,33 @@ def test_extraction_retries_and_clears_errors(spark):
     assert [extract.open_blanks(x) for x in ("", '{"a": ', '{"a', '{"a\\"  ', '{"a\\\\"  ', ' \t "x"\n\n')] == [0, 1, -1, -1, 2, 2]
 
 
+def test_global_ranks(spark):
+    rng = random.Random(3)
+    rows = [("x" * rng.randrange(3) + rng.choice(["a", "é", "日", "😀", "Z"]), i) for i in range(300)] + [(None, 300), (None, 301)]
+    got = ranks.global_ranks(spark.createDataFrame(rows, "name string, i long").repartition(7), "name", "i").collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert [(r.name, r.i) for r in sorted(got, key=lambda r: r.rank)] == want and sorted(r.rank for r in got) == list(range(302))
+
+
+def test_passages_equal_containment(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("ab \n日é😀") for _ in range(n))
+    docs = [(i, text(rng.randrange(400))) for i in range(30)] + [(30, None), (31, ""), (7, "again"), (7, "again")]
+    spans = [(i, text(n)) for i, n in enumerate([1, 1, 2, 3, 5, 8])] + [(10 + i, d[s : s + n]) for i, (_, d) in enumerate(docs[:12]) for s, n in ((3, 20), (0, 40), (5, 90))]
+    spans += [(90, docs[2][1]), (91, docs[2][1]), (91, docs[2][1]), (92, ""), (93, None), (94, "again"), (None, "a")]
+    frame, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(spans, "item long, span string")
+    want = sorted(((i, d) for i, s in set(spans) if s for d, x in docs if x is not None and s in x), key=str)
+    for options in ({}, {"block_anchors": 60}, {"block_bytes": 200}):
+        assert sorted((tuple(r) for r in patterns.passages_in(table, frame, **options).collect()), key=str) == want
+    assert patterns.passages_in(table.limit(0), frame).count() == 0 == patterns.passages_in(table, frame.limit(0)).count()
+    alike = ["p" * 40 + str(i) for i in range(500)] + ["p" * 40, "p" * 32]
+    find = patterns.compile_passages(alike)
+    assert {alike[i] for i in find("xx" + "p" * 40 + "123" + "x")} == {x for x in alike if x in "p" * 40 + "123"}
+
+
 def test_grounding(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "nothing here"), (3, None)], "doc_id long, text string")
     spans = spark.createDataFrame([(1, "beta gamma delta"), (2, "thing"), (3, ""), (4, None)], "item long, span string")
-    assert sorted(tuple(r) for r in grounding.passages_in(spans, docs).collect()) == [(1, 1), (2, 2)]
+    assert sorted(tuple(r) for r in patterns.passages_in(spans, docs).collect()) == [(1, 1), (2, 2)]
     cells = spark.createDataFrame([("c", 0, "f", "1"), ("c", 1, "f", "2"), ("c", 0, "g", "1"), ("c", 1, "g", None)], "contract_name string, chunk_id int, field string, value_json string")
     assert tuple(grounding.contradictions(cells).first()) == ("c", 1, 2)
