@@ -24,7 +24,9 @@ sketch of B blocks of 2**32 bits each. It is kept in two forms:
    about ``BUCKET`` entries, which are met one at a time.
 3. A value that few classes share gives all their pairs. One that many share (a
    large group of near copies) gives pairs with its most central classes, and all
-   are put under the first of those, their hub.
+   are put under the first of those, their hub. A value of more than ``HOT``
+   classes is split: its central classes are those of its parts' central classes,
+   and each part meets them where it lies.
 4. Candidates whose folded sketches are farther apart than D go. What is left is
    verified on whole sets. Links contract into components (hash-to-min with
    pointer jumping).
@@ -45,7 +47,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import FOLD, in_worker, materialize, partitions, quoted, release, remove, scratch, spans, text_bytes, text_slices, with_rows, words_of
@@ -59,6 +61,8 @@ CELLS, RANGES = 1 << 22, 64
 BUCKET, HELD = 1_000_000, 1_000_000
 #: A value of at most so many classes gives all its pairs; a larger one goes by central classes and a hub.
 ALL_PAIRS, CENTRAL = 32, 3
+#: A value that is counted more often is in no bucket: its entries stay apart, so many in a row of their table, and meet its central classes in a map.
+HOT, HOT_ROW = 1 << 17, 1_024
 #: Shingles of a block of classes in step 5, about.
 BLOCK = 200_000
 #: Rows (16 bytes each) up to which a set of row keys is broadcast to pick their texts; more are joined by shuffle.
@@ -273,18 +277,28 @@ def _codes(n: np.ndarray, central: np.ndarray) -> np.ndarray:
     return (size << np.uint32(24)) | (central.astype(np.float32).view(np.uint32) >> np.uint32(7))
 
 
-def _entries(docs: DataFrame, ranks: np.ndarray, n_buckets: int) -> DataFrame:
-    """Step 2: (bucket, packed entries) of the D + 1 rarest blocks of every class."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+def hot_code(hot: int) -> int:
+    """The rank of a cell that counts more than ``hot``."""
+    return math.ceil(8 * math.log2(1 + hot))
 
-    def send(held: list[tuple[np.ndarray, np.ndarray]]):
-        bucket, entries = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(bucket, kind="stable")
-        bucket, entries = bucket[order], entries[order]
-        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+
+def _entries(docs: DataFrame, ranks: np.ndarray, n_buckets: int, hot: int = HOT) -> DataFrame:
+    """Step 2: (bucket, value, packed entries) of the D + 1 rarest blocks of every class. Entries of a hot value are in rows of that value alone, with bucket -1."""
+    shared, code_of_hot = docs.sparkSession.sparkContext.broadcast(ranks), hot_code(hot)
+
+    def send(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        bucket, value, entries = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((value, bucket))
+        bucket, value, entries = bucket[order], value[order], entries[order]
+        fresh = np.ones(len(bucket), bool)
+        fresh[1:] = (bucket[1:] != bucket[:-1]) | (value[1:] != value[:-1])
+        first = np.flatnonzero(fresh)
+        inside = np.arange(len(bucket)) - np.repeat(first, np.diff(np.append(first, len(bucket))))
+        fresh |= (bucket < 0) & (inside % HOT_ROW == 0)
+        edges = np.append(np.flatnonzero(fresh), len(bucket))
         for low in range(0, len(edges) - 1, 4096):
             cut = edges[low : low + 4097].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int64()), pa.array([entries[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "entries"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int64()), pa.array(value[cut[:-1]], pa.int64()), pa.array([entries[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "value", "entries"])
 
     def run(batches):
         rank, seen, held, size = shared.value, set(), [], 0
@@ -312,7 +326,9 @@ def _entries(docs: DataFrame, ranks: np.ndarray, n_buckets: int) -> DataFrame:
                 entries["key"] = (keys >> _U(24)) & _U(0xFFFFFFFF)
                 entries["f1"] = np.repeat(prints[some[view], 0], take)
                 entries["code"] = np.repeat(_codes(n[view], central), take)
-                held.append(((((keys & _U(0xFFFFFF)) * _U(n_buckets)) >> _U(24)).astype(np.int64), entries))
+                alone = keys >> _U(56) >= _U(code_of_hot)
+                bucket = np.where(alone, -1, (((keys & _U(0xFFFFFF)) * _U(n_buckets)) >> _U(24)).astype(np.int64))
+                held.append((bucket, np.where(alone, (keys & _U((1 << 56) - 1)).astype(np.int64), 0), entries))
                 size += len(entries)
                 if size >= HELD:
                     yield from send(held)
@@ -320,7 +336,7 @@ def _entries(docs: DataFrame, ranks: np.ndarray, n_buckets: int) -> DataFrame:
         if held:
             yield from send(held)
 
-    return docs.select("text").mapInArrow(in_worker("shingles", run), "bucket long, entries binary")
+    return docs.select("text").mapInArrow(in_worker("shingles", run), "bucket long, value long, entries binary")
 
 
 def _rows(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
@@ -380,10 +396,49 @@ def _met(entries: DataFrame, n_buckets: int) -> DataFrame:
             for low in range(0, len(rows), 100_000):
                 yield _rows(rows[low : low + 100_000, 0], rows[low : low + 100_000, 1], kind)
 
-    dealt = entries.repartitionById(min(n_buckets, 20_000), F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+    dealt = entries.select("bucket", "entries").repartitionById(min(n_buckets, 20_000), F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     return dealt.mapInArrow(in_worker("meet", run), "a long, b long, kind int").distinct()
 
 
+def _hot_met(entries: DataFrame) -> DataFrame:
+    """``_met`` for rows of hot values, in two rounds: the central classes of each value out of those of its rows, then every row against them, where it lies."""
+
+    def central(batches):
+        for batch in batches:
+            values, f1, rank, size = [], [], [], []
+            for value, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                e = np.frombuffer(x, _ENTRY)
+                e = e[np.unique(e["f1"], return_index=True)[1]]
+                e = e[np.argsort(-(e["code"] & np.uint32(0xFFFFFF)).astype(np.int64), kind="stable")[:CENTRAL]]
+                values += [value] * len(e)
+                f1.append(_signed(e["f1"]))
+                rank.append((e["code"] & np.uint32(0xFFFFFF)).astype(np.int64))
+                size.append((e["code"] >> np.uint32(24)).astype(np.int64))
+            columns = [np.concatenate([np.empty(0, np.int64), *x]) for x in (f1, rank, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), *map(pa.array, columns)], names=["value", "f1", "central", "size"])
+
+    # A row for each row of entries and central class; a value's are its entries by HOT_ROW.
+    parts = entries.select("value", "entries").mapInArrow(in_worker("meet", central), "value long, f1 long, central long, size long")
+    order = Window.partitionBy("value").orderBy(F.desc("central"), F.col("f1").bitwiseXOR(F.lit(-(1 << 63))))  # as unsigned
+    best = parts.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= CENTRAL)
+    tops = best.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("place", "f1", "size"))).alias("tops"))
+
+    def run(batches):
+        for batch in batches:
+            for x, tops in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                e = np.frombuffer(x, _ENTRY)
+                e = e[np.unique(e["f1"], return_index=True)[1]]
+                f1, size = e["f1"], (e["code"] >> np.uint32(24)).astype(np.int64)
+                for top in tops:
+                    c = np.int64(top["f1"]).astype(np.uint64)
+                    fit = (f1 != c) & (np.abs(size - top["size"]) <= 7)
+                    yield _rows(np.minimum(f1[fit], c), np.maximum(f1[fit], c), PAIR)
+                yield _rows(np.full(len(f1), np.int64(tops[0]["f1"]).astype(np.uint64)), f1, HUB)
+
+    few = F.broadcast(tops) if tops.count() <= BROADCAST_ROWS else tops
+    return entries.join(few, "value").select("entries", "tops").mapInArrow(in_worker("meet", run), "a long, b long, kind int").distinct()
+
+
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Step 4: the pairs (a, b) whose folded sketches are no farther apart than linked classes' can be."""
 
@@ -640,7 +695,7 @@ def _weak_links(docs: DataFrame, values: DataFrame, tables: Tables) -> DataFrame
     return out
 
 
-def _grouped(docs: DataFrame, text: str, tables: Tables) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, text: str, tables: Tables, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows, and for each class its component's label and its first row: that with the smallest id, ids that are null last."""
     spark = docs.sparkSession
     keyed, path = with_rows(docs.select("doc_id", F.col(quoted(text)).cast("string").alias("text")), "_key")
@@ -655,7 +710,14 @@ def _grouped(docs: DataFrame, text: str, tables: Tables) -> tuple[DataFrame, Dat
     # A class has some 0.29 entries for each shingle, in one band or two.
     total = classes.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(partitions(spark), math.ceil(0.42 * total / BUCKET))
-    met = tables.put("met", _met(_entries(keyed, ranks, n_buckets), n_buckets))
+    entries = _entries(keyed, ranks, n_buckets, hot)
+    if (ranks >= hot_code(hot)).any():  # entries are read three times then
+        entries = tables.put("entries", entries)
+        tops = tables.put("hot", _hot_met(entries.where("bucket < 0").select("value", "entries")))
+        met = tables.put("met", _met(entries.where("bucket >= 0"), n_buckets).union(tops).distinct())
+        tables.drop("entries", "hot")
+    else:
+        met = tables.put("met", _met(entries, n_buckets))
     near = tables.put("near", _near(met.where(F.col("kind") == PAIR).select("a", "b"), classes))
     values = tables.put("values", _values(keyed, classes, near.select(F.explode(F.array("a", "b")).alias("f1")).distinct()))
     links = _verified(near, values)
@@ -670,7 +732,7 @@ def _grouped(docs: DataFrame, text: str, tables: Tables) -> tuple[DataFrame, Dat
     return sets, classes.select("node", "none", "doc_id", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, ``n_shingles``, ``component_id`` (smallest id reachable by links) of every row.
 
     Null and empty texts have empty sets and are alone; texts of any length go
@@ -681,7 +743,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     names.
     """
     tables = Tables(docs.sparkSession)
-    sets, grouped = _grouped(docs, text, tables)
+    sets, grouped = _grouped(docs, text, tables, hot)
     tables.drop("rows")
     heads = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_class = grouped.join(heads, "label").select("node", "component_id")

@@ -116,8 +116,9 @@ def test_near_duplicates_equal_brute_force(docs):
             copy[rng.randrange(150)] = f"x{rng.randrange(9)}"
         rows.append((600 + i, " ".join(copy)))
     rows += [(700, None), (701, ""), (702, " \t"), (703, "one two"), (704, "ONE  two"), (None, rows[0][1]), (0, rows[0][1])]
-    got = sorted((tuple(r) for r in pj.near_duplicates(docs(rows).repartition(3)).collect()), key=str)
-    assert got == brute_components(rows)
+    for hot in (pj.HOT, 3):  # values that more rows have are split
+        got = sorted((tuple(r) for r in pj.near_duplicates(docs(rows).repartition(3), hot=hot).collect()), key=str)
+        assert got == brute_components(rows)
 
 
 def test_near_duplicates_of_odd_rows(odd):
@@ -202,11 +203,32 @@ def test_hubs_with_several_groups_under_them_equal_brute_force(docs, monkeypatch
     texts = [t for g in groups for t in near_copies(rng, [g] * 9, 3)] + near_copies(rng, [common + [f"o{k}x{i}" for i in range(20)] for k in range(10)], 1)
     rows = [(i, t) for i, t in enumerate(texts)]
     rng.shuffle(rows)
-    got = sorted((tuple(r) for r in pj.near_duplicates(docs(rows).repartition(3)).collect()), key=str)
-    assert got == brute_components(rows)
+    for hot in (pj.HOT, 3):  # values that more rows have are split
+        got = sorted((tuple(r) for r in pj.near_duplicates(docs(rows).repartition(3), hot=hot).collect()), key=str)
+        assert got == brute_components(rows)
     assert len({r[2] for r in got}) > 6
 
 
+def test_hot_values_lie_in_short_rows_of_their_own(docs, monkeypatch):
+    monkeypatch.setattr(pj, "HOT_ROW", 16)
+    monkeypatch.setattr(pj, "ALL_PAIRS", pj.CENTRAL)  # central classes and hubs for all others
+    rng = random.Random(13)
+    rows = [*enumerate(near_copies(rng, [[f"w{i}" for i in range(200)]] * 300, 3))]
+    frame = docs(rows).repartition(2)
+    keyed, _ = pj.with_rows(frame.select("doc_id", "text"), "_key")
+    ranks = pj._ranks(pj._sets(keyed, "bigint").where("cells IS NOT NULL").select("cells", "counts"))
+    entries = pj._entries(keyed, ranks, 4, hot=50).collect()
+    hot = [(r.value, pj.np.frombuffer(r.entries, pj._ENTRY)) for r in entries if r.bucket < 0]
+    cold = pj.np.concatenate([pj.np.frombuffer(r.entries, pj._ENTRY) for r in entries if r.bucket >= 0])
+    assert hot and all(len(e) <= 16 and len(set(e["key"].tolist())) == 1 for _, e in hot)
+    # Cells are shared by values now and then, so that a cell counts at least what a value has.
+    assert pj.np.unique(cold["key"], return_counts=True)[1].max() <= 60 and sum(len(e) for _, e in hot) > 300
+    pairs, hubs = pj.meet(pj.np.concatenate([e for _, e in hot]))
+    met = pj._hot_met(pj._entries(keyed, ranks, 4, hot=50).where("bucket < 0").select("value", "entries")).collect()
+    got = [{(r.a, r.b) for r in met if r.kind == k} for k in (pj.PAIR, pj.HUB)]
+    assert got[0] == set(map(tuple, pj._signed(pairs).tolist())) and got[1] >= set(map(tuple, pj._signed(hubs).tolist()))
+
+
 def test_classes_that_the_pigeonhole_could_miss_equal_brute_force(docs, monkeypatch):
     rng = random.Random(12)
     monkeypatch.setattr(pj, "BLOCKS", 0.0)
