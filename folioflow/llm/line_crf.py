@@ -11,6 +11,7 @@ thing that is ever collected. Scoring is a map over whole texts.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,8 @@ from folioflow.llm.common import append_columns, quoted, text_slices
 SAMPLE = 4_000
 #: Bytes of text that the sample holds, at most: documents of higher hash go first.
 SAMPLE_BYTES = 64 << 20
+#: Lines from which on a text is scored by windows of so many.
+LONG = 1 << 14
 #: Scores from here on are predicted 1.
 THRESHOLD = 0.3
 
@@ -65,8 +68,8 @@ class LineCRF:
     node: np.ndarray  # 3 * OWN
     edge: np.ndarray  # 2 x 2
 
-    def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P(good) of each line, pair marginals and log Z by document.
+    def marginals(self, scores: np.ndarray, lengths: np.ndarray, with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """P(good) of each line, pair marginals (for training) and log Z by document.
 
         scores: documents x longest; the first ``lengths`` of a row count.
         """
@@ -84,6 +87,8 @@ class LineCRF:
         last = alpha[np.arange(d), lengths - 1]
         log_z = np.logaddexp(last[:, 0], last[:, 1])
         good = np.exp(alpha[:, :, 1] + beta[:, :, 1] - log_z[:, None])
+        if not with_pairs:
+            return good, None, log_z
         pair = alpha[:, :-1, :, None] + self.edge + (node[:, 1:] + beta[:, 1:])[:, :, None, :] - log_z[:, None, None, None]
         valid = np.arange(1, longest)[None] < lengths[:, None]
         pairs = np.where(valid[:, :, None, None], np.exp(np.minimum(pair, 0)), 0.0)
@@ -91,15 +96,89 @@ class LineCRF:
 
     def scores(self, texts: list[str | None]) -> list[float]:
         """Length-weighted mean of the lines' P(good), by document."""
-        parts = [document_features(t) for t in texts]
         out = np.empty(len(texts))
+        short = [i for i, t in enumerate(texts) if (t or "").count("\n") < LONG]
+        parts = [document_features(texts[i]) for i in short]
         for rows, padded, sizes in batches([w for w, _ in parts]):
-            good, _, _ = self.marginals(padded @ self.node, sizes)
+            good, _, _ = self.marginals(padded @ self.node, sizes, with_pairs=False)
             for i, k, row in zip(rows, sizes, good):
-                weight = parts[i][1]
-                out[i] = float(np.clip(row[:k] @ weight / weight.sum(), 0, 1))
+                out[short[i]] = mean_weighted(row[:k], parts[i][1])
+        for i in sorted({*range(len(texts))} - {*short}):
+            out[i] = self.long_score(texts[i])
         return [float(x) for x in np.round(out, 9)]
 
+    def long_score(self, text: str) -> float:
+        """The score of a text of many lines: features by windows of lines, of which only what they add to a line's score and its neighbours' stays, then messages by blocks."""
+        data = text.encode("utf-8", "replace")
+        ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), len(data))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        adds, seen, again = np.empty((len(ends), 3)), set(), {}
+        parts = self.node.reshape(3, OWN).T
+        for low in range(0, len(ends), LONG):
+            rows = []
+            for a, z in zip(starts[low : low + LONG].tolist(), ends[low : low + LONG].tolist()):
+                line = data[a:z]
+                if line in again:  # a line that comes for the third time has the features of the second
+                    rows.append(again[line])
+                    continue
+                known = line in seen
+                rows.append(line_features(line, seen))
+                if known and len(again) < LONG:
+                    again[line] = rows[-1]
+            adds[low : low + LONG] = np.array(rows, np.float32) @ parts
+        score = adds[:, 0].copy()
+        score[1:] += adds[:-1, 1]
+        score[:-1] += adds[1:, 2]
+        return mean_weighted(chain_marginals(score, self.edge), (ends - starts + 1).astype(np.float64))
+
+
+def mean_weighted(good: np.ndarray, weight: np.ndarray) -> float:
+    return float(np.clip(good @ weight / weight.sum(), 0, 1))
+
+
+def chain_marginals(scores: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """P(good) of each line of one chain. Lines are dealt into as many blocks as a block has lines; all blocks step together, once for their products and once, from what reaches each, for their messages."""
+    n = len(scores)
+    size = math.isqrt(n - 1) + 1
+    blocks = -(-n // size)
+    odds = np.zeros(blocks * size)
+    odds[:n] = np.clip(scores, -300, 300)
+    node = np.stack([np.exp(np.minimum(-odds, 0)), np.exp(np.minimum(odds, 0))], -1).reshape(blocks, size, 1, 2)
+    beyond = (np.arange(blocks * size) >= n).reshape(blocks, size, 1, 1)  # places after the last line pass messages on
+    step = np.exp(edge)
+    first = np.tile(step, (blocks, 1, 1))
+    first[0] = 1  # no line comes before the first
+
+    def ahead(x: np.ndarray, t: int) -> np.ndarray:
+        y = np.where(beyond[:, t], x, (x @ (first if t == 0 else step)) * node[:, t])
+        return y / y.max((1, 2), keepdims=True)
+
+    def back(x: np.ndarray, t: int) -> np.ndarray:
+        y = np.where(beyond[:, t], x, (x * node[:, t]) @ step.T)
+        return y / y.max((1, 2), keepdims=True)
+
+    forth = hence = np.tile(np.eye(2), (blocks, 1, 1))
+    for t in range(size):
+        forth = ahead(forth, t)
+    for t in range(size - 1, -1, -1):
+        hence = back(hence, t)
+    reach, come = np.ones((blocks, 1, 2)), np.ones((blocks, 1, 2))
+    for b in range(1, blocks):
+        reach[b] = reach[b - 1] @ forth[b - 1]
+        reach[b] /= reach[b].max()
+    for b in range(blocks - 2, -1, -1):
+        come[b] = come[b + 1] @ hence[b + 1]
+        come[b] /= come[b].max()
+    both = np.empty((blocks, size, 2))
+    for t in range(size):
+        reach = ahead(reach, t)
+        both[:, t] = reach[:, 0]
+    for t in range(size - 1, -1, -1):
+        both[:, t] *= come[:, 0]
+        come = back(come, t)
+    both = both.reshape(-1, 2)[:n]
+    return both[:, 1] / both.sum(1)
+
 
 def batches(features: list[np.ndarray], cells: int = 50_000):
     """(documents, padded features, line counts) of documents alike in length, so that padding stays small."""

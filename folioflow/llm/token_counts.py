@@ -1,10 +1,11 @@
 """Token counts by a map-side two-tier lookup (operator 6).
 
-Tier 1 is a compact hash table of the frequent pre-tokens and their token
-counts, built from bounded summaries that each task keeps over all of its
-documents, and broadcast. Tier 2 encodes what the table misses, through a
-bounded cache in each worker. No pre-token of the corpus is ever shuffled: what
-moves is one summary of at most ``SUMMARY`` entries for each task.
+Tier 1 is a compact hash table of frequent pre-tokens and their token counts,
+broadcast. Which are frequent is known before the corpus is read: a vocabulary is
+merged in the order of frequency, so its whole words are the frequent ones of the
+texts that it was made from. Tier 2 encodes what the table misses, through a cache
+in each worker, which holds the pre-tokens that are frequent in the corpus itself.
+Texts are read once, and no pre-token is shuffled.
 """
 
 from __future__ import annotations
@@ -12,58 +13,30 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import append_columns, in_worker, quoted, text_slices, tokenizer_path
+from folioflow.llm.common import append_columns, text_slices, tokenizer_path
 from folioflow.llm.tokens import WordTokenizer, units, word_tokenizer
 
-#: Entries of the broadcast table: 12 bytes each, at every size of corpus.
-TABLE = 32_768
-#: Entries of each task's summary, and distinct pre-tokens it holds before it drops rare ones.
-SUMMARY, HELD = 4_096, 200_000
-#: Pre-tokens longer than this are never in the table.
-LONGEST = 32
+#: Entries of the broadcast table at most, 12 bytes each: as many whole words as a vocabulary has first.
+TABLE = 65_536
+#: What ends a whole word in the vocabulary, and bytes of the longest pre-token in the table.
+WORD_END, LONGEST = "</w>", 32
 
 
-def frequent_units(docs: DataFrame, text: str = "text", table: int = TABLE) -> list[bytes]:
-    """The ``table`` most frequent pre-tokens, by summaries that every task makes of all its documents.
-
-    A summary counts every pre-token and, when it holds too many, drops those
-    seen least (lossy counting). Which are in the table affects speed only.
-    """
-
-    def summarize(batches):
-        held, counts, names = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, object)
-        for batch in batches:
-            for part in text_slices(batch.column(0)):
-                words = units(part)
-                keys, some, n = np.unique(words.hashes(), return_index=True, return_counts=True)
-                often = (n > 1) & (words.end - words.start <= LONGEST)[some] | np.isin(keys, held)
-                keys, some, n = keys[often], some[often], n[often]
-                new = ~np.isin(keys, held)
-                named = np.array([words.word(i) for i in some[new].tolist()] + [None], object)[:-1]
-                held, back = np.unique(np.concatenate([held, keys]), return_inverse=True)
-                old = len(counts)
-                total = np.bincount(back, np.concatenate([counts, n]), len(held)).astype(np.int64)
-                label = np.empty(len(held), object)
-                label[back[:old]] = names
-                label[back[old:][new]] = named
-                counts, names = total, label
-                if len(held) > HELD:
-                    stays = np.sort(np.argsort(-counts, kind="stable")[: HELD // 4])
-                    held, counts, names = held[stays], counts[stays], names[stays]
-        top = np.argsort(-counts, kind="stable")[:SUMMARY]
-        yield pa.RecordBatch.from_arrays([pa.array(names[top].tolist(), pa.binary()), pa.array(counts[top], pa.int64())], names=["unit", "n"])
-
-    top = docs.select(F.col(quoted(text)).cast("string")).mapInArrow(in_worker("units", summarize), "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(table)
-    return [bytes(r[0]) for r in top.collect()]
+def whole_words(tokenizer: WordTokenizer, most: int = TABLE) -> list[bytes]:
+    """The vocabulary's whole words that are pre-tokens as they stand, in the order of their ids."""
+    known = sorted(tokenizer.vocabulary().items(), key=lambda x: x[1])
+    words = [w.removesuffix(WORD_END).encode() for w, _ in known if w.endswith(WORD_END) and w.isascii() and 0 < len(w) - len(WORD_END) <= LONGEST]
+    cut = units(pa.array(words, pa.binary()))
+    alone = np.diff(cut.first) == 1
+    return [w for w, x in zip(words, alone.tolist()) if x and w.lower() == w][:most]
 
 
-def hash_table(units_: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The pre-tokens' hashes, ascending, and their numbers of tokens."""
+def hash_table(path: str, most: int = TABLE) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent pre-tokens' hashes, ascending, and their numbers of tokens, as the library gives them."""
     tokenizer = WordTokenizer(path)
-    words = units(pa.array(units_, pa.binary()))
+    words = units(pa.array(whole_words(tokenizer, most), pa.binary()))
     keys, some = np.unique(words.hashes(), return_index=True)
     return keys, np.array([len(tokenizer.unit(words.word(i))) >> 2 for i in some.tolist()], np.uint32)
 
@@ -77,7 +50,7 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, c
     results (they stay inside ``_row``).
     """
     path = path or tokenizer_path("word_bpe_49k.json")
-    shared = docs.sparkSession.sparkContext.broadcast(hash_table(frequent_units(docs, text), path))
+    shared = docs.sparkSession.sparkContext.broadcast(hash_table(path))
 
     def compute(batches):
         keys, lengths = shared.value

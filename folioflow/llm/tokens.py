@@ -71,6 +71,19 @@ class WordTokenizer:
         self._library.no_padding()
         self._letters = _byte_letters()
         self.cache = SortedCache(limit)
+        self._check_rule(path)
+
+    def vocabulary(self) -> dict[str, int]:
+        return self._library.get_vocab(with_added_tokens=False)
+
+    def _check_rule(self, path: str) -> None:
+        """Pre-tokens are cut here by a fixed rule: a file of another rule raises instead of giving other ids."""
+        every = "".join(chr(c) for c in range(1, 256))
+        for sample in (every, " ".join(every), "don't we'll I've 'tis x'", "a1b22 c_d--e 3.14 ½ß µº ~é~é", "<|endoftext|> <|x <| ab<|startoftext|>ab", "naïve Ünïcode 日本 ŵ \u0130 end"):
+            for text in (sample, f"  {sample}\n\t{sample.upper()} "):
+                mine = np.concatenate([x for x, _ in self.ids(pa.array([text]))])
+                if mine.tolist() != self._library.encode(text, add_special_tokens=False).ids:
+                    raise ValueError(f"{path}: its pre-tokens are not cut by the rule of word-level vocabularies that is built in here")
 
     def _pre_token(self, word: str) -> bytes:
         if not (word.isascii() and word.isprintable()):  # those stand for themselves in the byte-level alphabet

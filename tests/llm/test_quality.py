@@ -80,6 +80,28 @@ def brute_marginals(crf, scores):
     return good / total
 
 
+def test_long_texts_are_scored_as_short_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    crf = line_crf.LineCRF(rng.normal(size=3 * line_crf.OWN), np.clip(rng.normal(size=(2, 2)), -2, 2))
+    for n in (1, 2, 3, 4, 5, 9, 10, 16, 17, 50, 1_000):
+        scores = rng.normal(size=n) * rng.choice([0.1, 5, 60])
+        good, none, _ = crf.marginals(scores[None], np.array([n]), with_pairs=False)
+        assert none is None and np.allclose(good[0], line_crf.chain_marginals(scores, crf.edge))
+    lines = ["", "same line", "same line", "A b c d, e!", "12 34 | 5", "é ü", "# * $"]
+    texts = ["\n".join(rng.choice(lines + [f"line {k}" for k in range(9)], size=n)) for n in (1, 7, 40, 300)] + ["", None, "\n" * 50]
+    want = crf.scores(texts)
+    monkeypatch.setattr(line_crf, "LONG", 6)
+    assert crf.scores(texts) == pytest.approx(want, abs=1e-6)
+
+
+def test_repeated_ids_do_not_change_the_rules(docs):
+    rows = [(i, ("good plain words here " * 20 + f"n{i}") if i % 2 else ("bad !!! $$$ ### " * 20 + f"n{i}")) for i in range(60)]
+    labels = docs([(0, "x")]).sparkSession.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once = dl.fit(docs(rows), labels)
+    again = dl.fit(docs(rows + [rows[3]] * 400 + [(4, "zzz " * 60)] * 400), labels)
+    assert once == again
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     crf = line_crf.LineCRF(np.zeros(3 * line_crf.OWN), rng.normal(size=(2, 2)))

@@ -52,16 +52,23 @@ def test_counts(spark, odd):
     assert token_counts.count_tokens(odd.limit(0)).count() == 0
 
 
-def test_frequent_chunks_are_bounded_and_frequent(docs):
-    df = docs([(i, "the cat, sat " * 5 + f"unique{i}") for i in range(20)])
-    assert set(token_counts.frequent_units(df, table=4)) == {b"the", b"cat", b"sat", b","}
+def test_whole_words_and_their_lengths():
+    tok = WordTokenizer(PATH)
+    words = token_counts.whole_words(tok)
+    assert len(words) > 20_000 and b"the" in words and token_counts.whole_words(tok, 4) == words[:4]
+    keys, lengths = token_counts.hash_table(PATH, 500)
+    found = dict(zip(keys.tolist(), lengths.tolist()))
+    assert len(found) == 500 and found == {int(h): len(expected(w.decode())) for w in words[:500] for h in token_counts.units(token_counts.pa.array([w])).hashes()}
 
 
-def test_frequent_units_are_counted_over_slices(docs, monkeypatch):
-    df = docs([(i, "common rare%d " % (i % 50) * 3 + "w " * (i % 3)) for i in range(200)]).coalesce(1)
-    monkeypatch.setattr(token_counts, "HELD", 40)
-    found = token_counts.frequent_units(df, table=3)
-    assert found[0] == b"common" and b"rare" in found
+def test_counts_read_the_texts_once(docs):
+    plan = token_counts.count_tokens(docs([(1, "a b")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+def test_vocabularies_of_another_rule_are_refused():
+    with pytest.raises(ValueError, match="rule"):
+        WordTokenizer(token_counts.tokenizer_path("byte_bpe_50k.json"))
 
 
 def test_cache_stays_bounded():
