@@ -54,3 +54,9 @@ def agreement(cells: DataFrame) -> DataFrame:
 
 def alias_rate(part, whole, name: str):
     return rate(part, whole).alias(name)
+
+
+def agreement_over_time(rows: DataFrame, key: str, at: str, span: int, agree: str = "agree") -> DataFrame:
+    """Each row with the rows of its key in the ``span`` before its time (whole numbers, its own time in it) and the share of them that agree: a RANGE frame, so rows of one time share a figure. Null agreement does not count."""
+    frame = Window.partitionBy(key).orderBy(at).rangeBetween(-span, Window.currentRow)
+    return rows.withColumns({"n": F.count(agree).over(frame), "agreement": rate(F.count_if(F.col(agree)).over(frame), F.count(agree).over(frame))})

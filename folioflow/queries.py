@@ -445,4 +445,4 @@ def agg17_usage(spark, sf):
     return extract.usage_summary(e.select(usage.alias("usage"), F.when(F.col("event_type") == "error", F.lit("failed")).alias("error"), F.lit(0.5).alias("duration_s")))
 
 
-from folioflow import file_queries, record_queries, stream_queries  # noqa: E402, F401  they register more, and use what is above
+from folioflow import file_queries, join_queries, record_queries, stream_queries  # noqa: E402, F401  they register more, and use what is above
