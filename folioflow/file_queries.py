@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import corpus, extract, fields, merge, pins, ranks, scoring
-from folioflow.plans import lifecycle, report
+from folioflow.plans import lifecycle, report, run_report
 from folioflow.queries import _COUNTS, _SCORED, _scored
 from folioflow.registry import query, t
+from folioflow.schemas import RISK
 from folioflow.sources import files, records, sinks
 from folioflow.sources.scratch import get, put, scratch
 from folioflow.streaming import resume
@@ -202,7 +203,11 @@ def snk02_incremental_resume(spark, sf):
     """Two streaming runs over the labels into a table that holds the keys of one class already: those stay as they are, no key comes twice."""
     labels = t(spark, sf, "labels")
     held = labels.where("toxic = 0").withColumn("quality", F.lit(-1).cast(labels.schema["quality"].dataType))
-    return resume.demonstrate(spark, f"{sf}/labels.parquet", ["doc_id"], held).select("doc_id", "quality")
+    base = scratch(spark, "stream")
+    sinks.append_missing(held, f"{base}/table", ["doc_id"])
+    for attempt in ("first", "again"):  # a checkpoint of its own each time: the second run replays all
+        resume.process_new_files(spark, sf, labels.schema, f"{base}/table", f"{base}/{attempt}", ["doc_id"], glob="labels.parquet")
+    return sinks.appended(spark, f"{base}/table").select("doc_id", "quality")
 
 
 @query("SELECT lang, count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY lang")
@@ -232,12 +237,54 @@ def snk04_report(spark, sf):
     return spark.createDataFrame([(x,) for x in lines], "line string")
 
 
+_RUN = """WITH e AS (SELECT user_id, CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_type = 'signup' THEN 'say "up"' ELSE event_type END AS kind, CASE WHEN event_id % 5 = 0 THEN CASE event_type WHEN 'signup' THEN 'say "up"' ELSE event_type END END AS tag FROM events),
+      n AS (SELECT user_id, kind, count(*) AS n FROM e WHERE kind IS NOT NULL GROUP BY ALL), m AS (SELECT *, max(n) OVER (PARTITION BY user_id) AS m FROM n),
+      k AS (SELECT user_id, CASE WHEN count(*) = 1 THEN max(kind) END AS p FROM m WHERE n = m GROUP BY user_id), tg AS (SELECT user_id, list_sort(list(DISTINCT tag)) AS p FROM e WHERE tag IS NOT NULL GROUP BY user_id),
+      u AS (SELECT DISTINCT user_id, CASE user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'say "up"' ELSE 'click' END AS gk, CASE WHEN user_id % 3 <> 0 THEN ['click', 'error', 'purchase', 'say "up"', 'view'] END AS gt FROM events),
+      v AS (SELECT user_id, 'kind' AS field, 'single_choice' AS kind, p, gk AS g, coalesce(gk = 'say "up"', false) AS sub, p = gk AS same FROM u LEFT JOIN k USING (user_id) UNION ALL SELECT user_id, 'tags', 'multilabel', p::VARCHAR, gt::VARCHAR, gt IS NOT NULL, p = gt FROM u LEFT JOIN tg USING (user_id)),
+      c AS (SELECT *, field = 'tags' AS is_top, CASE WHEN p IS NULL AND g IS NULL THEN 'correct_abstain' WHEN g IS NULL THEN 'hallucination' WHEN p IS NULL THEN 'over_abstain' WHEN same THEN 'correct_value' ELSE 'wrong_value' END AS outcome FROM v)"""
+
+
+@query(
+    f"""{_RUN}, s AS (SELECT 'overall' AS name, {_COUNTS} FROM c UNION ALL SELECT 'kind: ' || kind, {_COUNTS} FROM c GROUP BY kind UNION ALL SELECT 'top_risk: ' || is_top, {_COUNTS} FROM c GROUP BY is_top UNION ALL SELECT 'substituted: ' || sub, {_COUNTS} FROM c WHERE sub IS NOT NULL GROUP BY sub)
+    SELECT '| ' || name || ' | ' || n || ' | ' || correct_value || ' | ' || wrong_value || ' | ' || hallucination || ' | ' || over_abstain || ' | ' || correct_abstain || ' | ' || printf('%.1f%%', 100.0::DOUBLE * correct / n) || ' |' AS line FROM s"""
+)
+def snk04_run_report(spark, sf):
+    """A run's files written from the events (a document for each user, a chunk for each event, values rewritten for the model), then from those files to the report; its figures with all four overlays."""
+    folder = scratch(spark, "run")
+    events = t(spark, sf, "events")
+    spoken = F.when(F.col("event_type") == "signup", "say 'up'").otherwise(F.col("event_type"))
+    record = F.struct(F.when(F.col("event_id") % 6 != 0, spoken).alias("kind"), F.when(F.col("event_id") % 5 == 0, F.array(spoken)).alias("tags"), F.lit("quoted").alias("kind_evidence_spans"))
+    who = F.col("user_id").cast("string").alias("contract_name")
+    sinks.jsonl(events.select(who, F.col("event_id").alias("chunk_id"), record.alias("prediction")), f"{folder}/predictions.jsonl")
+    kinds = ["click", "error", "purchase", 'say "up"', "view"]
+    gold = F.struct(F.when(F.col("user_id") % 4 == 1, 'say "up"').when(F.col("user_id") % 4 != 0, "click").alias("kind"), F.when(F.col("user_id") % 3 != 0, F.array(*map(F.lit, kinds))).alias("tags"))
+    sinks.jsonl(events.select(who, F.col("event_id").alias("chunk_id"), gold.alias("gold")), f"{folder}/gold.jsonl")
+    put(spark, f"{folder}/values.json", json.dumps({k: {'say "up"': "say 'up'"} for k in ("kind", "tags")} | {"unused": {}}))
+    heads = [c.split()[0] for c in RISK.split(", ")]
+    rows = [{"field": "kind", "cardinality": "6", "pcl_risk": "0.9"}, {"field": "tags", "cardinality": "5", "pcl_risk": "0.5"}]
+    put(spark, f"{folder}/risk.csv", "\n".join(",".join(r.get(h, "") for h in heads) for r in [dict(zip(heads, heads)), *rows]))
+    schema = run_report.schema_text({"contract_name": {"type": "string"}, "kind": {"type": ["string", "null"], "enum": [*kinds, None]}, "tags": {"type": ["array", "null"], "items": {"type": "string", "enum": kinds}}})
+    run_report.report_run(spark, folder, schema, f"{folder}/risk.csv", f"{folder}/values.json", "events")
+    lines = [x for x in get(spark, f"{folder}/analysis.md").split("\n") if x.startswith("| ") and x.split()[1].rstrip(":") in ("overall", "kind", "top_risk", "substituted")]
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+@query("SELECT n_name AS name, CASE n_nationkey % 3 WHEN 0 THEN 'moved' WHEN 1 THEN 'unchanged' ELSE 'not_checked' END AS status FROM nation")
+def src14_heads(spark, sf):
+    """Recorded heads of repositories beside those of now: a warning, not an error."""
+    n = t(spark, sf, "nation")
+    recorded = n.select(F.col("n_name").alias("name"), F.sha1("n_name").alias("sha"))
+    now = n.where("n_nationkey % 3 <> 2").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 3 == 1, F.sha1("n_name")).otherwise(F.lit("other")).alias("sha"))
+    return pins.heads(recorded, now).select("name", "status")
+
+
 @query("SELECT s_suppkey AS doc_id, k::INTEGER AS chunk_id, s_name || ' ' || k AS text FROM supplier, range(2) AS r(k)")
 def snk05_chunk_texts(spark, sf):
     path = scratch(spark, "dump")
     rows = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"), "s_name", F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_id"))
     sinks.chunk_texts(rows.select("doc_id", "chunk_id", F.concat("s_name", F.lit(" "), F.col("chunk_id").cast("string")).alias("text")), path)
-    return spark.read.schema("text string, doc_id long, chunk_id int").format("text").load(path).select("doc_id", "chunk_id", "text")
+    return files.jsonl(spark, path, "doc_id long, chunk_id int, text string").select("doc_id", "chunk_id", "text")
 
 
 @query("SELECT 'predictions' AS file, c_custkey AS contract_name FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'gold', c_custkey FROM customer WHERE c_acctbal >= 0 AND c_nationkey < 12 UNION ALL SELECT 'conflicts', c_custkey FROM customer WHERE c_mktsegment = 'HOUSEHOLD'")
@@ -259,12 +306,13 @@ def jn04_gold_of_merged(spark, sf):
     return files.jsonl(spark, f"{path}/gold", "contract_name long, gold string")
 
 
-@query("SELECT row_number() OVER (ORDER BY n_name) AS line, n_name FROM nation")
+@query("SELECT row_number() OVER (ORDER BY c_name) AS line, c_name FROM customer")
 def snk08_sample_manifest(spark, sf):
-    path = f"{scratch(spark, 'names')}/sample.txt"
-    sinks.sample_manifest(t(spark, sf, "nation").select("n_name"), path)
-    names = get(spark, path).splitlines()
-    return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "line long, n_name string")
+    """Every customer's name as a line; lines are numbered as they stand in the files."""
+    path = scratch(spark, "names")
+    sinks.sample_manifest(t(spark, sf, "customer").select("c_name"), path)
+    lines = files.with_ordinal(spark.read.text(path))
+    return ranks.global_ranks(lines, "ordinal").select((F.col("rank") + 1).alias("line"), F.col("value").alias("c_name"))
 
 
 @query("SELECT * FROM (VALUES ('CONFIG.md', 'e1_a: python run.py {{other}}'), ('run.sh', '#!/bin/sh|set -eu|python run.py'), ('manifest.json', '{|  \"name\": \"e1_a\"|}')) AS v(file, text)")

@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a client gives for (system, user): the answer's text and usage figures.
@@ -115,9 +115,28 @@ def constrained_decode(step: Callable[[list[int]], list[float]], allowed: Callab
     return out
 
 
-def blank_tokens(vocabulary: dict[str, int]) -> set[int]:
+def decoded(rows: DataFrame, inputs: list[str], make_decoder: Callable[[], Callable[[dict], str]], name: str = "answer") -> DataFrame:
+    """EXT02: the inputs and what a decoder, made once for each task, answers to each row: ``constrained_decode`` with a model's scores and a grammar of the row. A map; rows go to it as they are."""
+    schema = rows.select(*inputs).schema.add(name, "string")
+
+    def run(batches):
+        decode = None
+        for b in batches:
+            decode = decode or make_decoder()
+            answers = [decode(r) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(answers, pa.string())], names=[*inputs, name])
+
+    return rows.select(*inputs).mapInArrow(run, schema)
+
+
+def is_blank_token(token: str) -> Column:
+    """EXT04: is a token of a vocabulary white space only (also as byte-level vocabularies write it)? The empty one is not."""
+    return (F.col(token) != "") & (F.translate(token, BLANK + "ĠĊ", "") == "")
+
+
+def blank_tokens(vocabulary: DataFrame, token: str = "token", number: str = "id") -> DataFrame:
     """EXT04: ids of tokens that are white space only."""
-    return {i for t, i in vocabulary.items() if t and not t.strip(BLANK + "ĠĊ")}
+    return vocabulary.where(is_blank_token(token)).select(number)
 
 
 def usage_summary(log: DataFrame) -> DataFrame:

@@ -62,6 +62,17 @@ def remap(cells: DataFrame, dictionary: DataFrame, value: str = "value", to: str
     return joined.withColumn(value, F.when(F.col("_map").isNull(), F.col(value)).otherwise(new)).drop("_map").select(cells.columns)
 
 
+def remap_json(cells: DataFrame, dictionary: DataFrame, value: str = "value_json", to: str = "canonical", frm: str = "modified") -> DataFrame:
+    """DIC03, DIC04 over JSON texts: a string, or the strings of a list, looked up by field. All else stays as it is written."""
+    text = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'^\{"v":(.*)\}$', 1)
+    maps = dictionary.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct(frm, to))).alias("_map"), F.map_from_entries(F.collect_list(F.struct(text(frm), text(to)))).alias("_texts"))
+    listed = F.when(F.startswith(F.ltrim(value), F.lit("[")), F.from_json(value, "array<string>"))
+    changed = F.to_json(F.transform(listed, lambda v: F.coalesce(F.try_element_at("_map", v), v)))
+    new = F.when(F.exists(listed, lambda v: F.try_element_at("_map", v).isNotNull()), changed).otherwise(F.coalesce(F.try_element_at("_texts", F.col(value)), F.col(value)))
+    joined = cells.join(maps, "field", "left")
+    return joined.withColumn(value, F.when(F.col("_map").isNull(), F.col(value)).otherwise(new)).select(cells.columns)
+
+
 # ---------------------------------------------------------------- schema rewriting, driver side
 
 # Keywords that the stricter of the two strips drops, those that a grammar has no use for, and those that hold properties by name.

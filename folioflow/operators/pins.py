@@ -30,6 +30,13 @@ def drift(pins: DataFrame, current: DataFrame) -> DataFrame:
     return rows.select("path", "sha256", "now", status.alias("status"))
 
 
+def heads(recorded: DataFrame, now: DataFrame) -> DataFrame:
+    """SRC14: recorded repositories (name, sha) beside their present heads (name, sha): ``moved``, ``unchanged`` or ``not_checked``. A warning only: what a run has read is what its pins say."""
+    joined = recorded.join(now.select("name", F.col("sha").alias("now")), "name", "left")
+    status = F.when(F.col("sha").isNull() | F.col("now").isNull(), "not_checked").when(F.col("sha") == F.col("now"), "unchanged").otherwise("moved")
+    return joined.select("name", "sha", "now", status.alias("status"))
+
+
 def exit_code(statuses: DataFrame) -> int:
     """0 if all match, 1 if something drifted, 2 if something is missing."""
     return max([EXIT[r.status] for r in statuses.select("status").distinct().collect()], default=0)

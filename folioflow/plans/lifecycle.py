@@ -46,9 +46,7 @@ def merge_and_score(predictions: DataFrame, golds: DataFrame, dimension: DataFra
     """
     found = cells.observed(predictions, "prediction", ["contract_name", "chunk_id"])
     if dictionary is not None:
-        quoted = dictionary.select("field", *[F.to_json(F.struct(F.col(c).alias("v"))).alias(c) for c in ("canonical", "modified")])
-        plain = quoted.select("field", *[F.regexp_extract(c, r'^\{"v":(.*)\}$', 1).alias(c) for c in ("canonical", "modified")])
-        found = fields.remap(found, plain, "value_json", to="canonical", frm="modified")
+        found = fields.remap_json(found, dictionary)
     merged, conflicts = merge.merge_documents(found, dimension)
     ordinal = golds.withColumn("ordinal", F.col("chunk_id"))
     first = ordinal.groupBy("contract_name").agg(F.min_by("gold", "ordinal").alias("gold"))

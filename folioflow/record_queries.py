@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -210,6 +211,22 @@ def chk01_boundary_chunks(spark, sf):
     return _boundary_chunks(spark, sf).withColumn("digest", F.md5(F.col("text").cast("binary"))).drop("text")
 
 
+@query(
+    _CHUNKS
+    + """, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM k JOIN labels USING (doc_id) WHERE quality = 1)
+    SELECT doc_id::VARCHAR AS contract_name, chunk_id, kind AS boundary_kind, md5('Contract: ' || doc_id || chr(10) || 'Chunk ' || (chunk_id + 1) || ' of ' || total || chr(10) || chr(10) || substr(text, s + 1, e - s)) AS digest,
+           CASE WHEN b < 8 THEN 'train' WHEN b < 9 THEN 'val' ELSE 'test' END AS split FROM (SELECT *, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::UINTEGER % 10 AS b FROM n)"""
+)
+def plan01_corpus_build(spark, sf):
+    """The first flow: usable documents with target and text into chunk rows with their split."""
+    labels = t(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("contract_name"), "quality")
+    hygiene = labels.select("contract_name", (F.col("quality") == 1).alias("usable_for_snippet_training"), F.lit("ok").alias("status"))
+    targets = labels.select("contract_name", F.to_json(F.struct("contract_name", "quality")).alias("target_json"))
+    texts = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("contract_name"), "text")
+    rows = lifecycle.build_corpus(hygiene, targets, texts, target=4000, backoff=400, overlap=200)
+    return rows.select("contract_name", "chunk_id", "boundary_kind", F.md5(F.col("input").cast("binary")).alias("digest"), "split")
+
+
 @query(_CHUNKS + " SELECT kind AS boundary_kind, count(*) AS n FROM k GROUP BY kind")
 def chk02_boundary_kinds(spark, sf):
     """How often each kind was the best of its window."""
@@ -467,29 +484,34 @@ def ext01_extraction(spark, sf):
     return done.select("contract_name", "chunk_id", "prediction", "raw", "attempts", "input_tokens", "output_tokens", F.col("error").isNotNull().alias("failed"))
 
 
-@query("SELECT r_regionkey, '{\"a\": ' || repeat(' ', 1) || '\"' || repeat(' ', (r_regionkey + 1)::INTEGER) || '\"}' AS text FROM region")
-def ext02_constrained_decode(spark, sf):
-    """Greedy decoding with a model that prefers blanks: between tokens two of them are the most, inside a string there is no cap."""
-    pieces = ["", "{", '"a"', ":", " ", '"', "}"]
-    blank = extract.blank_tokens({p: i for i, p in enumerate(pieces)})
+_PIECES = ("", "{", '"a"', ":", " ", '"', "}")
 
-    def decode(n: int) -> str:
+
+def _blank_lover() -> Callable[[dict], str]:
+    """A decoder for an object with one text of a given length, whose scores always prefer blanks."""
+    blank, scores = frozenset({4}), {4: 9.0, 5: 1.0}
+
+    def decode(row: dict) -> str:
         def allowed(out: list[int]) -> list[int]:
-            text = "".join(pieces[i] for i in out)
+            text = "".join(_PIECES[i] for i in out)
             if len(out) < 3:
                 return [len(out) + 1]
             if text.count('"') == 2:
                 return [4, 5]
             if text.count('"') == 3:
-                inside = len(text) - text.rindex('"') - 1
-                return [4, 5] if inside <= n else [5]
-            return [6] if not text.endswith("}") else [0]
+                return [4, 5] if len(text) - text.rindex('"') - 1 < row["n"] else [5]
+            return [0] if text.endswith("}") else [6]
+
+        return "".join(_PIECES[i] for i in extract.constrained_decode(lambda out: scores, allowed, 0, surface=_PIECES.__getitem__, blanks=blank))
 
-        score = {4: 9.0, 5: 1.0}
-        return "".join(pieces[i] for i in extract.constrained_decode(lambda out: score, allowed, 0, surface=pieces.__getitem__, blanks=blank))
+    return decode
 
-    rows = [(r.r_regionkey, decode(r.r_regionkey).replace(":  ", ":  ")) for r in t(spark, sf, "region").collect()]
-    return spark.createDataFrame(rows, "r_regionkey int, text string")
+
+@query("SELECT c_custkey, c_nationkey % 9 AS n, '{\"a\":' || '  ' || '\"' || repeat(' ', (c_nationkey % 9)::INTEGER) || '\"}' AS answer FROM customer")
+def ext02_constrained_decode(spark, sf):
+    """Greedy decoding in the tasks, with scores that prefer blanks: between tokens two of them are the most, inside a string there is no cap."""
+    rows = t(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") % 9).alias("n"))
+    return extract.decoded(rows, ["c_custkey", "n"], _blank_lover)
 
 
 @query("""SELECT event_id, event_id % 3 = 1 AS in_string, event_id % 3 = 2 AND event_id % 2 = 0 AS escaped, CASE WHEN event_id % 3 = 0 THEN (event_id % 4)::INTEGER ELSE 0 END AS blank_run FROM events WHERE event_id % 3 <> 2
@@ -503,8 +525,8 @@ def ext03_json_structure(spark, sf):
 @query("SELECT p_partkey AS id FROM part WHERE p_partkey % 3 = 0")
 def ext04_blank_tokens(spark, sf):
     """Ids of the tokens that are white space only, in a vocabulary made of the parts' names."""
-    vocabulary = {(" " * (r.p_partkey + 1) if r.p_partkey % 3 == 0 else f"{r.p_name} {r.p_partkey}"): r.p_partkey for r in t(spark, sf, "part").select("p_partkey", "p_name").collect()}
-    return spark.createDataFrame([(i,) for i in extract.blank_tokens(vocabulary)], "id long")
+    token = F.expr("CASE WHEN p_partkey % 3 = 0 THEN repeat(' ', CAST(p_partkey % 50 + 1 AS INT)) ELSE concat(p_name, ' ', p_partkey) END")
+    return extract.blank_tokens(t(spark, sf, "part").select(token.alias("token"), F.col("p_partkey").alias("id")))
 
 
 @query("SELECT event_id, event_id % 3 <> 0 AS parsed, CASE WHEN event_id % 3 = 0 THEN left(props, length(props) - 1) END AS raw FROM events")

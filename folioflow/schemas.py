@@ -1,11 +1,6 @@
 """Explicit schemas of the records that the engine reads and writes, as DDL."""
 
-CHUNK = "chunk_id int, char_start long, char_end long, n_chars long, approx_tokens long, boundary_kind string, text string"
-PREDICTION = "contract_name string, chunk_id int, n_chunks_in_contract int, prediction string"
-LOCAL_PREDICTION = "contract_name string, chunk_id int, n_chunks_in_contract int, prediction string, record_index int, raw string, stats struct<tokens:int,time_s:double,stop_reason:string,mask_mode:string,accepting:boolean,wall_seconds:double>"
+PREDICTION = "contract_name string, chunk_id int, prediction string"
 GOLD = "contract_name string, chunk_id int, gold string"
-CELL = "doc string, chunk_id int, field string, value_json string"
-CONFLICT = "contract_name string, field string, mode string, values array<string>, picked string, vote_distribution map<string,long>"
-HYGIENE = "contract_name string, usable_for_snippet_training boolean, status string"
 RISK = "field string, category string, cardinality int, n_distinct_observed int, support int, null_count int, absence_rate double, majority_answer string, majority_count int, majority_share double, pcl_risk double"
 RUN_LOG = "label string, contract_name string, chunk_id int, attempts int, duration_s double, usage struct<input_tokens:long,input_tokens_details:struct<cached_tokens:long>,output_tokens:long,output_tokens_details:struct<reasoning_tokens:long>,total_tokens:long>, error string"

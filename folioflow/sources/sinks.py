@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.sources.scratch import exists, put
@@ -16,13 +16,34 @@ def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def append_missing(df: DataFrame, path: str, keys: list[str]) -> None:
-    """SNK02, JN05: append the rows whose keys the table does not hold yet (Parquet)."""
-    spark = df.sparkSession
-    if exists(spark, path):
-        done = spark.read.parquet(path).select(*keys).distinct()
-        df = df.join(done, keys, "left_anti")
-    df.write.mode("append").parquet(path)
+#: Folders that appended rows and chunk texts are dealt into by the hash of their key.
+BUCKETS = 64
+
+
+def append_missing(df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    """SNK02, JN05: append the rows whose keys the table does not hold yet (Parquet), one for each key; nulls are a key like others.
+
+    The table lies in folders by the hash of the keys, and only keys of folders
+    that the rows touch are read. Read it with ``appended``.
+    """
+    once = df.dropDuplicates(keys).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()  # what df does may be dear
+    try:
+        fresh = once
+        if exists(df.sparkSession, path):
+            touched = [r[0] for r in once.select("_bucket").distinct().collect()]  # at most ``buckets``
+            done = df.sparkSession.read.parquet(path).where(F.col("_bucket").isin(touched)).select(F.col("_bucket").alias("_b"), *[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)])
+            same = F.col("_bucket") == F.col("_b")
+            for i, k in enumerate(keys):
+                same &= F.col(k).eqNullSafe(F.col(f"_{i}"))
+            fresh = once.join(done, same, "left_anti")
+        fresh.write.mode("append").partitionBy("_bucket").parquet(path)
+    finally:
+        once.unpersist()
+
+
+def appended(spark: SparkSession, path: str) -> DataFrame:
+    """What ``append_missing`` has gathered."""
+    return spark.read.parquet(path).drop("_bucket")
 
 
 def stats_document(df: DataFrame, path: str) -> dict:
@@ -33,9 +54,10 @@ def stats_document(df: DataFrame, path: str) -> dict:
     return value
 
 
-def chunk_texts(chunks: DataFrame, path: str) -> None:
-    """SNK05: chunk texts as text files, a folder for each document and chunk; the writer ends each with a newline."""
-    chunks.select("doc_id", "chunk_id", "text").write.mode("overwrite").partitionBy("doc_id", "chunk_id").text(path)
+def chunk_texts(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """SNK05: chunk texts as JSON lines with their names, in as many folders as asked, whatever the number of chunks; all chunks of a document are in one of them."""
+    dealt = chunks.select("doc_id", "chunk_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
+    dealt.write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def merge_outputs(merged: DataFrame, golds: DataFrame, conflicts: DataFrame, folder: str) -> None:
@@ -46,8 +68,9 @@ def merge_outputs(merged: DataFrame, golds: DataFrame, conflicts: DataFrame, fol
 
 
 def sample_manifest(names: DataFrame, path: str) -> None:
-    """SNK08: a small list of names, one a line, in order."""
-    put(names.sparkSession, path, "".join(f"{r[0]}\n" for r in names.orderBy(names.columns[0]).collect()))
+    """SNK08: names, one a line, in order within the files and from file to file; none passes through the driver."""
+    column = names.columns[0]
+    names.select(F.col(column).alias("value")).orderBy("value").write.mode("overwrite").text(path)
 
 
 def fill_template(text: str, values: dict) -> str:

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from folioflow.sources.scratch import scratch
 from folioflow.sources.sinks import append_missing
 
 
@@ -26,15 +25,3 @@ def process_new_files(spark: SparkSession, source: str, schema: T.StructType, ta
 
     stream = reader.load(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()
-
-
-def demonstrate(spark: SparkSession, path: str, keys: list[str], before: DataFrame | None = None) -> DataFrame:
-    """Run twice over one table, beside rows that an earlier run left (``before``), and give the result: each row once, earlier rows as they were."""
-    base = scratch(spark, "stream")
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    if before is not None:
-        append_missing(before, f"{base}/table", keys)
-    for attempt in ("first", "again"):  # a checkpoint of its own each time: the second run replays all
-        process_new_files(spark, folder, schema, f"{base}/table", f"{base}/{attempt}", keys, glob=name)
-    return spark.read.schema(schema).parquet(f"{base}/table")

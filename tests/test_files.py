@@ -109,11 +109,14 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "m" / "gold")).count() == 1
     assert sinks.stats_document(merged, str(tmp_path / "s.json")) == {"contract_name": "a", "v": "1"}
     sinks.sample_manifest(golds.select("contract_name"), str(tmp_path / "n.txt"))
-    assert (tmp_path / "n.txt").read_text() == "a\nb\n"
+    assert "".join(p.read_text() for p in sorted((tmp_path / "n.txt").glob("part-*.txt"))) == "a\nb\n"
     sinks.run_folder(str(tmp_path / "run"), {"name": "n"}, "echo", "{{name}} {{command}} {{other}}")
     assert (tmp_path / "run" / "CONFIG.md").read_text() == "n echo {{other}}"
     sinks.chunk_texts(spark.createDataFrame([("d", 0, "hello")], "doc_id string, chunk_id int, text string"), str(tmp_path / "c"))
-    assert next((tmp_path / "c").rglob("part-*.txt")).read_text() == "hello\n"
+    assert next((tmp_path / "c").rglob("bucket=*/part-*.json")).read_text() == '{"doc_id":"d","chunk_id":0,"text":"hello"}\n'
+    many = spark.range(300).selectExpr("id AS doc_id", "0 AS chunk_id", "'t' AS text")
+    sinks.chunk_texts(many, str(tmp_path / "d"), buckets=4)
+    assert len([*(tmp_path / "d").glob("bucket=*")]) == 4
     assert "1,234" in sinks.console_table(spark.createDataFrame([("x", 1234, 0.5)], "a string, n long, r double"))
 
 
@@ -121,11 +124,15 @@ def test_append_missing_and_stream(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     for _ in range(2):
         sinks.append_missing(rows, str(tmp_path / "t"), ["k"])
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    assert sinks.appended(spark, str(tmp_path / "t")).count() == 2
+    odd = spark.createDataFrame([(None, "n"), (None, "n"), (3, "c"), (3, "d")], rows.schema)
+    for _ in range(2):
+        sinks.append_missing(odd, str(tmp_path / "t"), ["k"])
+    assert sorted((r.k for r in sinks.appended(spark, str(tmp_path / "t")).collect()), key=str) == [1, 2, 3, None]
     source = str(tmp_path / "in")
     rows.write.parquet(source)
     args = (spark, source, rows.schema, str(tmp_path / "s"), str(tmp_path / "cp"), ["k"])
     resume.process_new_files(*args)
     spark.createDataFrame([(2, "b"), (3, "c")], rows.schema).write.mode("append").parquet(source)
     resume.process_new_files(*args)
-    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [1, 2, 3]
+    assert sorted(r.k for r in sinks.appended(spark, str(tmp_path / "s")).collect()) == [1, 2, 3]

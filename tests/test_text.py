@@ -176,7 +176,6 @@ def test_extraction_retries_and_clears_errors(spark):
     assert bad["prediction"] is None and bad["raw"] == "nope" and bad["error"].startswith("JSONDecodeError")
     legal = {0: [1, 2], 1: [3], 2: [0]}
     assert extract.constrained_decode(lambda out: [0, 1, 5, 0], lambda out: legal.get(len(out), []), end=0) == [2, 3]
-    assert extract.blank_tokens({" ": 1, "a": 2, "\n": 3, "": 4}) == {1, 3}
     # Once two blanks stand between tokens, another is not legal; inside a string it is.
     surface = {0: "", 1: " ", 2: '"', 3: "x"}.__getitem__
     eager = {0: 0.0, 1: 9.0, 2: 1.0, 3: 0.5}
@@ -186,6 +185,11 @@ def test_extraction_retries_and_clears_errors(spark):
     assert [extract.open_blanks(x) for x in ("", '{"a": ', '{"a', '{"a\\"  ', '{"a\\\\"  ', ' \t "x"\n\n')] == [0, 1, -1, -1, 2, 2]
 
 
+def test_blank_tokens(spark):
+    vocabulary = spark.createDataFrame([(" ", 1), ("a", 2), ("\n", 3), ("", 4), ("ĠĊ\t", 5), (None, 6), ("Ġx", 7)], "token string, id int")
+    assert sorted(r.id for r in extract.blank_tokens(vocabulary).collect()) == [1, 3, 5]
+
+
 def test_global_ranks(spark):
     rng = random.Random(3)
     rows = [("x" * rng.randrange(3) + rng.choice(["a", "é", "日", "😀", "Z"]), i) for i in range(300)] + [(None, 300), (None, 301)]
