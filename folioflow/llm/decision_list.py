@@ -150,12 +150,13 @@ def learn(rows: list[dict], precision: float = PRECISION, most_conditions: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[Rule]:
-    """Learn from at most ``sample`` labelled documents. Ids with several labels count by their lowest, ids with several texts by the smallest; null ids and labels do not count; without labels there are no rules."""
+    """Learn from at most ``sample`` labelled documents. Ids with several labels count by their lowest, ids with several texts by the one of smallest digest; null ids and labels do not count; without labels there are no rules."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # An id that repeats is one document: its rows meet on the map side first.
-    labelled = docs.select("doc_id", F.col(quoted(text)).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
-    rows = statistics(labelled).select("_row.doc_id", (F.col("_row.quality") == 0).alias("bad"), "base_failed", *FEATURES).collect()
+    labelled = docs.select("doc_id", F.col(quoted(text)).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # An id that repeats is one document. Its rows meet as figures, on the map side first: no text is shuffled.
+    found = statistics(labelled).select("_row.doc_id", F.struct(F.md5(F.col("_row.text").cast("binary")).alias("digest"), (F.col("_row.quality") == 0).alias("bad"), "base_failed", *FEATURES).alias("r"))
+    rows = found.groupBy("doc_id").agg(F.min("r").alias("r")).select("doc_id", "r.*").drop("digest").collect()
     return learn([r.asDict() for r in sorted(rows, key=lambda r: r.doc_id) if not r.base_failed])
 
 
