@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.functions import scalars
+from folioflow.functions import scalars, sql_surface
 from folioflow.operators import cells as cells_
 from folioflow.operators import chunking, compare, corpus, extract, fields, grounding, merge, scoring
 from folioflow.plans import lifecycle
-from folioflow.queries import _COUNTS, _FIXED, _OUTCOME, _PAIRED, _SCORED, GOLD, RUN1, _long, _paired, _scored
+from folioflow.queries import _COUNTS, _FIXED, _OUTCOME, _PAIRED, _SCORED, _VOTES, GOLD, RUN1, _event_cells, _long, _paired, _scored
 from folioflow.registry import query, t
 
 # ---------------------------------------------------------------- corpus rows and projections
@@ -211,6 +211,25 @@ def chk01_boundary_chunks(spark, sf):
     return _boundary_chunks(spark, sf).withColumn("digest", F.md5(F.col("text").cast("binary"))).drop("text")
 
 
+@query(_CHUNKS + " SELECT doc_id, chunk_id, s AS char_start, e AS char_end, e - s AS n_chars, (e - s) // 4 AS approx_tokens, kind AS boundary_kind, md5(substr(text, s + 1, e - s)) AS digest FROM k")
+def chk01_table_function(spark, sf):
+    """The chunker called from SQL, beside each document."""
+    sql_surface.register(spark)
+    text = "SELECT d.doc_id, chunk_id, char_start, char_end, c.n_chars, approx_tokens, boundary_kind, md5(c.text) AS digest FROM {docs} AS d, LATERAL boundary_chunks(d.text, 4000, 400, 200, true) AS c"
+    return spark.sql(text, docs=t(spark, sf, "documents"))
+
+
+@query(
+    f"{_VOTES}, p AS (SELECT d.user_id, d.field, CASE WHEN tops = 1 THEN top END AS picked, CASE WHEN k > 1 THEN CASE WHEN tops = 1 THEN 'majority_vote' ELSE 'tie_to_null' END END AS mode, CASE WHEN k > 1 THEN CASE WHEN tops = 1 THEN every ELSE tied END END AS values, coalesce(votes, 0) AS n_votes, CASE WHEN d.user_id % 5 <> 0 THEN 'click' END AS gold_json FROM (SELECT DISTINCT user_id, field FROM e) d LEFT JOIN s USING (user_id, field)) SELECT user_id AS doc, field, picked, mode, values, n_votes, gold_json, {_OUTCOME.format(p='picked', g='gold_json')} AS outcome FROM p"
+)
+def plan03_merge_and_score_as_sql(spark, sf):
+    """Vote and outcome in one flow of SQL text alone."""
+    sql_surface.register(spark)
+    cells = _event_cells(spark, sf).withColumnRenamed("user_id", "doc")
+    gold = cells.select("doc", "field").distinct().select("doc", "field", F.lit("single_choice").alias("kind"), F.when(F.col("doc") % 5 != 0, "click").alias("gold_json"))
+    return spark.sql(sql_surface.MERGE_AND_SCORE, cells=cells, gold=gold)
+
+
 @query(
     _CHUNKS
     + """, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM k JOIN labels USING (doc_id) WHERE quality = 1)

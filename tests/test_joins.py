@@ -85,3 +85,26 @@ def test_a_resume_join_in_buckets_needs_no_exchange(spark, tmp_path):
     assert sorted(r.k for r in left.collect()) == [i for i in range(500) if i % 3 or i >= 400]
     buckets.bucketed(left, "done_in_buckets", ["k"], str(tmp_path / "done_in_buckets"), mode="append")
     assert buckets.todo_in_buckets(spark, "rows_in_buckets", "done_in_buckets", ["k"]).count() == 0
+
+
+def test_sql_surface(spark):
+    from folioflow.functions import sql_surface
+    from folioflow.operators import scoring
+
+    sql_surface.register(spark)
+    text = "Word one. Next here.\n\nARTICLE II more words. " * 9
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    rows = spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL boundary_chunks(d.text, 100, 30, 20) c", docs=docs)
+    assert rows.columns == ["doc_id", *[f.name for f in sql_surface.CHUNK_FIELDS]]  # no text unless it is asked for
+    assert [(r.char_start, r.char_end, r.boundary_kind) for r in rows.orderBy("chunk_id").collect()] == [(s.start, s.end, s.kind) for s in chunking.spans(text, 100, 30, 20)]
+    for call in ("boundary_chunks(1, 100, 30, 20)", "boundary_chunks('x', 0, 30, 20)", "boundary_chunks('x', 9, -1, 20)"):
+        try:
+            spark.sql(f"SELECT * FROM {call}").collect()
+        except Exception as e:  # noqa: BLE001
+            assert "boundary_chunks" in str(e) or "at least" in str(e)
+        else:
+            raise AssertionError(call)
+    cells = [("single_choice", p, g) for p in (None, '"a"', '"b"') for g in (None, '"a"')] + [("multilabel", p, g) for p in (None, '["a","b"]', '["b","a","a"]', '"a"', "[]") for g in (None, '["a","b"]', '"a"', "[]")]
+    df = spark.createDataFrame(cells, "kind string, pred_json string, gold_json string")
+    both = df.withColumn("mine", scoring.cell_outcome()).withColumn("sql", F.expr("cell_outcome(kind, pred_json, gold_json)"))
+    assert both.where("mine IS DISTINCT FROM sql").count() == 0
