@@ -32,13 +32,16 @@ from folioflow.llm.common import append_columns, text_slices
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object select".split())
+RAW = frozenset("script style textarea title noscript iframe template svg select".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTENT = frozenset("article main".split())
 AROUND = frozenset("aside button dialog fieldset figcaption footer form head header label menu nav".split())
+#: Those of them that are the text's own inside an article: its heading, what its figures show.
+WITHIN = frozenset("figcaption header".split())
 #: Elements that hold blocks rather than being one, and those whose share of link text is measured: a cell counts with its table.
 HOLDS = frozenset("article main section div body html blockquote td".split())
 PARTS = frozenset("article main section div body html blockquote table ul ol dl".split())
+LISTS = frozenset("ul ol dl table".split())
 #: Words in class, id or role that mark what surrounds an article.
 ASIDE = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 #: Those of them that mark what readers wrote, often more than the article itself.
@@ -46,6 +49,8 @@ READERS = frozenset("comment comments disqus replies reply respond".split())
 #: Words of a class that make it say something of a page or its state (has-sidebar, comments-open), and those that make a header the text's own.
 MODIFIERS = frozenset("accepted closed disabled enabled has hidden hide no non not open opened show with without".split())
 OWN = frozenset("article content entry page post story".split())
+#: Words that leave the other words of a class their meaning (ad-slot, related-posts). Inside an article a class of several words says something only beside these: social-science and reply-brief are its subjects.
+PLACES = frozenset("area bar block box btn button buttons card cards column container content feed footer form header holder inner inline item items left link links list module outer panel posts right rail row section signup slot top bottom unit widget wrap wrapper".split())
 #: Elements that an open element of the same kind ends, and those it cannot reach beyond.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIMITS = frozenset("ul ol dl table article section div body html td th blockquote main nav aside footer header".split())
@@ -101,7 +106,7 @@ def mark(name: str, attributes: str, inside: bool) -> str:
     for m in _NAMED.finditer(attributes):
         for token in (m[1] or m[2] or m[3] or "").lower().split():
             words = re.findall(r"[a-z]+", token.split("--")[0])
-            if words and MODIFIERS.isdisjoint(words):
+            if words and MODIFIERS.isdisjoint(words) and not (inside and {*words} - ASIDE - PLACES):
                 ends = {words[0], words[-1]}
                 found |= ends & ASIDE - ({"header"} if inside or ends & OWN or _HEADING.fullmatch(name) else set())
     return "!!" if found & READERS else "!" if found else ""
@@ -198,7 +203,7 @@ def parse(page: str) -> Page:
                 if name in CONTENT and not above.inside:
                     path.hint += FOR
                 path.readers = above.readers or said == "!!"
-                if said or (name in AROUND and not (name == "header" and above.inside)):
+                if said or (name in AROUND and not (name in WITHIN and above.inside)):
                     path.hint += AGAINST
                 path.holder = len(paths) if name in HOLDS else above.holder
                 known[key] = len(paths)
@@ -286,11 +291,13 @@ def select(page: Page) -> list[bool]:
         every[page.parent[e]] += every[e]
     # The nearest content element at or above each element; the body holds the whole page, so what stands beside its paragraphs is not theirs.
     held = [False] * n
+    own = [False] * n  # lists that an article's container holds: lists of links too, if nothing speaks against them
     for e in range(1, n):
         p, up = page.paths[page.path[e]], page.parent[e]
         against = p.readers or p.hint < page.paths[p.parent].hint
+        own[e] = not against and p.inside and (own[up] or (held[up] and p.name in LISTS))
         held[e] = not against and (held[up] or (p.name in HOLDS and p.name not in ("body", "html") and good[e] > 0 and 2 * good[e] >= every[e]))
-    return [page.path[e] in passed or (held[e] and 2 * linked[part[e]] <= whole[part[e]]) for e, _, _, _ in page.nodes]
+    return [page.path[e] in passed or (held[e] and (own[e] or 2 * linked[part[e]] <= whole[part[e]])) for e, _, _, _ in page.nodes]
 
 
 def main_text(html: str | None) -> str:

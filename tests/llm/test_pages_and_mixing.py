@@ -273,3 +273,13 @@ def test_mixed_documents_keep_to_the_given_weights_over_many_periods(docs):
     got = mixing.mix(docs(rows), weights={"a": 1.0, "b": 1.0, "c": 1.0}, block=100).collect()
     for r in got:
         assert abs(r.block - r.slot / 3) < 1 and abs(r.block + 1 - (r.slot + 1) / 3) < 1
+
+
+def test_what_stands_inside_an_article_stays():
+    text = main_text
+    assert text("<article><h1>T</h1><p>See the list of sources, which follows here, and more text of the article.</p><ul><li><a href=1>Source one</a></li><li><a href=2>Source two</a></li></ul><p>Then more prose, with commas, and so on.</p></article>").count("Source") == 2
+    assert "The brief was filed" in text("<article><p>Some words here, to begin.</p><section class='social-science'><p>About the science, which is social.</p></section><p class='reply-brief'>The brief was filed, they said.</p></article>")
+    page = "<article><p>Some words here, to begin with it all.</p><figure><img src=x><figcaption>What the figure shows.</figcaption></figure><p>The formula <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><object data=y>Fallback text</object></article>"
+    assert text(page) == "Some words here, to begin with it all. What the figure shows. The formula x=1 holds. Fallback text"
+    around = "<article><p>" + "Prose, and more of it, as the article goes on. " * 6 + "</p><ul class='related-links'><li><a href=1>Other</a></li><li><a href=2>Post</a></li></ul><div class=comments><p>First comment, by a reader, long enough.</p></div></article>"
+    assert "Other" not in text(around) and "comment" not in text(around)
