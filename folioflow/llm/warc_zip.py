@@ -5,7 +5,9 @@ and ``indexes/index.tsv`` (offset and length of each record). Sizes and offsets
 use ZIP64 fields. Reading parses the end record, the ZIP64 end record if the
 first one says so, the central directory and the local headers; the index then
 gives the byte range of each record in the archive file, and only those ranges
-are read.
+are read. Archives of others are read alike: any stored members with the endings
+``.warc`` or ``.warc.gz`` (a gzip member for each record), located by this index or
+by CDXJ lines, and walked from record to record where no index names them.
 
 Tasks write archives under names of their own attempt and report them; only
 reported archives count, so a lost or repeated task leaves no record twice.
@@ -14,8 +16,10 @@ reported archives count, so a lost or repeated task leaves no record twice.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
+import json
 import struct
 import uuid
 import zlib
@@ -32,6 +36,8 @@ LEAST_SHARED = 1_000
 #: Bytes of records after which a task begins another archive.
 ARCHIVE = 32 << 20
 
+#: Bytes that are read at once where records are walked.
+STEP = 1 << 18
 #: Groups of copies up to this number (some 60 bytes each) are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -39,6 +45,7 @@ BROADCAST_ROWS = 500_000
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 LOCAL_F, CENTRAL_F, END_F, END64_F, LOCATOR64_F = "<4s5H3I2H", "<4s6H3I5H2I", "<4s4H2IH", "<4sQ2H2I4Q", "<4sIQI"
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
+GZIP = b"\x1f\x8b"
 
 
 # ---------------------------------------------------------------- ZIP
@@ -134,20 +141,98 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes | None, siz
     return "\r\n".join(["WARC/1.1", *(f"{k}: {v}" for k, v in fields.items())]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(data: bytes) -> dict:
-    """Fields of one record, its payload checked against its digest."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    first, *lines = head.decode().split("\r\n")
+def record_fields(head: bytes) -> dict[str, str]:
+    """The header of a record: names in lower case, white space around values and folded lines taken away."""
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = dict(line.split(": ", 1) for line in lines)
-    block = rest[: int(fields["Content-Length"])]
-    sha1 = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    payload = block.partition(b"\r\n\r\n")[2] if fields["WARC-Type"] == "response" else None
-    if payload is not None and (hashlib.sha1(payload).hexdigest() != sha1 or len(payload) != int(fields["X-Payload-Length"])):
-        raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
+    out, last = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+            continue
+        name, _, value = line.partition(":")
+        last = name.strip().lower()
+        out[last] = value.strip()
+    return out
+
+
+def parse_record(data: bytes) -> dict:
+    """Fields of one record (gzipped or not), its payload checked against its digest where that is a SHA-1. What a record does not say is null, its payload's size and digest come from the payload."""
+    if data[:2] == GZIP:
+        data = zlib.decompress(data, 31)
+    head, _, rest = data.partition(b"\r\n\r\n")
+    fields = record_fields(head)
+    block, kind = rest[: int(fields["content-length"])], fields["warc-type"]
+    payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
+    name, _, stated = fields.get("warc-payload-digest", "").partition(":")
+    sha1 = None
+    if name.lower() == "sha1":
+        sha1 = stated.lower() if len(stated) == 40 else base64.b32decode(stated.upper()).hex()
     whole = lambda k: int(fields[k]) if k in fields else None
-    return {"page_id": whole("X-Page-Id"), "url": unquote(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None, "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": sha1, "record_type": fields["WARC-Type"], "refers_to": whole("X-Refers-To-Page"), "payload": payload}
+    size = whole("x-payload-length")
+    if payload is not None:
+        own = hashlib.sha1(payload).hexdigest()
+        if sha1 not in (None, own) or size not in (None, len(payload)):
+            raise ValueError(f"payload of {fields.get('warc-record-id')} does not match its digest")
+        sha1, size = own, len(payload)
+    return {"page_id": whole("x-page-id"), "url": unquote(fields["warc-target-uri"].strip("<>")) if "warc-target-uri" in fields else None, "payload_bytes": size, "payload_digest": sha1, "record_type": kind, "refers_to": whole("x-refers-to-page"), "payload": payload}
+
+
+def walk_records(f, start: int, size: int, gzipped: bool):
+    """Offset and length of each record of a member that no index names: headers are read, blocks are passed over; gzip members are read to their ends."""
+    at, end = start, start + size
+    while at < end:
+        f.seek(at)
+        if gzipped:
+            unpress, length = zlib.decompressobj(31), 0
+            while not unpress.eof:
+                chunk = f.read(min(STEP, end - at - length))
+                if not chunk:
+                    raise ValueError("a record ends with its member")
+                unpress.decompress(chunk)
+                length += len(chunk) - len(unpress.unused_data)
+        else:
+            head = b""
+            while (cut := head.find(b"\r\n\r\n")) < 0:
+                chunk = f.read(min(4096, end - at - len(head)))
+                if not chunk:
+                    raise ValueError("a record ends with its member")
+                head += chunk
+            length = cut + 4 + int(record_fields(head[:cut])["content-length"]) + 4
+        yield at, length
+        at += length
+
+
+def record_ranges(f, size: int):
+    """Offset and length in the archive of every record, by the archive's directory and indexes."""
+    members = central_directory(f, size)
+    data = {n: m for n, m in members.items() if n.lower().endswith((".warc", ".warc.gz"))}
+    if packed := [n for n, m in data.items() if m[0] != 0]:
+        raise ValueError(f"members that are not stored cannot be read by range: {packed[:3]}")
+    starts = {n: member_start(f, m[3]) for n, m in data.items()}
+    by_base = {n.rpartition("/")[2]: n for n in data}
+    found: dict[str, dict[int, int]] = {n: {} for n in data}
+    for name, (method, stored, _, where) in members.items():
+        if method or not name.lower().endswith((".tsv", ".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")):
+            continue
+        f.seek(member_start(f, where))
+        text = f.read(stored)
+        text = gzip.decompress(text) if text[:2] == GZIP else text
+        for line in text.decode("utf-8", "replace").splitlines():
+            if name.lower().endswith(".tsv"):
+                offset, length = line.split("\t")
+                (found[next(iter(data))])[int(offset)] = int(length)
+            elif (brace := line.find("{")) >= 0:
+                entry = json.loads(line[brace:])
+                owner = by_base.get(str(entry.get("filename", "")).rpartition("/")[2])
+                if owner and "offset" in entry and "length" in entry:
+                    found[owner][int(entry["offset"])] = int(entry["length"])
+    for name, m in data.items():
+        if found[name]:
+            yield from ((starts[name] + at, length) for at, length in sorted(found[name].items()))
+        else:
+            yield from walk_records(f, starts[name], m[2], name.lower().endswith(".gz"))
 
 
 # ---------------------------------------------------------------- tables
@@ -204,19 +289,14 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
 
 def read_archives(archives: DataFrame, payload: bool = False) -> DataFrame:
-    """Every record of the archives: ``page_id, payload_bytes, payload_digest, record_type, refers_to, url`` (and ``payload``)."""
+    """Every response and revisit of the archives (``uri, size``): ``page_id, payload_bytes, payload_digest, record_type, refers_to, url`` (and ``payload``). Records of other kinds are passed over."""
 
     def ranges(batches):
         for b in batches:
             for uri, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 with open_for_read(uri) as f:
-                    members = central_directory(f, size)
-                    if any(m[0] != 0 for m in members.values()):
-                        raise ValueError(f"{uri} has compressed members")
-                    start = member_start(f, members["archive/data.warc"][3])
-                    f.seek(member_start(f, members["indexes/index.tsv"][3]))
-                    pairs = [tuple(map(int, x.split("\t"))) for x in f.read(members["indexes/index.tsv"][2]).decode().splitlines()]
-                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(pairs)), pa.array([start + p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["uri", "at", "length"])
+                    pairs = [*record_ranges(f, size)]
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(pairs)), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["uri", "at", "length"])
 
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string()} | ({"payload": pa.binary()} if payload else {})
 
@@ -230,7 +310,9 @@ def read_archives(archives: DataFrame, payload: bool = False) -> DataFrame:
                         f.close()
                     held, f = uri, open_for_read(uri)
                 f.seek(at)
-                rows.append(parse_record(f.read(length)))
+                row = parse_record(f.read(length))
+                if row["record_type"] in ("response", "revisit"):
+                    rows.append(row)
                 if len(rows) == 512:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], names=list(kinds))
                     rows = []

@@ -283,3 +283,51 @@ def test_what_stands_inside_an_article_stays():
     assert text(page) == "Some words here, to begin with it all. What the figure shows. The formula x=1 holds. Fallback text"
     around = "<article><p>" + "Prose, and more of it, as the article goes on. " * 6 + "</p><ul class='related-links'><li><a href=1>Other</a></li><li><a href=2>Post</a></li></ul><div class=comments><p>First comment, by a reader, long enough.</p></div></article>"
     assert "Other" not in text(around) and "comment" not in text(around)
+
+
+@pytest.mark.parametrize("index", ["cdxj", "cdx.gz", "none"])
+@pytest.mark.parametrize("packed", [False, True])
+def test_archives_of_others_are_read(spark, tmp_path, index, packed):
+    import gzip
+    import json
+
+    from folioflow.llm import warc_zip
+
+    def record(kind, url, payload, digest):
+        block = f"HTTP/1.1 200 OK\r\nX: {'y' * 5000}\r\n\r\n".encode() + payload if kind == "response" else b"a: b\r\n\r\n"
+        lines = ["WARC/1.0", f"warc-type:{kind}", "WARC-Record-ID: <urn:x>", "Content-Type: application/http;", " msgtype=response", f"Content-Length:  {len(block)}"]
+        lines += ([f"WARC-Target-URI: <{url}>"] if url else []) + ([f"WARC-Payload-Digest: {digest}"] if digest else [])
+        data = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        return gzip.compress(data) if packed else data
+
+    import base64
+
+    one, two, three = b"<p>one</p>" * 300, "zwei ü".encode(), b""
+    sha = lambda x: hashlib.sha1(x)
+    files = {
+        "archive/a.warc": [record("warcinfo", None, b"", None), record("response", "http://x/1", one, "sha1:" + base64.b32encode(sha(one).digest()).decode())],
+        "archive/b.warc": [record("response", "http://x/2", two, "sha256:abc"), record("request", "http://x/2", b"", None), record("response", "http://x/3", three, "SHA1:" + sha(three).hexdigest()), record("revisit", "http://x/1", b"", "sha1:" + sha(one).hexdigest())],
+    }
+    lines, members = [], []
+    for name, records in files.items():
+        name += ".gz" * packed
+        at = 0
+        for r in records:
+            lines.append("com,x)/ 2024 " + json.dumps({"filename": name.rpartition("/")[2], "offset": str(at), "length": len(r)}))
+            at += len(r)
+        members.append((name, b"".join(records)))
+    text = "\n".join(lines).encode()
+    members += [] if index == "none" else [(f"indexes/index.{index}", gzip.compress(text) if index.endswith("gz") else text)]
+    path = tmp_path / "other.wacz"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("datapackage.json", "{}" * 500, zipfile.ZIP_DEFLATED)
+        for name, data in members:
+            z.writestr(name, data)
+    frame = spark.createDataFrame([(f"file://{path}", path.stat().st_size)], "uri string, size long")
+    got = sorted((r.url, r.record_type, r.payload_bytes, r.payload_digest, r.payload) for r in warc_zip.read_archives(frame, payload=True).collect())
+    want = [("http://x/1", "response", len(one), sha(one).hexdigest(), one), ("http://x/1", "revisit", None, sha(one).hexdigest(), None), ("http://x/2", "response", len(two), sha(two).hexdigest(), two), ("http://x/3", "response", 0, sha(three).hexdigest(), three)]
+    assert [(*g[:4], g[4] and bytes(g[4])) for g in got] == [(*w[:4], w[4] and bytes(w[4])) for w in want]
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("archive/a.warc", one, zipfile.ZIP_DEFLATED)
+    with open(tmp_path / "bad.zip", "rb") as f, pytest.raises(ValueError, match="not stored"):
+        list(warc_zip.record_ranges(f, (tmp_path / "bad.zip").stat().st_size))
