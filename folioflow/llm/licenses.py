@@ -67,6 +67,28 @@ TEMPLATES = {
     "cc0": ["( released | dedicated ) ( under | to ) [ the ] ( cc0 | public domain ) [ 1 0 ] [ universal ]", "to the extent possible under law {holder 1 12} has waived all copyright and related or neighboring rights to"],
     "reserved": ["copyright {holder 1 12} all rights reserved"],
 }
+# Identifiers in source files, after the words "SPDX-License-Identifier".
+_IDENTIFIER = "spdx license identifier "
+_ANY = " {version 1 2} [ ( only | or later ) ]"
+IDENTIFIERS = {
+    "apache-2.0": "apache 2 0", "mit": "mit", "bsd-2-clause": "bsd 2 clause", "bsd-3-clause": "bsd 3 clause", "isc": "isc", "zlib": "zlib", "unlicense": "unlicense", "gpl": "gpl" + _ANY, "lgpl": "lgpl" + _ANY, "agpl": "agpl" + _ANY,
+    "mpl-2.0": "mpl 2 0", "epl": "epl {version 1 2}", "cc-by-4.0": "cc by 4 0", "cc-by-sa": "cc by sa {version 1 2}", "cc-by-nc": "cc by nc {version 1 2}", "cc0": "cc0 1 0",
+}
+# How the terms themselves begin.
+_VERBATIM = "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed "
+_COPYRIGHT = " copyright c {years 1 2} free software foundation inc {address 0 16} "
+TERMS = {
+    "apache-2.0": "terms and conditions for use reproduction and distribution 1 definitions license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting the license",
+    "gpl": "gnu general public license version {version 1 4}" + _COPYRIGHT + _VERBATIM + "preamble ( the gnu general public license is a free copyleft license for software and other kinds of works | the licenses for most software are designed to take away your freedom to share and change it )",
+    "lgpl": "gnu lesser general public license version {version 1 4}" + _COPYRIGHT + _VERBATIM + "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license",
+    "agpl": "gnu affero general public license version {version 1 4}" + _COPYRIGHT + _VERBATIM + "preamble the gnu affero general public license is a free copyleft license for software and other kinds of works",
+    "mpl-2.0": "mozilla public license version 2 0 1 definitions 1 1 contributor means each individual or legal entity that creates contributes to the creation of or owns covered software",
+    "cc-by-4.0": "creative commons attribution 4 0 international public license by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution 4 0 international public license",
+}
+for _label, _text in IDENTIFIERS.items():
+    TEMPLATES.setdefault(_label, []).append(_IDENTIFIER + _text)
+for _label, _text in TERMS.items():
+    TEMPLATES[_label].append(_text)
 #: A run that is not accepted counts for the score from so many matched words on.
 LEAST_RUN = 8
 

@@ -240,6 +240,28 @@ def test_classes_that_the_pigeonhole_could_miss_equal_brute_force(docs, monkeypa
     assert got == brute_components(rows) and len({r[2] for r in got}) < len(rows)
 
 
+def test_identifiers_and_terms():
+    labels = lambda t: {a[2] for a in licenses.scan_words(licenses.alnum_words(t))[1]}
+    assert labels("# SPDX-License-Identifier: Apache-2.0\n") == {"apache-2.0"} and labels("// SPDX-License-Identifier: GPL-3.0-or-later") == {"gpl"}
+    assert labels("SPDX-License-Identifier: MIT") == {"mit"} and labels("SPDX-License-Identifier: CC-BY-NC-4.0") == {"cc-by-nc"} and labels("SPDX-License-Identifier: Own-1.0") == set()
+    apache = """TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+
+      "Licensor" shall mean the copyright owner or entity authorized by
+      the copyright owner that is granting the License."""
+    assert labels(apache) == {"apache-2.0"} and labels(apache.replace("Sections 1", "Sections 2")) == set()
+    gpl = """GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
+ Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works."""
+    assert labels(gpl) == {"gpl"}
+    assert labels('Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.') == {"mpl-2.0"}
+
+
 def test_licenses():
     scan = lambda t: licenses.scan_words(licenses.alnum_words(t))
     base, accepted, share = scan("Licensed under CC BY-NC 4.0. All rights reserved; all RIGHTS reserved")
@@ -305,7 +327,7 @@ def test_every_template_accepts_its_wordings_and_no_other():
 
 
 def test_a_license_that_breaks_off_scores_its_share():
-    (full,) = licenses.TEMPLATES["zlib"]
+    full = licenses.TEMPLATES["zlib"][0]
     words = [w.encode() for w in full.split() if w not in "[]123"]
     a = licenses.compile_template("zlib", full)
     assert a.left()[0] == len(words)
