@@ -63,11 +63,12 @@ def over_schema(records: DataFrame, fields: DataFrame, record: str = "prediction
     """
     keep = keep or [c for c in records.columns if c != record]
     names = [r.field for r in fields.select("field").orderBy("ordinal").collect()]
-    # Parsed once a row, into a map of its top-level values as JSON text; each field is a lookup in it.
-    values = F.from_json(F.when(parse_or_null(record).isNotNull(), F.to_json(parse_or_null(record))), "map<string,variant>", {"mode": "PERMISSIVE"})
-    rows = records.select(*keep, values.alias("_m")).select(*keep, "_m", F.explode(F.array(*map(F.lit, names))).alias("field"))
-    value = F.to_json(F.try_element_at("_m", F.col("field")))
-    return rows.select(*keep, "field", F.when(value != "null", value).alias("value_json"))
+    # Parsed once a row; each field is read out of the variant. A name is quoted in the path.
+    rows = records.select(*keep, parse_or_null(record).alias("_v"))
+    path = lambda n: "$['" + n.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    entries = F.array(*[F.struct(F.lit(n).alias("field"), F.try_variant_get("_v", path(n), "variant").alias("v")) for n in names])
+    found = rows.select(*keep, F.explode(entries).alias("e")).select(*keep, "e.field", "e.v")
+    return found.select(*keep, "field", F.when(~F.is_variant_null("v"), F.to_json("v")).alias("value_json"))
 
 
 def pivot(cells: DataFrame, doc: str = KEY) -> DataFrame:

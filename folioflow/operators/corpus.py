@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.scalars import hash_bucket, order_statistics
+from folioflow.functions.scalars import hash_bucket
 from folioflow.operators.ranks import BLOCK, drawn, global_ranks, splits
 
 
@@ -75,13 +75,30 @@ def one_shot(candidates: DataFrame, sample: DataFrame, key: str = "contract_name
 
 
 def split_summary(chunks: DataFrame, by: str = "split", doc: str = "contract_name", tokens: str = "input_tokens_approx", fits: int = 31_000) -> DataFrame:
-    """AGG13, AGG16, FLT11: documents, chunks, median and most chunks of a document, token p50, p95 and most, percent that fit, counts of boundary kinds."""
-    per = chunks.groupBy(by, doc).agg(F.count(F.lit(1)).alias("k"))
-    documents = per.groupBy(by).agg(F.count(F.lit(1)).alias("n_documents"), F.max("k").alias("most_chunks")).join(order_statistics(per, [by], "k", {"median_chunks": 0.5}), by)
-    kinds = [F.count_if(F.col("boundary_kind") == k).alias(f"n_{k}") for k in ("article", "section", "paragraph", "sentence", "eof", "hard")]
-    size = chunks.groupBy(by).agg(F.count(F.lit(1)).alias("n_chunks"), F.max(tokens).alias("tokens_max"), (F.avg(F.when(F.col(tokens) < fits, 1.0).otherwise(0.0)) * 100).alias("fits_percent"), *kinds)
-    ranks = order_statistics(chunks, [by], tokens, {"tokens_p50": 0.5, "tokens_p95": 0.95})
-    return documents.join(size, by).join(ranks, by)
+    """AGG13, AGG16, FLT11: documents, chunks, median and most chunks of a document, token p50, p95 and most, percent that fit, counts of boundary kinds.
+
+    Chunks are read once: grouping sets count them by document and by size, and
+    all figures, order statistics too, come from these counts without a join.
+    """
+    sets = chunks.groupingSets([[by, doc], [by, tokens, "boundary_kind"]], by, doc, tokens, "boundary_kind").agg(F.count(F.lit(1)).alias("_n"), (F.grouping_id() == 3).alias("_docs"))
+    value, weight = F.when(F.col("_docs"), F.col("_n")).otherwise(F.col(tokens)), F.when(F.col("_docs"), 1).otherwise(F.col("_n"))
+    kinds = ("article", "section", "paragraph", "sentence", "eof", "hard")
+    of_kind = [F.sum(F.when(F.col("boundary_kind") == k, F.col("_n")).otherwise(0)).alias(f"n_{k}") for k in kinds]
+    counted = sets.select("*", value.alias("_x"), weight.alias("_w")).groupBy(by, "_docs", "_x").agg(F.sum("_w").alias("_w"), *of_kind)
+    known = F.sum(F.when(F.col("_x").isNotNull(), F.col("_w")).otherwise(0))
+    ranked = counted.withColumns({"_upto": known.over(Window.partitionBy(by, "_docs").orderBy(F.col("_x").asc_nulls_first())), "_total": known.over(Window.partitionBy(by, "_docs"))})
+    docs, own = F.col("_docs"), ~F.col("_docs")
+
+    def at(p: float, which: Column) -> Column:
+        place = F.least(F.floor(F.col("_total") * F.lit(p)), F.col("_total") - 1)
+        return F.min(F.when(which & (F.col("_upto") > place), F.col("_x")))
+
+    total = F.sum(F.when(own, F.col("_w")))
+    return ranked.groupBy(by).agg(
+        F.sum(F.when(docs, F.col("_w"))).alias("n_documents"), F.max(F.when(docs, F.col("_x"))).alias("most_chunks"), at(0.5, docs).alias("median_chunks"), total.alias("n_chunks"), F.max(F.when(own, F.col("_x"))).alias("tokens_max"),
+        (F.sum(F.when(own & (F.col("_x") < fits), F.col("_w")).otherwise(0)).cast("double") / total * 100).alias("fits_percent"), *[F.sum(F.when(own, F.col(f"n_{k}"))).alias(f"n_{k}") for k in kinds],
+        at(0.5, own).alias("tokens_p50"), at(0.95, own).alias("tokens_p95"),
+    )
 
 
 def union_splits(parts: dict[str, DataFrame]) -> DataFrame:
