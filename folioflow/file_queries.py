@@ -270,6 +270,23 @@ def snk04_run_report(spark, sf):
     return spark.createDataFrame([(x,) for x in lines], "line string")
 
 
+_OUT = "CASE WHEN {p} IS NULL AND gk IS NULL THEN 'correct_abstain' WHEN gk IS NULL THEN 'hallucination' WHEN {p} IS NULL THEN 'over_abstain' WHEN {p} = gk THEN 'correct_value' ELSE 'wrong_value' END"
+
+
+@query(f"""{_RUN} SELECT mapped, outcome, count(*) AS n FROM (SELECT true AS mapped, {_OUT.format(p='p')} AS outcome FROM u LEFT JOIN k USING (user_id) UNION ALL SELECT false, {_OUT.format(p="replace(p, chr(34), chr(39))")} FROM u LEFT JOIN k USING (user_id)) GROUP BY ALL""")
+def dic05_with_and_without_a_dictionary(spark, sf):
+    """Outcomes of a run whose values were rewritten for the model: with the dictionary given, and without it."""
+    events = t(spark, sf, "events")
+    who = F.col("user_id").cast("string").alias("contract_name")
+    spoken = F.when(F.col("event_type") == "signup", "say 'up'").otherwise(F.col("event_type"))
+    preds = events.select(who, F.col("event_id").alias("chunk_id"), F.to_json(F.struct(F.when(F.col("event_id") % 6 != 0, spoken).alias("kind"))).alias("prediction"))
+    golds = events.select(who, F.col("event_id").alias("chunk_id"), F.to_json(F.struct(F.when(F.col("user_id") % 4 == 1, 'say "up"').when(F.col("user_id") % 4 != 0, "click").alias("kind"))).alias("gold"))
+    dimension = spark.createDataFrame([(0, "kind", "single_choice", False, [])], fields.FIELDS)
+    words = spark.createDataFrame([("kind", 'say "up"', "say 'up'")], "field string, canonical string, modified string")
+    counts = lambda given: lifecycle.merge_and_score(preds, golds, dimension, words if given else None)["scored"].groupBy(F.lit(given).alias("mapped"), "outcome").agg(F.count(F.lit(1)).alias("n"))
+    return counts(True).union(counts(False))
+
+
 @query("SELECT n_name AS name, CASE n_nationkey % 3 WHEN 0 THEN 'moved' WHEN 1 THEN 'unchanged' ELSE 'not_checked' END AS status FROM nation")
 def src14_heads(spark, sf):
     """Recorded heads of repositories beside those of now: a warning, not an error."""

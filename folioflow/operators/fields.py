@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,36 @@ def load_fields(spark: SparkSession, schema: str | dict) -> DataFrame:
     return spark.createDataFrame(rows, FIELDS)
 
 
+def schema_fields(schemas: DataFrame, schema: str = "schema") -> DataFrame:
+    """SRC12, CLS03, CLS04 over a table of JSON Schemas (text): the other columns with ``ordinal, field, kind, is_multilabel, labels`` for each property, in the order of the text. Null and unparseable schemas have none."""
+    others = [c for c in schemas.columns if c != schema]
+    props = F.from_json(F.get_json_object(schema, "$.properties"), "map<string,string>")
+    rows = schemas.select(*others, F.posexplode(props).alias("ordinal", "field", "_p"))
+    items = F.get_json_object("_p", "$.items")
+    has = lambda text, key: F.coalesce(F.array_contains(F.json_object_keys(text), key), F.lit(False))
+    text = F.get_json_object("_p", "$.type")
+    types = F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>")).when(text.isNotNull(), F.array(text)).otherwise(F.array().cast("array<string>"))
+    listed = F.array_contains(types, "array")
+    kind = F.when(has(F.col("_p"), "enum"), "single_choice").when(listed & has(items, "enum"), "multilabel").when(types == F.array(F.lit("string")), "meta").otherwise("freetext")
+    union = F.coalesce(listed & (F.get_json_object("_p", "$.items.type") == "string") & has(items, "enum"), F.lit(False))
+    enum = F.from_json(F.coalesce(F.get_json_object("_p", "$.enum"), F.get_json_object("_p", "$.items.enum"), F.lit("[]")), "array<variant>")
+    labels = F.transform(F.filter(enum, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string"))
+    return rows.select(*others, "ordinal", "field", kind.alias("kind"), union.alias("is_multilabel"), labels.alias("labels"))
+
+
+def rewritten(schemas: DataFrame, rewrite: Callable[[dict], dict], schema: str = "schema") -> DataFrame:
+    """DIC07 to DIC09 over a table of JSON Schemas: each rewritten in its row, as JSON with sorted keys; null ones stay."""
+    names = schemas.columns
+    place = names.index(schema)
+
+    def run(batches):
+        for b in batches:
+            texts = [None if x is None else json.dumps(rewrite(json.loads(x)), ensure_ascii=False, sort_keys=True, separators=(",", ":")) for x in b.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else c for i, c in enumerate(b.columns)], names=names)
+
+    return schemas.mapInArrow(run, schemas.schema)
+
+
 def quote_dictionary(fields: DataFrame) -> DataFrame:
     """DIC01, DIC06, FLT09: (field, canonical, modified) for labels with a double quote, which becomes a single one."""
     labels = fields.select("field", F.explode("labels").alias("canonical")).where(F.contains("canonical", F.lit('"')))

@@ -484,6 +484,39 @@ _schema_query("dic08_without_annotations", fields.strip_annotations)
 _schema_query("dic09_for_grammar", fields.for_grammar)
 
 
+# A schema for each part: its brand and type as choices, its size as a label.
+_SCHEMA_TEXT = """'{"$schema":"d","title":"T","type":"object","x-own":1,"properties":{"contract_name":{"type":"string"},"brand":{"type":["string","null"],"enum":["' || p_brand || '","' || p_type || '",null],"description":"q"},"size":{"type":["array","null"],"items":{"type":"string","enum":["s' || p_size || '"]},"uniqueItems":true,"minItems":1},"loose":{"type":["array","null"],"items":{"enum":[1,"z"]}},"note":{"type":["string","null"],"pattern":"p"}}}'"""
+
+
+def _schemas(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "part").select("p_partkey", F.expr(_SCHEMA_TEXT).alias("schema"))
+
+
+@query("SELECT p_partkey, f.* FROM part, LATERAL (VALUES (0, 'contract_name', 'meta', false, ''), (1, 'brand', 'single_choice', false, p_brand || '|' || p_type), (2, 'size', 'multilabel', true, 's' || p_size), (3, 'loose', 'multilabel', false, 'z'), (4, 'note', 'freetext', false, '')) AS f(ordinal, field, kind, is_multilabel, labels)")
+def src12_fields_of_schemas(spark, sf):
+    """The fields of every part's schema with both rules for kinds (CLS03, CLS04), as column expressions."""
+    return fields.schema_fields(_schemas(spark, sf)).withColumn("labels", F.array_join("labels", "|"))
+
+
+_ENUM = """["' || p_brand || '","' || p_type || '",null]"""
+_LABEL = """["s' || p_size || '"]"""
+
+
+@query(f"""SELECT p_partkey, '{{"properties":{{"brand":{{"description":"q","enum":{_ENUM},"type":["string","null"]}},"contract_name":{{"type":"string"}},"loose":{{"items":{{"enum":[1,"z"]}},"type":["array","null"]}},"note":{{"type":["string","null"]}},"size":{{"items":{{"enum":{_LABEL},"type":"string"}},"type":["array","null"]}}}},"title":"T","type":"object"}}' AS schema FROM part""")
+def dic07_schemas_without_validation(spark, sf):
+    return fields.rewritten(_schemas(spark, sf), fields.strip_validation)
+
+
+@query(f"""SELECT p_partkey, '{{"properties":{{"brand":{{"description":"q","enum":{_ENUM},"type":["string","null"]}},"contract_name":{{"type":"string"}},"loose":{{"items":{{"enum":[1,"z"]}},"type":["array","null"]}},"note":{{"pattern":"p","type":["string","null"]}},"size":{{"items":{{"enum":{_LABEL},"type":"string"}},"minItems":1,"type":["array","null"]}}}},"title":"T","type":"object"}}' AS schema FROM part""")
+def dic08_schemas_without_annotations(spark, sf):
+    return fields.rewritten(_schemas(spark, sf), fields.strip_annotations)
+
+
+@query(f"""SELECT p_partkey, '{{"properties":{{"brand":{{"anyOf":[{{"type":"null"}},{{"enum":{_ENUM},"type":"string"}}]}},"contract_name":{{"type":"string"}},"loose":{{"anyOf":[{{"type":"null"}},{{"items":{{"enum":[1,"z"]}},"type":"array"}}]}},"note":{{"anyOf":[{{"type":"null"}},{{"pattern":"p","type":"string"}}]}},"size":{{"anyOf":[{{"type":"null"}},{{"items":{{"enum":{_LABEL},"type":"string"}},"minItems":1,"type":"array"}}]}}}},"type":"object"}}' AS schema FROM part""")
+def dic09_schemas_for_grammar(spark, sf):
+    return fields.rewritten(_schemas(spark, sf), fields.for_grammar)
+
+
 # ---------------------------------------------------------------- extraction
 
 

@@ -153,3 +153,20 @@ def test_published_conflicts_come_out_of_their_votes(spark, run):
         r = got[f"c{i}"]
         assert r["values"] == [json.dumps(a) for a, _ in answers] and r.vote_distribution == {json.dumps(a): n for a, n in answers}
         assert (r.mode, r.picked) == (("majority_vote", json.dumps(answers[0][0])) if answers[0][1] == 2 else ("tie_to_null", None))
+
+
+def test_schema_fields_as_columns_equal_the_rules(spark):
+    import random
+
+    rng = random.Random(3)
+    props = [
+        {"type": "string"}, {"type": ["string"]}, {"type": ["string", "null"]}, {"enum": ["a", None, 1]}, {"type": "array", "items": {"type": "string", "enum": ["x", 'say "y"']}}, {"type": ["array", "null"], "items": {"enum": [1, "z"]}},
+        {"type": ["array"], "items": {"type": "string"}}, {"type": "array"}, {}, {"type": "integer", "enum": []}, {"type": ["null", "array"], "items": {"type": ["string"], "enum": ["q"]}, "description": "enum"},
+    ]
+    schemas = [{"properties": {f"f{i} é'": p for i, p in enumerate(rng.sample(props, rng.randrange(len(props))))}} for _ in range(12)]
+    rows = [(i, json.dumps(x, ensure_ascii=False)) for i, x in enumerate(schemas)] + [(90, None), (91, "{"), (92, "{}")]
+    got = fields.schema_fields(spark.createDataFrame(rows, "i long, schema string")).orderBy("i", "ordinal").collect()
+    want = [(i, k, n, fields.field_kind(p), fields.is_multilabel(p), [x for x in (p.get("enum") or p.get("items", {}).get("enum") or []) if isinstance(x, str)]) for i, x in enumerate(schemas) for k, (n, p) in enumerate(x["properties"].items())]
+    assert [tuple(r) for r in got] == want
+    back = fields.rewritten(spark.createDataFrame(rows[:12] + [(90, None)], "i long, schema string"), fields.for_grammar).orderBy("i").collect()
+    assert [r.schema and json.loads(r.schema) for r in back] == [*map(fields.for_grammar, schemas), None]
