@@ -26,9 +26,13 @@ from folioflow.sources.scratch import remove, scratch  # noqa: F401  for the ope
 # ---------------------------------------------------------------- scratch tables
 
 
-def materialize(df: DataFrame, path: str) -> DataFrame:
+#: Options of Parquet for rows of megabytes: a row group, which writers and readers hold whole, has at most two. By default sizes are looked at after 100 rows first, and count as compressed.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.row.count.limit": 2, "parquet.page.size.row.check.min": 1}
+
+
+def materialize(df: DataFrame, path: str, **options) -> DataFrame:
     """Write df as Parquet and read it back: a cut of the lineage that survives lost executors."""
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

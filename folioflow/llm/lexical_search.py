@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import ALNUM, arrow_type, in_worker, materialize, quoted, remove, runs, scratch, text_bytes, text_slices
+from folioflow.llm.common import ALNUM, LARGE_ROWS, arrow_type, in_worker, materialize, quoted, remove, runs, scratch, text_bytes, text_slices
 
 #: Bytes of text and documents of a shard, at most, but for a single text that is longer; places in a shard fit 16 bits.
 SHARD_BYTES, SHARD_DOCS = 8 << 20, 1 << 16
@@ -182,7 +182,7 @@ def build_index(docs: DataFrame, folder: str, text: str = "text", doc_id: str =
     """
     spark = docs.sparkSession
     draft_path = scratch(spark, "draft")
-    draft = materialize(shards_of(docs, text, doc_id), draft_path)
+    draft = materialize(shards_of(docs, text, doc_id), draft_path, **LARGE_ROWS)
     sums = draft.agg(F.sum("n_docs").alias("n"), F.sum("n_terms").alias("l")).first()
     n_docs, n_terms = int(sums.n or 0), int(sums.l or 0)
 
@@ -199,7 +199,7 @@ def build_index(docs: DataFrame, folder: str, text: str = "text", doc_id: str =
                 yield pa.RecordBatch.from_arrays([_shard_terms(terms, ends), pa.array(np.diff(np.frombuffer(rows, "<u4").astype(np.int64)))], names=["term", "df"])
 
     id_list = draft.schema["ids"].dataType.simpleString()
-    shards = materialize(draft.mapInArrow(in_worker("search", weigh), f"ids {id_list}, terms binary, ends binary, rows binary, docs binary, impacts binary"), f"{folder}/shards")
+    shards = materialize(draft.mapInArrow(in_worker("search", weigh), f"ids {id_list}, terms binary, ends binary, rows binary, docs binary, impacts binary"), f"{folder}/shards", **LARGE_ROWS)
     dictionary = materialize(draft.select("terms", "ends", "rows").mapInArrow(in_worker("search", count), "term binary, df long").groupBy("term").agg(F.sum("df").alias("df")), f"{folder}/dictionary")
     spark.createDataFrame([(n_docs, n_terms)], "n_docs long, n_terms long").coalesce(1).write.parquet(f"{folder}/corpus")
     remove(spark, draft_path)

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from test_tokens import reference
@@ -217,3 +218,16 @@ def test_impacts_beyond_64_bits():
     n, total = 10**11, 10**14
     want = [(10**9 * t) // (1000 * t + 8 * (10 + 90 * int(x) * n // total)) for x, t in zip(lengths, (3, 1))]
     assert lexical_search.impacts_of(lengths, docs, tf, n, total).tolist() == want
+
+
+def test_shards_are_read_a_few_at_a_time(docs, spark, tmp_path):
+    """A task's shards are in row groups of bounded size, however many there are: a row group is in a reader's memory whole."""
+    text = " ".join(map(str, range(200_000)))
+    rows = docs([(i, text) for i in range(40)]).coalesce(1)
+    index = lexical_search.build_index(rows, f"file://{tmp_path}/index")
+    sizes = []
+    for path in (tmp_path / "index" / "shards").glob("*.parquet"):
+        about = pq.ParquetFile(path).metadata
+        sizes += [(about.row_group(i).num_rows, about.row_group(i).total_byte_size) for i in range(about.num_row_groups)]
+    assert sum(n for n, _ in sizes) == index.shards.count() > 4
+    assert max(size for _, size in sizes) < 32 << 20
