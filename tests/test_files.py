@@ -136,3 +136,16 @@ def test_append_missing_and_stream(spark, tmp_path):
     spark.createDataFrame([(2, "b"), (3, "c")], rows.schema).write.mode("append").parquet(source)
     resume.process_new_files(*args)
     assert sorted(r.k for r in sinks.appended(spark, str(tmp_path / "s")).collect()) == [1, 2, 3]
+
+
+def test_stream_over_a_table_in_one_file_or_in_many(spark, tmp_path):
+    """The name of a table picks its file, or all files of its folder, and nothing beside it."""
+    rows = spark.range(10).withColumnRenamed("id", "k")
+    rows.repartition(3).write.parquet(str(tmp_path / "in" / "many.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "in" / "one.parquet")
+    spark.range(90, 99).withColumnRenamed("id", "k").write.parquet(str(tmp_path / "in" / "other.parquet"))
+    for name, n in (("many.parquet", 10), ("one.parquet", 10), ("*.parquet", 19)):
+        for attempt in range(2):
+            resume.process_new_files(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / f"to-{n}-{name[0]}" / "t"), str(tmp_path / f"to-{n}-{name[0]}" / f"c{attempt}"), ["k"], glob=name)
+        assert sinks.appended(spark, str(tmp_path / f"to-{n}-{name[0]}" / "t")).count() == n
