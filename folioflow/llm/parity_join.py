@@ -59,8 +59,8 @@ BLOCKS, LEAST_BLOCKS = 0.42, 2_048
 CELLS, RANGES = 1 << 22, 64
 #: Entries of a bucket, about, at 16 bytes each; and entries that a task holds before it sends them.
 BUCKET, HELD = 1_000_000, 1_000_000
-#: A value of at most so many classes gives all its pairs; a larger one goes by central classes and a hub.
-ALL_PAIRS, CENTRAL = 32, 3
+#: A value of at most so many classes gives all its pairs; a larger one goes by central classes and a hub. Either gives at most CENTRAL + 1 rows for each of its entries.
+ALL_PAIRS, CENTRAL = 8, 3
 #: A value that is counted more often is in no bucket: its entries stay apart, so many in a row of their table, and meet its central classes in a map.
 HOT, HOT_ROW = 1 << 17, 1_024
 #: Shingles of a block of classes in step 5, about.

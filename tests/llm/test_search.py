@@ -346,3 +346,13 @@ def test_licenses_of_odd_rows(odd):
     rows = got.select("_row.doc_id", "n_words", "n_base", "first_word", "base_labels", got["score"]).collect()
     assert len(rows) == odd.count() and all(r.first_word is None and r.base_labels == "" and r.score == 0 for r in rows)
     assert licenses.scan_licenses(odd.limit(0)).count() == 0
+
+
+def test_rows_of_a_value_grow_with_its_classes():
+    """However many classes share a value, it gives no more than CENTRAL + 1 rows for each of them."""
+    for k in (2, 4, 8, 9, 16, 32, 33, 500):
+        entries = pj.np.zeros(k, pj._ENTRY)
+        entries["f1"] = pj.np.arange(1, k + 1)
+        pairs, hubs = pj.meet(entries)
+        assert len(pairs) + len(hubs) <= (pj.CENTRAL + 1) * k
+        assert len(hubs) == k or len(pairs) == k * (k - 1) // 2
