@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Spans of a document that are sought together.
 TOGETHER = 1_000
+#: Rows of a batch whose places are made together, and places that are held before they are sent.
+AT_ONCE, PLACES = 64, 1 << 15
 
 
 def _bins(start: Column, end: Column, width: int) -> Column:
@@ -32,6 +34,25 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int,
     return joined.where(fits & (F.floor(F.greatest(ls, rs) / width) == F.col("_bin"))).drop("_bin")
 
 
+def _places(texts: pa.Array, spans: pa.Array):
+    """Row, span, start and end of every place where a text holds one of its spans, in lists of at most ``PLACES``."""
+    at, found, first, last = [], [], [], []
+    for i in range(len(texts)):
+        automaton = ahocorasick.Automaton()
+        for s in spans[i].as_py():
+            automaton.add_word(s, s)
+        automaton.make_automaton()
+        for end, s in automaton.iter(texts[i].as_py()):
+            at.append(i)
+            found.append(s)
+            first.append(end + 1 - len(s))
+            last.append(end + 1)
+            if len(at) == PLACES:
+                yield at, found, first, last
+                at, found, first, last = [], [], [], []
+    yield at, found, first, last
+
+
 def occurrences(docs: DataFrame, spans: DataFrame, doc: str = "contract_name", text: str = "text", span: str = "span", together: int = TOGETHER) -> DataFrame:
     """doc, span, start, end: every place where a document holds one of its own spans, also where places overlap.
 
@@ -46,18 +67,10 @@ def occurrences(docs: DataFrame, spans: DataFrame, doc: str = "contract_name", t
 
     def run(batches):
         for b in batches:
-            at, found, first, last = [], [], [], []
-            for i, (t, those) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                automaton = ahocorasick.Automaton()
-                for s in those:
-                    automaton.add_word(s, s)
-                automaton.make_automaton()
-                for end, s in automaton.iter(t):
-                    at.append(i)
-                    found.append(s)
-                    first.append(end + 1 - len(s))
-                    last.append(end + 1)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=[doc, span, "start", "end"])
+            for low in range(0, b.num_rows, AT_ONCE):
+                few = b.slice(low, AT_ONCE)
+                for at, found, first, last in _places(few.column(1), few.column(2)):
+                    yield pa.RecordBatch.from_arrays([few.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=[doc, span, "start", "end"])
 
     return rows.mapInArrow(run, f"`{doc}` {docs.schema[doc].dataType.simpleString()}, `{span}` string, start long, end long")
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioflow.operators import asof, chunking, compare, intervals, summaries
@@ -108,3 +109,13 @@ def test_sql_surface(spark):
     df = spark.createDataFrame(cells, "kind string, pred_json string, gold_json string")
     both = df.withColumn("mine", scoring.cell_outcome()).withColumn("sql", F.expr("cell_outcome(kind, pred_json, gold_json)"))
     assert both.where("mine IS DISTINCT FROM sql").count() == 0
+
+
+def test_places_are_sent_a_few_at_a_time(spark):
+    """What a worker holds does not grow with the places of its rows."""
+    texts, spans = pa.array(["ab" * 50_000, "none", "ab"]), pa.array([["ab", "b"], ["ab"], ["b"]])
+    lists = [*intervals._places(texts, spans)]
+    assert max(len(at) for at, *_ in lists) <= intervals.PLACES < sum(len(at) for at, *_ in lists) == 100_001
+    assert [x[-1] for x in lists[-1]] == [2, "b", 1, 2]
+    docs = spark.createDataFrame([(i, "ab" * 100) for i in range(200)], "contract_name long, text string").coalesce(1)
+    assert intervals.occurrences(docs, spark.createDataFrame([(i, "aba") for i in range(200)], "contract_name long, span string")).count() == 200 * 99
