@@ -32,8 +32,6 @@ from folioflow.llm.common import append_columns, partitions, quoted, staged, wit
 
 #: Characters of a block, about, and blocks of a schedule besides one for each source, at most: 8 bytes each on the driver and in each worker.
 BLOCK, MOST_BLOCKS = 1 << 16, 1 << 20
-#: Distinct sources that are scheduled each on its own. If there are more, those without a given weight are dealt into so many pools by hash, and a pool is scheduled as one source.
-MOST_SOURCES = 100_000
 
 
 def exact_weights(weights: dict) -> dict:
@@ -91,16 +89,17 @@ def schedule(weights: dict, blocks: dict) -> dict:
     return out
 
 
-def scheduled(docs: DataFrame, source: str, text: str, named: list[str], most: int) -> tuple[Column, dict]:
+def scheduled(docs: DataFrame, source: str, text: str, named: list[str], most: int | None) -> tuple[Column, dict]:
     """The source that a document is scheduled under, and the characters (and one for each document) of each, over all documents.
 
-    A source is scheduled as itself, a null one too. Where there are more than
-    ``most``, those not ``named`` are scheduled in pools by their hash.
+    A source is scheduled as itself, a null one too, however many there are. Only
+    a caller who gives ``most`` has those not ``named`` scheduled in so many pools
+    by their hash where there are more.
     """
     own = F.col(quoted(source)).cast("string")
     size = docs.groupBy(own.alias("s")).agg(F.sum(F.coalesce(F.length(quoted(text)), F.lit(0)) + 1).alias("n"))
-    rows = size.limit(most + 1).collect()
-    if len(rows) <= most:
+    rows = (size if most is None else size.limit(most + 1)).collect()
+    if most is None or len(rows) <= most:
         return own, {r.s: r.n for r in rows}
 
     def pooled(x: Column) -> Column:
@@ -110,12 +109,12 @@ def scheduled(docs: DataFrame, source: str, text: str, named: list[str], most: i
     return pooled(own), {r.s: r.n for r in size.groupBy(pooled(F.col("s")).alias("s")).agg(F.sum("n").alias("n")).collect()}
 
 
-def source_weights(docs: DataFrame, source: str = "source", text: str = "text", temper: float = 0.5, most: int = MOST_SOURCES) -> dict:
+def source_weights(docs: DataFrame, source: str = "source", text: str = "text", temper: float = 0.5, most: int | None = None) -> dict:
     """Weights that flatten the sources' sizes: characters to the power ``temper``, over all documents. A null source is one of its own."""
     return {s: float(n) ** temper for s, n in scheduled(docs, source, text, [], most)[1].items()}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, carry: list[str] | None = None, temper: float = 0.5, most: int = MOST_SOURCES) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, carry: list[str] | None = None, temper: float = 0.5, most: int | None = None) -> DataFrame:
     """``_row`` with ``block`` (of its source), ``slot``, ``release``, ``deadline`` and ``place`` (rank within source) of every document.
 
     Without weights a source's is its characters to the power ``temper``. Sources
@@ -123,6 +122,8 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", te
     come after all others. Null sources are one source; null ids come first among
     equal hashes; repeated rows stay repeated, each with a place of its own; null
     texts count as empty, long ones whole; an empty table gives an empty result.
+    Sources are scheduled each on its own unless ``most`` is given (see ``scheduled``):
+    the driver and each worker hold their figures, a row for each distinct source.
     Columns named like the results stay apart, inside ``_row``. Order by ``slot,
     place`` for the mixed order.
 

@@ -218,6 +218,13 @@ def test_blocks_and_sources_beyond_the_bounds(docs, monkeypatch):
     assert len(pools) <= 16 + 8 and {"s1"} in pools.values() and {None} in pools.values()
 
 
+def test_very_many_sources_are_scheduled_each_on_its_own(spark):
+    """One rule at every number of sources: each document, the first of its source, is at the source's first place."""
+    rows = spark.range(100_500).selectExpr("id AS doc_id", "'x' AS text", "concat('s', id) AS source")
+    got = mixing.mix(rows).agg(F.count("*").alias("n"), F.max("place").alias("place"), F.max("block").alias("block"), F.countDistinct("slot").alias("slots")).first()
+    assert tuple(got) == (100_500, 0, 0, 100_500)
+
+
 def test_rows_without_ids_spread(docs):
     got = mixing.mix(docs([(None, "same", "hot")] * 300 + [(i, "x", "b") for i in range(9)]))
     assert sorted(r.place for r in got.where("_row.source = 'hot'").select("place").collect()) == list(range(300))
