@@ -21,7 +21,9 @@ sketch of B blocks of 2**32 bits each. It is kept in two forms:
    share one of the first D + 1 of each. The order is by counted cell, rare ones
    first, which keeps the passages, lines and phrases that many documents share
    out of the join. These entries are all that is shuffled, once, into buckets of
-   about ``BUCKET`` entries, which are met one at a time.
+   about ``BUCKET`` entries, which are met one at a time. A task meets up to
+   ``BUCKETS`` of them, and what they give goes out once: near copies share values
+   in most buckets.
 3. A value that few classes share gives all their pairs. One that many share (a
    large group of near copies) gives pairs with its most central classes, and all
    are put under the first of those, their hub. A value of more than ``HOT``
@@ -59,6 +61,8 @@ BLOCKS, LEAST_BLOCKS = 0.42, 2_048
 CELLS, RANGES = 1 << 22, 64
 #: Entries of a bucket, about, at 16 bytes each; and entries that a task holds before it sends them.
 BUCKET, HELD = 1_000_000, 1_000_000
+#: Buckets that a task meets one after another, unless there are cores for fewer; and rows of its results (16 bytes each) that it holds to send each once.
+BUCKETS, MET = 16, 500_000
 #: A value of at most so many classes gives all its pairs; a larger one goes by central classes and a hub. Either gives at most CENTRAL + 1 rows for each of its entries.
 ALL_PAIRS, CENTRAL = 8, 3
 #: A value that is counted more often is in no bucket: its entries stay apart, so many in a row of their table, and meet its central classes in a map.
@@ -343,6 +347,14 @@ def _rows(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(_signed(a)), pa.array(_signed(b)), pa.array(np.full(len(a), kind, np.int32))], names=["a", "b", "kind"])
 
 
+def _once(rows: np.ndarray) -> np.ndarray:
+    """The distinct rows of two f1, in order."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows[1:] != rows[:-1]).any(1)
+    return rows[fresh]
+
+
 def meet(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Step 3, of one bucket: candidate pairs, and classes under their hubs, as rows of two f1."""
     keys, f1 = entries["key"], entries["f1"]
@@ -370,34 +382,50 @@ def meet(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i, j = np.concatenate(left), np.concatenate(right)
         # 4/3 is 6.6 sixteenths of an octave; what the rounding lets through, the sketches see.
         fit = (f1[i] != f1[j]) & (np.abs(size[i] - size[j]) <= 7)
-        pairs = np.unique(np.sort(np.stack([f1[i[fit]], f1[j[fit]]], 1), 1), axis=0)
+        pairs = _once(np.sort(np.stack([f1[i[fit]], f1[j[fit]]], 1), 1))
     if under:
-        hubs = np.unique(np.concatenate(under), axis=0)
+        hubs = _once(np.concatenate(under))
     return pairs, hubs
 
 
-def _met(entries: DataFrame, n_buckets: int) -> DataFrame:
-    """Rows (a, b, kind) of f1: candidate pairs (PAIR) and classes b under a hub a (HUB)."""
-
-    def run(batches):
-        held, now = [], None
-        for batch in batches:
-            for bucket, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if bucket != now and held:
-                    yield from out(held)
-                    held = []
-                now = bucket
-                held.append(x)
-        if held:
-            yield from out(held)
+def meet_each(batches):
+    """``meet`` for the buckets of a task, whose rows (bucket, entries) come in their order: batches of (a, b, kind). Rows that several buckets give are held back to go out once; when there are many different ones, they go out and others are held."""
+    held, now, found = [], None, {PAIR: [], HUB: []}
+
+    def out(kind):
+        rows = _once(np.concatenate(found[kind])) if found[kind] else ()
+        found[kind] = []
+        for low in range(0, len(rows), 100_000):
+            yield _rows(rows[low : low + 100_000, 0], rows[low : low + 100_000, 1], kind)
+
+    def add(entries):
+        for kind, rows in zip((PAIR, HUB), meet(np.frombuffer(b"".join(entries), _ENTRY))):
+            found[kind].append(rows)
+            if sum(map(len, found[kind])) >= MET:
+                found[kind] = [_once(np.concatenate(found[kind]))]
+                if 2 * len(found[kind][0]) >= MET:
+                    yield from out(kind)
+
+    for batch in batches:
+        for bucket, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if bucket != now and held:
+                yield from add(held)
+                held = []
+            now = bucket
+            held.append(x)
+    if held:
+        yield from add(held)
+    yield from out(PAIR)
+    yield from out(HUB)
 
-    def out(held):
-        for kind, rows in zip((PAIR, HUB), meet(np.frombuffer(b"".join(held), _ENTRY))):
-            for low in range(0, len(rows), 100_000):
-                yield _rows(rows[low : low + 100_000, 0], rows[low : low + 100_000, 1], kind)
 
-    dealt = entries.select("bucket", "entries").repartitionById(min(n_buckets, 20_000), F.col("bucket").cast("int")).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(in_worker("meet", run), "a long, b long, kind int").distinct()
+def _met(entries: DataFrame, n_buckets: int) -> DataFrame:
+    """Rows (a, b, kind) of f1: candidate pairs (PAIR) and classes b under a hub a (HUB)."""
+    # Shuffle partitions may grow with the input, and with them how often a pair goes out; cores do not.
+    tasks = min(n_buckets, max(2 * entries.sparkSession.sparkContext.defaultParallelism, math.ceil(n_buckets / BUCKETS)))
+    # Neighbouring buckets lie in one task; there are as many in each, but for one.
+    dealt = entries.select("bucket", "entries").repartitionById(tasks, F.expr(f"bucket * {tasks} div {n_buckets}").cast("int")).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(in_worker("meet", meet_each), "a long, b long, kind int").distinct()
 
 
 def _hot_met(entries: DataFrame) -> DataFrame:

@@ -356,3 +356,33 @@ def test_rows_of_a_value_grow_with_its_classes():
         pairs, hubs = pj.meet(entries)
         assert len(pairs) + len(hubs) <= (pj.CENTRAL + 1) * k
         assert len(hubs) == k or len(pairs) == k * (k - 1) // 2
+
+
+def test_what_many_buckets_give_goes_out_once(monkeypatch):
+    """Near copies that share a value in each of 40 buckets are one pair, and one row under their hub; with little room they still all come."""
+    def batch(bucket, classes):
+        entries = pj.np.zeros(len(classes), pj._ENTRY)
+        entries["f1"], entries["key"] = classes, bucket
+        return pj.pa.RecordBatch.from_arrays([pj.pa.array([bucket]), pj.pa.array([entries.tobytes()])], names=["bucket", "entries"])
+
+    def met(groups):
+        return [(r["a"], r["b"], r["kind"]) for b in pj.meet_each(iter([batch(i, g) for i, g in enumerate(groups)])) for r in b.to_pylist()]
+
+    assert met([[1, 2]] * 40) == [(1, 2, pj.PAIR)]
+    large = list(range(1, 21))
+    assert sorted(met([large] * 40)) == sorted(met([large])) and len(met([large])) <= (pj.CENTRAL + 1) * 20
+    mixed = [[i, i + 1] for i in range(1, 41)] * 2 + [large]
+    every = sorted(met(mixed))
+    monkeypatch.setattr(pj, "MET", 10)
+    assert sorted(set(met(mixed))) == every
+
+
+def test_a_task_meets_several_buckets(spark):
+    """Tasks are twice the cores or more, however many partitions there are; no bucket is lost or split."""
+    rows = []
+    for bucket in range(37):
+        entries = pj.np.zeros(2, pj._ENTRY)
+        entries["f1"], entries["key"] = (1, 2) if bucket % 2 else (3, 4 + bucket), bucket
+        rows += [(bucket, bytearray(entries[:1].tobytes())), (bucket, bytearray(entries[1:].tobytes()))]
+    got = pj._met(spark.createDataFrame(rows, "bucket long, entries binary").repartition(3), 37)
+    assert sorted((r.a, r.b, r.kind) for r in got.collect()) == [(1, 2, pj.PAIR), *[(3, 4 + b, pj.PAIR) for b in range(0, 37, 2)]]
