@@ -86,7 +86,7 @@ def remap(cells: DataFrame, dictionary: DataFrame, value: str = "value", to: str
     map for each field, made before the join.
     """
     maps = dictionary.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct(frm, to))).alias("_map"))
-    joined = cells.join(maps, "field", "left")
+    joined = cells.join(F.broadcast(maps), "field", "left")  # a shuffle by field would put all cells into as many tasks as there are fields
     if dict(cells.dtypes)[value].startswith("array"):
         new = F.transform(value, lambda v: F.coalesce(F.try_element_at("_map", v), v))
     else:
@@ -101,7 +101,7 @@ def remap_json(cells: DataFrame, dictionary: DataFrame, value: str = "value_json
     listed = F.when(F.startswith(F.ltrim(value), F.lit("[")), F.from_json(value, "array<string>"))
     changed = F.to_json(F.transform(listed, lambda v: F.coalesce(F.try_element_at("_map", v), v)))
     new = F.when(F.exists(listed, lambda v: F.try_element_at("_map", v).isNotNull()), changed).otherwise(F.coalesce(F.try_element_at("_texts", F.col(value)), F.col(value)))
-    joined = cells.join(maps, "field", "left")
+    joined = cells.join(F.broadcast(maps), "field", "left")  # a shuffle by field would put all cells into as many tasks as there are fields
     return joined.withColumn(value, F.when(F.col("_map").isNull(), F.col(value)).otherwise(new)).select(cells.columns)
 
 

@@ -49,7 +49,7 @@ def union_labels(cells: DataFrame, keys: list[str], value: str = "value_json") -
 
 def merge_documents(cells: DataFrame, fields: DataFrame, doc: str = "contract_name") -> tuple[DataFrame, DataFrame]:
     """AGG05: (merged cells, conflict log) of chunk cells; labels of multilabel fields are united, all else is voted on."""
-    multi = fields.where("is_multilabel").select("field")
+    multi = F.broadcast(fields.where("is_multilabel").select("field"))  # not shuffled: cells have few fields
     voted = vote(cells.join(multi, "field", "left_anti"), [doc, "field"])
     united = union_labels(cells.join(multi, "field", "left_semi"), [doc, "field"])
     merged = voted.select(doc, "field", F.col("picked").alias("value_json")).union(united.select(doc, "field", F.to_json("labels")))

@@ -45,7 +45,7 @@ def score_cells(preds: DataFrame, golds: DataFrame, fields: DataFrame, *keys: st
     on = [*(keys or ("contract_name",)), "field"]
     kinds = fields.where(F.col("kind").isin(*SCORED)).select("field", "kind", "ordinal")
     pairs = preds.withColumnRenamed("value_json", "pred_json").join(golds.select(*on, F.col("value_json").alias("gold_json")), on)
-    return pairs.join(kinds, "field").withColumn("outcome", cell_outcome())
+    return pairs.join(F.broadcast(kinds), "field").withColumn("outcome", cell_outcome())
 
 
 def outcome_counts() -> list[Column]:
@@ -85,9 +85,9 @@ def top_risk_fields(risk: DataFrame, n: int = 10, most: int = 5, ordinal: str =
 
 def with_overlays(cells: DataFrame, top: DataFrame, dictionary: DataFrame) -> DataFrame:
     """JN07, CLS05, FLT10: flags for the fields in the top list and for gold values that a dictionary rewrites."""
-    flagged = cells.join(top.select("field", F.lit(True).alias("_top")), "field", "left")
+    flagged = cells.join(F.broadcast(top.select("field", F.lit(True).alias("_top"))), "field", "left")  # not shuffled: cells have few fields
     affected = dictionary.groupBy("field").agg(F.collect_set("canonical").alias("_affected"))
-    flagged = flagged.join(affected, "field", "left")
+    flagged = flagged.join(F.broadcast(affected), "field", "left")
     labels = F.coalesce(F.when(F.startswith("gold_json", F.lit("[")), F.from_json("gold_json", "array<string>")), F.array(F.get_json_object(F.concat(F.lit('{"v":'), F.coalesce("gold_json", F.lit("null")), F.lit("}")), "$.v")))
     hit = F.when(F.col("_affected").isNotNull(), F.coalesce(F.exists(labels, lambda v: F.array_contains("_affected", v)), F.lit(False)))
     return flagged.select(*cells.columns, F.coalesce("_top", F.lit(False)).alias("is_top"), hit.alias("is_substituted"))

@@ -170,3 +170,24 @@ def test_schema_fields_as_columns_equal_the_rules(spark):
     assert [tuple(r) for r in got] == want
     back = fields.rewritten(spark.createDataFrame(rows[:12] + [(90, None)], "i long, schema string"), fields.for_grammar).orderBy("i").collect()
     assert [r.schema and json.loads(r.schema) for r in back] == [*map(fields.for_grammar, schemas), None]
+
+
+def test_cells_are_not_shuffled_by_field(spark):
+    """Cells have few fields, so that a shuffle by them would put all into a few tasks: what is joined by field goes to the cells."""
+    from folioflow.operators import fields, merge, scoring
+
+    got = spark.createDataFrame([("d", 0, "k", '"a"'), ("d", 1, "m", '["x"]')], "contract_name string, chunk_id int, field string, value_json string")
+    dimension = fields.load_fields(spark, {"properties": {"k": {"type": "string", "enum": ["a", "b"]}, "m": {"type": "array", "items": {"type": "string", "enum": ["x"]}}}})
+    words = spark.createDataFrame([("k", "b", "a")], "field string, canonical string, modified string")
+    remapped = fields.remap_json(got, words)
+    merged, _ = merge.merge_documents(remapped, dimension)
+    scored = scoring.with_overlays(scoring.score_cells(merged, merged, dimension), dimension.select("field").limit(1), words)
+    assert {(r.field, r.pred_json, r.is_top) for r in scored.collect()} == {("k", '"b"', True), ("m", '["x"]', False)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables whose size Spark overestimates
+    try:
+        for df, joins in ((remapped, 1), (merged, 3)):
+            plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") == 0 and plan.count("BroadcastHashJoin") >= joins
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
