@@ -32,6 +32,42 @@ def test_votes_over_any_split_equal_the_vote_at_once(spark, tmp_path):
     assert spark.read.parquet(f"{base}/changes").where(f"batch = {last}").count() == 0 or last == 2  # one more vote for the same outcome changes nothing
 
 
+@pytest.mark.parametrize("buckets", [{}, {"buckets": 4}])
+def test_votes_of_many_fields_take_few_values_of_state_and_emit_changes_only(spark, tmp_path, buckets):
+    rng, base, keys = random.Random(9), str(tmp_path), ["doc", "field"]
+    schema = "doc string, field double, chunk_id long, value_json string"
+    fields = [(d, f) for d in [None, "", *[f"d{i}" for i in range(58)]] for f in (None, float("nan"), 0.0, 1.5, 2.5)]
+    rows = [(*f, i, rng.choice(["1", "2", None])) for i, f in enumerate(fields * 4)]
+    batches, counts = [rows[:700], rows[700:], rows[:1]], {}
+    stream, found = spark.readStream.schema(schema).parquet(f"{base}/in/*"), []
+    for i, part in enumerate(batches):
+        spark.createDataFrame(part, schema).write.parquet(f"{base}/in/{i}")
+        changes = votes.vote_changes(stream, keys, **buckets).writeStream.foreachBatch(lambda df, n: found.append(df.collect()))
+        q = changes.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        before = {f: votes.decided(c) for f, c in counts.items()}
+        for d, f, place, v in part:
+            known = counts.setdefault((d, str(f)), {})
+            if v is not None:
+                n, first = known.get(v, (0, place))
+                known[v] = (n + 1, min(first, place))
+        after = {f: votes.decided(c) for f, c in counts.items()}
+        want = sorted(str((*f, o["picked"], o["mode"], o["values"], o["n_votes"])) for f, o in after.items() if f not in before or any(o[k] != before[f][k] for k in ("picked", "mode", "values")))
+        assert sorted(str((r.doc, str(r.field), r.picked, r.mode, r["values"], r.n_votes)) for r in found[-1]) == want
+        assert 0 < q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= buckets.get("buckets", len(fields))  # state for each field and value would be more calls
+    assert len(fields) == len(counts) == 300
+
+
+def test_partial_counts_send_a_row_for_each_bucket_and_part(spark):
+    cells = spark.range(400_000, numPartitions=2).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('d', id % 500) END AS doc", "nullif(id % 7, 0) AS field", "id AS chunk_id", "nullif(id % 4, 0) AS value_json")
+    sent = votes.partial_counts(cells, ["doc", "field"], "value_json", "chunk_id", 16).persist()
+    assert sent.count() <= 16 * 2 * 2  # buckets, tasks, parts of 131,072 rows
+    got = sent.selectExpr("_bucket", "inline(arrays_zip(doc, field, v, n, first))").groupBy("doc", "field", "v").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.countDistinct("_bucket").alias("buckets"))
+    want = cells.groupBy("doc", "field", F.col("value_json").cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("first"), F.lit(1).cast("long").alias("buckets"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    sent.unpersist()
+
+
 def slow_sessions(rows, gap):
     out = []
     for ts, user in sorted(rows, key=lambda r: (r[1], r[0])):
